@@ -75,7 +75,7 @@ def km_curve(df: DataFrame, time_col: str = "duration", event_col: str = "event"
     prefix = part.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("at_risk", F.sum("_rows").over(suffix))
     if min_size:
-        g = g.where(F.max("at_risk").over(part) > min_size)
+        g = g.withColumn("_size", F.max("at_risk").over(part)).where(F.col("_size") > min_size).drop("_size")
     g = g.withColumn("survival", F.product(F.lit(1.0) - F.col("events") / F.col("at_risk")).over(prefix))
     if confidence:
         term = F.try_divide(F.col("events").cast("double"), F.col("at_risk") * (F.col("at_risk") - F.col("events")))
