@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlytics.functions.columns import split_key
@@ -101,24 +101,60 @@ def withdrawal_quota(df: DataFrame, month_col: str = "acq_month", keys: Sequence
     return pivot_wide(long, [month_col], "column_key", "quota", keys, fill=0.0).orderBy(month_col)
 
 
+def _month_date(c: Column) -> Column:
+    return F.make_date((c / 100).cast("int"), (c % 100).cast("int"), F.lit(1))
+
+
+def _months_between_keys(lo: Column, hi: Column) -> Column:
+    """Array of ``YYYYMM`` ints from ``lo`` to ``hi`` (calendar months)."""
+    seq = F.sequence(_month_date(lo), _month_date(hi), F.expr("INTERVAL 1 MONTH"))
+    return F.transform(seq, lambda d: (F.year(d) * 100 + F.month(d)).cast("int"))
+
+
 def month_sequence(bounds: DataFrame, min_col: str, max_col: str, out: str = "month") -> DataFrame:
     """All ``YYYYMM`` months from ``min_col`` to ``max_col`` of a one-row frame."""
-    def as_date(c):
-        return F.make_date((F.col(c) / 100).cast("int"), (F.col(c) % 100).cast("int"), F.lit(1))
-    seq = F.sequence(as_date(min_col), as_date(max_col), F.expr("INTERVAL 1 MONTH"))
     return (bounds.where(F.col(min_col).isNotNull())
-            .select(F.explode(seq).alias("_d"))
-            .select((F.year("_d") * 100 + F.month("_d")).cast("int").alias(out)))
+            .select(F.explode(_months_between_keys(F.col(min_col), F.col(max_col))).alias(out)))
+
+
+def with_gap_markers(long: DataFrame, month_col: str, key_col: str, value_col: str,
+                     group: Column | None = None, marker: str = "_month") -> DataFrame:
+    """O7 in one pass over an aggregated long table: rows are kept and, per
+    ``group`` (all rows when None; rows with a NULL group get no markers),
+    one marker row ``(m, marker, 0.0)`` is added for every calendar month m
+    between the group's min and max month. Bounds come from window functions
+    over the small aggregated table, so the source is read once (no self-join,
+    no second branch)."""
+    g = F.lit(1) if group is None else group
+    x = long.withColumn("_g", g)
+    w = Window.partitionBy("_g")
+    x = (x.withColumn("_lo", F.min(month_col).over(w)).withColumn("_hi", F.max(month_col).over(w))
+          .withColumn("_rn", F.row_number().over(w.orderBy(month_col, key_col))))
+    own = F.array(F.struct(F.col(month_col).cast("int").alias(month_col), F.col(key_col).alias(key_col),
+                           F.col(value_col).cast("double").alias(value_col)))
+    marks = F.transform(_months_between_keys(F.col("_lo"), F.col("_hi")),
+                        lambda m: F.struct(m.alias(month_col), F.lit(marker).alias(key_col),
+                                           F.lit(0.0).alias(value_col)))
+    rows = F.when((F.col("_rn") == 1) & F.col("_g").isNotNull(), F.concat(own, marks)).otherwise(own)
+    return x.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
 def gap_fill_months(df: DataFrame, month_col: str, fill=0) -> DataFrame:
-    """Add a row for every calendar month between the min and max month,
-    missing measures -> ``fill``. Both sides are aggregated tables (months),
-    so the join is between small inputs."""
-    bounds = df.agg(F.min(month_col).alias("_lo"), F.max(month_col).alias("_hi"))
-    months = month_sequence(bounds, "_lo", "_hi", month_col)
+    """O7 for a table with one row per month: every calendar month between the
+    min and max month gets a row, missing values -> ``fill``. Single pass:
+    marker rows are generated next to the data and merged by month."""
     value_cols = [c for c in df.columns if c != month_col]
-    out = months.join(df, on=month_col, how="left")
+    w = Window.partitionBy()
+    x = (df.withColumn("_lo", F.min(month_col).over(w)).withColumn("_hi", F.max(month_col).over(w))
+           .withColumn("_rn", F.row_number().over(w.orderBy(month_col))))
+    own = F.array(F.struct(F.col(month_col).cast("int").alias(month_col),
+                           *[F.col(f"`{c}`").alias(c) for c in value_cols]))
+    marks = F.transform(_months_between_keys(F.col("_lo"), F.col("_hi")),
+                        lambda m: F.struct(m.alias(month_col),
+                                           *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in value_cols]))
+    rows = F.when(F.col("_rn") == 1, F.concat(own, marks)).otherwise(own)
+    exploded = x.select(F.explode(rows).alias("_r")).select("_r.*")
+    out = exploded.groupBy(month_col).agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in value_cols])
     return out.na.fill(fill, subset=value_cols) if value_cols else out
 
 

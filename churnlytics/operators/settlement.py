@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlytics.functions import columns as C
-from churnlytics.operators.cohort import gap_fill_months, month_sequence, pivot_wide, with_column_key
+from churnlytics.operators.cohort import pivot_wide, with_column_key, with_gap_markers
 from churnlytics.schema import (PRODUCT_MAIN, PRODUCT_SECOND, SETTLEMENT_REQUIRED, TERMINATION_TYPES,
                                 WITHDRAWAL_TYPES, SettlementParams)
 from churnlytics.sources import require_columns
@@ -80,8 +80,8 @@ def cpo_withdrawal(df: DataFrame, p: SettlementParams, keys: Sequence[str] | Non
             .where(F.col("deletion_type").isin(list(WITHDRAWAL_TYPES)) & F.col("del_month").isNotNull())
             .groupBy("del_month", "column_key").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("value", F.col("n") * fee("del_month", p)))
+    long = with_gap_markers(long.select("del_month", "column_key", "value"), "del_month", "column_key", "value")
     wide = pivot_wide(long, ["del_month"], "column_key", "value", keys, fill=0.0)
-    wide = gap_fill_months(wide, "del_month", 0.0)
     key_cols = [c for c in wide.columns if c != "del_month"]
     for r in rollups:
         members = [F.col(f"`{c}`") for c in key_cols if c.startswith(r + "-")]
@@ -188,15 +188,15 @@ def settlement_measures(df: DataFrame, p: SettlementParams) -> DataFrame:
 
 
 def settlement_result(df: DataFrame, p: SettlementParams, placeholders: bool = False) -> DataFrame:
-    """Monthly result table (one row per month of any component table)."""
+    """Monthly result table (one row per month of any component table).
+
+    The withdrawal tables of each product are gap-filled between their first
+    and last month; the markers are added in the same pass over the
+    aggregated measures, so the contracts are scanned once."""
     long = settlement_measures(df, p)
-    fills = []
-    for sfx in ("", "_3783"):
-        wd = long.where(F.col("measure").endswith("_withdrawal_cpo" + sfx))
-        bounds = wd.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-        fills.append(month_sequence(bounds, "lo", "hi", "month")
-                     .select("month", F.lit("_month").alias("measure"), F.lit(0.0).alias("value")))
-    allrows = long.unionByName(fills[0]).unionByName(fills[1])
+    group = (F.when(F.col("measure").endswith("_withdrawal_cpo"), F.lit("cpo"))
+             .when(F.col("measure").endswith("_withdrawal_cpo_3783"), F.lit("cpo_3783")))
+    allrows = with_gap_markers(long, "month", "measure", "value", group)
     wide = pivot_wide(allrows, ["month"], "measure", "value", RESULT_MEASURES, fill=0.0)
     if placeholders:
         for cc in ("", "_3783", "_jd", "_ufc", "_ts", "_m3"):
