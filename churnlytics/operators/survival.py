@@ -120,6 +120,41 @@ def fit_strata(df: DataFrame, col: str, top: int = 5, max_categorical: int = 10)
     return {"kind": "top", "values": top_values(df, col, top)}
 
 
+def fit_strata_all(df: DataFrame, columns: Sequence[str], top: int = 5, max_categorical: int = 10) -> dict:
+    """K5 rules for several columns from ONE aggregation: value counts per
+    (column, value) via an explode of a fixed-size array, then per column the
+    top values and the distinct count (both bounded: at most ``top`` values
+    and one number per column reach the driver). Numeric columns with more
+    than ``max_categorical`` distinct values get quartile edges instead."""
+    dtypes = dict(df.dtypes)
+    def num(c):
+        is_num = dtypes[c] in ("int", "bigint", "double", "float", "smallint") or dtypes[c].startswith("decimal")
+        return F.col(c).cast("double") if is_num else F.lit(None).cast("double")
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value"),
+                               num(c).alias("num")) for c in columns])
+    counts = (df.select(F.explode(pairs).alias("p")).groupBy("p.variable", "p.value", "p.num")
+              .agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("variable")
+    ranked = counts.withColumn("_k", F.count(F.lit(1)).over(w)).withColumn(
+        "_r", F.row_number().over(w.orderBy(F.col("n").desc(), F.col("num").asc_nulls_first(),
+                                            F.col("value").asc_nulls_first())))
+    rows = ranked.where(F.col("_r") <= top).collect()
+    rules = {}
+    for c in columns:
+        mine = sorted((r for r in rows if r["variable"] == c), key=lambda r: r["_r"])
+        k = mine[0]["_k"] if mine else 0
+        numeric = dtypes[c] in ("int", "bigint", "double", "float", "smallint") or dtypes[c].startswith("decimal")
+        if numeric and k > max_categorical:
+            rules[c] = {"kind": "quartile", "edges": quartile_edges(df, c)}
+        else:
+            conv = (lambda v: None if v is None else (float(v) if dtypes[c] in ("double", "float") else
+                                                      int(v) if dtypes[c] in ("int", "bigint", "smallint") else v))
+            # order among equal counts follows the column's own order, as in ``top_values``
+            vals = [conv(r["value"]) for r in mine]
+            rules[c] = {"kind": "top", "values": vals}
+    return rules
+
+
 def stratum_expr(col: str, rule: dict, other: str = "Other") -> Column:
     """Apply a fitted stratum rule; quartile labels are bin numbers 0..k-1
     (right-closed bins, the first includes the minimum)."""
@@ -144,7 +179,7 @@ def km_stratified(df: DataFrame, columns: Sequence[str], rules: dict | None = No
     Each contract contributes one ``(variable, stratum)`` row per column
     (explode of a fixed-size array), then one aggregation and one windowed
     pass over distinct times partitioned by (variable, stratum)."""
-    rules = rules or {c: fit_strata(df, c) for c in columns}
+    rules = rules or fit_strata_all(df, columns)
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), stratum_expr(c, rules[c]).alias("stratum"))
                       for c in columns])
     long = df.select(F.col(time_col), F.col(event_col), F.explode(pairs).alias("_p")) \
@@ -191,7 +226,7 @@ def km_predict(train: DataFrame, test: DataFrame, columns: Sequence[str], horizo
     time; the last column wins. Curve values reach the contracts through
     broadcast joins with tables of at most (#strata per column) rows.
     Adds ``churn_probability`` and ``predicted`` (probability > threshold)."""
-    rules = {c: fit_strata(train, c) for c in columns}
+    rules = fit_strata_all(train, columns)
     overall = km_curve(train, time_col, event_col)
     near = survival_at(overall, [horizon], nearest=True).first()
     t_star, s_overall = int(near["t"]), float(near["survival"])

@@ -160,7 +160,8 @@ oracle("stratified_split", "SELECT split, event, count(*) AS n, sum(id)::BIGINT
 
 # --- K10 / K11 ---------------------------------------------------------------------------
 def km_predictions(spark, sf_dir):
-    sp = stratified_split(survival_base(spark, sf_dir, region=True))
+    # the split feeds several fit jobs: cut the lineage once (reliable checkpoint)
+    sp = stratified_split(survival_base(spark, sf_dir, region=True)).checkpoint()
     train = sp.where(F.col("split") == "train")
     test = sp.where(F.col("split") == "test")
     return train, test, KM.km_predict(train, test, STRATA, horizon=1000, threshold=0.15)
