@@ -8,6 +8,7 @@ from churnlytics.operators import survival as KM
 from churnlytics.operators.features import stratified_split
 from churnlytics.operators.quantiles import median
 from churnlytics.plans.catalog import register
+from churnlytics.session import cut_lineage
 from churnlytics.plans.common import AS_OF, contracts, rounded
 from churnlytics.plans.oracle import oracle
 
@@ -161,7 +162,7 @@ oracle("stratified_split", "SELECT split, event, count(*) AS n, sum(id)::BIGINT
 # --- K10 / K11 ---------------------------------------------------------------------------
 def km_predictions(spark, sf_dir):
     # the split feeds several fit jobs: cut the lineage once (reliable checkpoint)
-    sp = stratified_split(survival_base(spark, sf_dir, region=True)).checkpoint()
+    sp = cut_lineage(stratified_split(survival_base(spark, sf_dir, region=True)))
     train = sp.where(F.col("split") == "train")
     test = sp.where(F.col("split") == "test")
     return train, test, KM.km_predict(train, test, STRATA, horizon=1000, threshold=0.15)

@@ -59,3 +59,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
+
+
+def cut_lineage(df):
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder (never
+    ``localCheckpoint``: a lost executor must not lose the data)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
