@@ -204,6 +204,32 @@ def settlement_result(df: DataFrame, p: SettlementParams, placeholders: bool = F
     return wide.orderBy("month")
 
 
+# Spreadsheet columns of the short result table -> engine names.
+SHORT_RESULT_COLUMNS = {"M": "jd_new_cpo", "N": "jd_withdrawal_cpo", "Q": "ts_new_cpo",
+                        "R": "ts_withdrawal_cpo", "U": "m3_new_cpo", "V": "m3_withdrawal_cpo"}
+
+
+def short_result(df: DataFrame, p: SettlementParams, call_centers: Sequence[str] = ("jd", "ts", "m3")) -> DataFrame:
+    """Short result table by ``YYYY-MM`` month label (P10): new business and
+    withdrawals {1,2,5} x fee for the JD, TS and M3 call centers (all products,
+    withdrawals positive, months = union of acquisition and deletion months)."""
+    cc = F.lower(F.split_part(F.col("campaign"), F.lit("-"), F.lit(1)))
+    wd = F.col("deletion_type").isin(list(WITHDRAWAL_TYPES)) & F.col("del_month").isNotNull()
+
+    def row(cond, month, measure, value):
+        return F.when(cond, F.struct(month.cast("int").alias("month"), measure.alias("measure"),
+                                     value.cast("double").alias("value")))
+    rows = F.array(
+        row(F.col("acq_month").isNotNull(), F.col("acq_month"), F.concat(cc, F.lit("_new_cpo")), fee("acq_month", p)),
+        row(wd, F.col("del_month"), F.concat(cc, F.lit("_withdrawal_cpo")), fee("del_month", p)),
+    )
+    long = (df.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("r.*")
+            .groupBy("month", "measure").agg(F.sum("value").alias("value")))
+    keys = [f"{c}_{k}_cpo" for c in call_centers for k in ("new", "withdrawal")]
+    wide = pivot_wide(long, ["month"], "measure", "value", keys, fill=0.0)
+    return wide.select(C.month_label("month").alias("month"), *keys).orderBy("month")
+
+
 def settlement_tables(df: DataFrame, p: SettlementParams, keys: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """The whole settlement run as named lazy tables (written by S6)."""
     from churnlytics.operators import cohort as K

@@ -232,3 +232,24 @@ FROM (
     FROM contracts WHERE length(campaign) >= 2 AND deletion_type IN (3, 4, 6) AND del_month IS NOT NULL
 ) GROUP BY month
 """)
+
+
+# --- B8 ------------------------------------------------------------------------------
+@register("short_result")
+def q_short_result(spark, sf_dir):
+    return rounded(S.short_result(contracts(spark, sf_dir), PARAMS))
+
+
+_SHORT_KEYS = [f"{c}_{k}_cpo" for c in ("jd", "ts", "m3") for k in ("new", "withdrawal")]
+oracle("short_result", f"""
+SELECT CASE WHEN length(month::VARCHAR) = 6 THEN substr(month::VARCHAR, 1, 4) || '-' || substr(month::VARCHAR, 5, 2)
+            ELSE 'unknown' END AS month,
+  {pivot_cols(_SHORT_KEYS, lambda k: _r(f"coalesce(sum(value) FILTER (WHERE measure = '{k}'), 0)"))}
+FROM (
+  SELECT acq_month AS month, {_CC} || '_new_cpo' AS measure, {FEE_SQL('acq_month')}::DOUBLE AS value
+    FROM contracts WHERE acq_month IS NOT NULL
+  UNION ALL
+  SELECT del_month, {_CC} || '_withdrawal_cpo', {FEE_SQL('del_month')}::DOUBLE
+    FROM contracts WHERE deletion_type IN (1, 2, 5) AND del_month IS NOT NULL
+) GROUP BY month
+""")
