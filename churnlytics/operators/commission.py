@@ -77,7 +77,7 @@ def call_center_result(df: DataFrame, call_centers: Sequence[str] | None = None)
             F.col("del_month"), "clawback",
             F.when(md.between(1, PREMIUM_CLAWBACK_MONTHS), premium_clawback_value(md)).otherwise(F.lit(0.0))),
     )
-    long = (df.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("r.*")
+    long = (df.select(F.explode(rows).alias("r")).where(F.col("r").isNotNull()).select("r.*")
             .groupBy("month", "k").agg(F.sum("value").alias("value")))
     if call_centers is None:
         keys = None

@@ -154,18 +154,25 @@ def settlement_measures(df: DataFrame, p: SettlementParams) -> DataFrame:
     """Long form of B7: ``(month, measure, value)`` summed over contracts.
 
     One scan; every contract emits at most six measure rows. Months of all
-    component tables are kept (a ``_month`` marker row carries value 0)."""
+    component tables are kept (a ``_month`` marker row carries value 0).
+    Per-row inputs (tariff, due-date span, call center, fees) are computed
+    once in a projection below the explode."""
     require_columns(df, SETTLEMENT_REQUIRED + ("first_due_date", "last_due_date"))
-    cc = F.lower(F.split_part(F.col("campaign"), F.lit("-"), F.lit(1)))
+    base = df.select(
+        F.col("acq_month"), F.col("del_month"), F.col("deletion_type"), F.col("product_code"), F.col("campaign"),
+        F.lower(F.split_part(F.col("campaign"), F.lit("-"), F.lit(1))).alias("_cc"),
+        tariff(p).alias("_t"),
+        C.month_span("first_due_date", "last_due_date").alias("_span"),
+        fee("acq_month", p).alias("_fee_acq"), fee("del_month", p).alias("_fee_del"))
     prod = F.col("product_code")
     suffix = F.when(prod == PRODUCT_SECOND, F.lit("_3783")).otherwise(F.lit(""))
     is_cpo_product = prod.isin(PRODUCT_MAIN, PRODUCT_SECOND)
     wd = F.col("deletion_type").isin(list(WITHDRAWAL_TYPES)) & F.col("del_month").isNotNull()
     split = F.col("campaign") == p.split_campaign
-    t = tariff(p)
+    t = F.col("_t")
     claw = (split & F.col("deletion_type").isin(list(TERMINATION_TYPES)) & (F.col("acq_month") > p.threshold)
-            & F.col("del_month").isNotNull()
-            & (C.month_span("first_due_date", "last_due_date") < p.clawback_months))
+            & F.col("del_month").isNotNull() & (F.col("_span") < p.clawback_months))
+    claw_value = -((F.lit(1.0) - F.col("_span") / F.lit(float(p.clawback_months))) * t)
 
     def row(cond, month, measure, value):
         return F.when(cond, F.struct(month.cast("int").alias("month"), measure.alias("measure"),
@@ -174,16 +181,15 @@ def settlement_measures(df: DataFrame, p: SettlementParams) -> DataFrame:
     sign = float(p.withdrawal_sign)
     rows = F.array(
         row(is_cpo_product & F.col("acq_month").isNotNull(), F.col("acq_month"),
-            F.concat(cc, F.lit("_new_cpo"), suffix), fee("acq_month", p)),
+            F.concat(F.col("_cc"), F.lit("_new_cpo"), suffix), F.col("_fee_acq")),
         row(is_cpo_product & wd, F.col("del_month"),
-            F.concat(cc, F.lit("_withdrawal_cpo"), suffix), F.lit(sign) * fee("del_month", p)),
-        row(split & (F.col("acq_month") > p.threshold) & t.isNotNull(), F.col("acq_month"),
-            F.lit("fo_new_ufc"), t),
+            F.concat(F.col("_cc"), F.lit("_withdrawal_cpo"), suffix), F.lit(sign) * F.col("_fee_del")),
+        row(split & (F.col("acq_month") > p.threshold) & t.isNotNull(), F.col("acq_month"), F.lit("fo_new_ufc"), t),
         row(split & wd & t.isNotNull(), F.col("del_month"), F.lit("fo_withdrawal_ufc"), -t),
-        row(claw & t.isNotNull(), F.col("del_month"), F.lit("fo_clawback_ufc"), -(clawback_factor(p) * t)),
+        row(claw & t.isNotNull(), F.col("del_month"), F.lit("fo_clawback_ufc"), claw_value),
         row(F.col("del_month").isNotNull(), F.col("del_month"), F.lit("_month"), F.lit(0.0)),
     )
-    exploded = df.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("r.*")
+    exploded = base.select(F.explode(rows).alias("r")).where(F.col("r").isNotNull()).select("r.*")
     return exploded.groupBy("month", "measure").agg(F.sum("value").alias("value"))
 
 
@@ -223,7 +229,7 @@ def short_result(df: DataFrame, p: SettlementParams, call_centers: Sequence[str]
         row(F.col("acq_month").isNotNull(), F.col("acq_month"), F.concat(cc, F.lit("_new_cpo")), fee("acq_month", p)),
         row(wd, F.col("del_month"), F.concat(cc, F.lit("_withdrawal_cpo")), fee("del_month", p)),
     )
-    long = (df.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("r.*")
+    long = (df.select(F.explode(rows).alias("r")).where(F.col("r").isNotNull()).select("r.*")
             .groupBy("month", "measure").agg(F.sum("value").alias("value")))
     keys = [f"{c}_{k}_cpo" for c in call_centers for k in ("new", "withdrawal")]
     wide = pivot_wide(long, ["month"], "measure", "value", keys, fill=0.0)
