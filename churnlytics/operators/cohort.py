@@ -40,19 +40,28 @@ def with_column_key(df: DataFrame, split_campaign: str | None = SPLIT_CAMPAIGN,
     return df.withColumn(out, split_key(campaign_col, amount_col, split_campaign))
 
 
+def weighted_count(pred: Column | None = None, weight: str | None = None) -> Column:
+    """``count_if(pred)`` on contracts, or the sum of ``weight`` over rows of a
+    pre-aggregated table (B13 base)."""
+    if weight is None:
+        return F.count(F.lit(1)) if pred is None else F.count_if(pred)
+    w = F.col(weight)
+    return F.sum(w if pred is None else F.when(pred, w).otherwise(F.lit(0))).cast("long")
+
+
 def cohort_long(df: DataFrame, month_col: str = "acq_month", key_col: str = "campaign",
                 deletion_types: Iterable[int] | None = None, extra_keys: Sequence[str] = (),
-                value: str = "n") -> DataFrame:
+                value: str = "n", weight: str | None = None) -> DataFrame:
     """A1/A3 long form: one row per (month, key) present in the input.
 
     With ``deletion_types`` the count is a conditional count over *all* rows,
     so every month of the input appears (A3's "given row set") with 0 where no
     contract of those types exists - one pass, no join against a month list.
     """
-    pred: Column = F.lit(True) if deletion_types is None else F.col("deletion_type").isin(list(deletion_types))
+    pred = None if deletion_types is None else F.col("deletion_type").isin(list(deletion_types))
     return (df.where(F.col(month_col).isNotNull())
             .groupBy(*extra_keys, month_col, key_col)
-            .agg(F.count_if(pred).alias(value)))
+            .agg(weighted_count(pred, weight).alias(value)))
 
 
 def pivot_wide(long_df: DataFrame, row_cols: Sequence[str], key_col: str, value_col: str,
@@ -70,34 +79,34 @@ def pivot_wide(long_df: DataFrame, row_cols: Sequence[str], key_col: str, value_
 
 def cohort_matrix(df: DataFrame, month_col: str = "acq_month", key_col: str = "campaign",
                   keys: Sequence | None = None, deletion_types: Iterable[int] | None = None,
-                  extra_keys: Sequence[str] = ()) -> DataFrame:
+                  extra_keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """A1/A3 wide: rows = month (ascending), one count column per key."""
-    long = cohort_long(df, month_col, key_col, deletion_types, extra_keys)
+    long = cohort_long(df, month_col, key_col, deletion_types, extra_keys, weight=weight)
     return pivot_wide(long, [*extra_keys, month_col], key_col, "n", keys).orderBy(*extra_keys, month_col)
 
 
 def cohort_matrix_split(df: DataFrame, month_col: str = "acq_month", keys: Sequence | None = None,
                         deletion_types: Iterable[int] | None = None,
-                        split_campaign: str = SPLIT_CAMPAIGN) -> DataFrame:
+                        split_campaign: str = SPLIT_CAMPAIGN, weight: str | None = None) -> DataFrame:
     """A2 (and A3 with ``deletion_types``): campaign columns, the split campaign by amount."""
     keyed = with_column_key(df, split_campaign)
-    return cohort_matrix(keyed, month_col, "column_key", keys, deletion_types)
+    return cohort_matrix(keyed, month_col, "column_key", keys, deletion_types, weight=weight)
 
 
 def quota_long(df: DataFrame, month_col: str = "acq_month", key_col: str = "column_key",
-               deletion_types: Iterable[int] = WITHDRAWAL_TYPES) -> DataFrame:
+               deletion_types: Iterable[int] = WITHDRAWAL_TYPES, weight: str | None = None) -> DataFrame:
     """A4 long: ``100 * count_if(type in deletion_types) / count(*)`` per (month, key)."""
+    pred = F.col("deletion_type").isin(list(deletion_types))
     return (df.where(F.col(month_col).isNotNull())
             .groupBy(month_col, key_col)
-            .agg((F.count_if(F.col("deletion_type").isin(list(deletion_types))) * 100.0
-                  / F.count(F.lit(1))).alias("quota")))
+            .agg((weighted_count(pred, weight) * 100.0 / weighted_count(None, weight)).alias("quota")))
 
 
 def withdrawal_quota(df: DataFrame, month_col: str = "acq_month", keys: Sequence | None = None,
-                     split_campaign: str = SPLIT_CAMPAIGN) -> DataFrame:
+                     split_campaign: str = SPLIT_CAMPAIGN, weight: str | None = None) -> DataFrame:
     """A4 wide: one pass computes numerator and denominator together; a cell
     with no contracts is 0 (the safe-ratio rule P23)."""
-    long = quota_long(with_column_key(df, split_campaign), month_col)
+    long = quota_long(with_column_key(df, split_campaign), month_col, weight=weight)
     return pivot_wide(long, [month_col], "column_key", "quota", keys, fill=0.0).orderBy(month_col)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlytics.functions import columns as C
-from churnlytics.operators.cohort import pivot_wide, with_column_key, with_gap_markers
+from churnlytics.operators.cohort import pivot_wide, weighted_count, with_column_key, with_gap_markers
 from churnlytics.schema import (PRODUCT_MAIN, PRODUCT_SECOND, SETTLEMENT_REQUIRED, TERMINATION_TYPES,
                                 WITHDRAWAL_TYPES, SettlementParams)
 from churnlytics.sources import require_columns
@@ -55,7 +55,7 @@ def _ufc_label(p: SettlementParams) -> Column:
 
 # --- B1 / B2 ---------------------------------------------------------------
 def cpo_new(df: DataFrame, p: SettlementParams, keys: Sequence[str] | None = None,
-            by_product: bool = False, product: int | None = None) -> DataFrame:
+            by_product: bool = False, product: int | None = None, weight: str | None = None) -> DataFrame:
     """B1/B2: new-business count per (month, column key) times the month's fee.
 
     ``product`` filters one product (B2); ``by_product`` keeps the product as
@@ -64,21 +64,22 @@ def cpo_new(df: DataFrame, p: SettlementParams, keys: Sequence[str] | None = Non
     d = df if product is None else df.where(F.col("product_code") == product)
     rows = ["product_code", "acq_month"] if by_product else ["acq_month"]
     long = (with_column_key(d, p.split_campaign).where(F.col("acq_month").isNotNull())
-            .groupBy(*rows, "column_key").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(*rows, "column_key").agg(weighted_count(None, weight).alias("n"))
             .withColumn("value", F.col("n") * fee("acq_month", p)))
     return pivot_wide(long, rows, "column_key", "value", keys, fill=0.0).orderBy(*rows)
 
 
 # --- B3 ----------------------------------------------------------------------
 def cpo_withdrawal(df: DataFrame, p: SettlementParams, keys: Sequence[str] | None = None,
-                   product: int | None = PRODUCT_MAIN, rollups: Sequence[str] = ("FO", "JD")) -> DataFrame:
+                   product: int | None = PRODUCT_MAIN, rollups: Sequence[str] = ("FO", "JD"),
+                   weight: str | None = None) -> DataFrame:
     """Withdrawals {1,2,5} by deletion month times the month's fee, every
     calendar month between the first and last deletion month present, plus
     call-center roll-ups over the columns with that prefix."""
     d = df if product is None else df.where(F.col("product_code") == product)
     long = (with_column_key(d, p.split_campaign)
             .where(F.col("deletion_type").isin(list(WITHDRAWAL_TYPES)) & F.col("del_month").isNotNull())
-            .groupBy("del_month", "column_key").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("del_month", "column_key").agg(weighted_count(None, weight).alias("n"))
             .withColumn("value", F.col("n") * fee("del_month", p)))
     long = with_gap_markers(long.select("del_month", "column_key", "value"), "del_month", "column_key", "value")
     wide = pivot_wide(long, ["del_month"], "column_key", "value", keys, fill=0.0)
@@ -90,16 +91,28 @@ def cpo_withdrawal(df: DataFrame, p: SettlementParams, keys: Sequence[str] | Non
 
 
 # --- B4 - B6 -----------------------------------------------------------------
-def ufc_new(df: DataFrame, p: SettlementParams) -> DataFrame:
+def _w(weight: str | None) -> Column:
+    return F.lit(1.0) if weight is None else F.col(weight).cast("double")
+
+
+def span_months(df: DataFrame) -> Column:
+    """P12 span of the due dates, or the pre-computed ``span_months`` of a B13 base."""
+    if "span_months" in df.columns:
+        return F.col("span_months")
+    return C.month_span("first_due_date", "last_due_date")
+
+
+def ufc_new(df: DataFrame, p: SettlementParams, weight: str | None = None) -> DataFrame:
     """Split campaign, months after the threshold; count x tariff per amount."""
     d = (df.where((F.col("campaign") == p.split_campaign) & (F.col("acq_month") > p.threshold))
          .withColumn("t", tariff(p)).where(F.col("t").isNotNull()))
     long = (d.groupBy("acq_month", _ufc_label(p).alias("k"))
-            .agg(F.sum("t").alias("value")))
+            .agg(F.sum(F.col("t") * _w(weight)).alias("value")))
     return pivot_wide(long, ["acq_month"], "k", "value", ufc_keys(p), fill=0.0).orderBy("acq_month")
 
 
-def ufc_withdrawal(df: DataFrame, p: SettlementParams, cohort_rule: str = "none") -> DataFrame:
+def ufc_withdrawal(df: DataFrame, p: SettlementParams, cohort_rule: str = "none",
+                   weight: str | None = None) -> DataFrame:
     """Withdrawals {1,2,5} of the split campaign by deletion month, x tariff.
 
     ``cohort_rule``: ``none`` (all), ``same_month`` (acquisition month = deletion
@@ -117,13 +130,14 @@ def ufc_withdrawal(df: DataFrame, p: SettlementParams, cohort_rule: str = "none"
     val = F.col("t")
     if cohort_rule != "none":
         val = F.when(F.col("del_month") > p.threshold, val).otherwise(F.lit(0.0))
-    long = d.groupBy("del_month", _ufc_label(p).alias("k")).agg(F.sum(val).alias("value"))
+    long = d.groupBy("del_month", _ufc_label(p).alias("k")).agg(F.sum(val * _w(weight)).alias("value"))
     return pivot_wide(long, ["del_month"], "k", "value", ufc_keys(p), fill=0.0).orderBy("del_month")
 
 
-def clawback_factor(p: SettlementParams) -> Column:
+def clawback_factor(p: SettlementParams, span: Column | None = None) -> Column:
     """``1 - months/24`` with months = P12 span of the due dates."""
-    return F.lit(1.0) - C.month_span("first_due_date", "last_due_date") / F.lit(float(p.clawback_months))
+    span = C.month_span("first_due_date", "last_due_date") if span is None else span
+    return F.lit(1.0) - span / F.lit(float(p.clawback_months))
 
 
 def ufc_clawback_rows(df: DataFrame, p: SettlementParams) -> DataFrame:
@@ -132,15 +146,15 @@ def ufc_clawback_rows(df: DataFrame, p: SettlementParams) -> DataFrame:
     return (df.where((F.col("campaign") == p.split_campaign)
                      & F.col("deletion_type").isin(list(TERMINATION_TYPES))
                      & (F.col("acq_month") > p.threshold) & F.col("del_month").isNotNull())
-            .withColumn("span_months", C.month_span("first_due_date", "last_due_date"))
+            .withColumn("span_months", span_months(df))
             .where(F.col("span_months") < p.clawback_months))
 
 
-def ufc_clawback(df: DataFrame, p: SettlementParams) -> DataFrame:
+def ufc_clawback(df: DataFrame, p: SettlementParams, weight: str | None = None) -> DataFrame:
     """Sum of ``(1 - months/24) x tariff`` per (deletion month, amount)."""
     d = ufc_clawback_rows(df, p).withColumn("t", tariff(p)).where(F.col("t").isNotNull())
     long = d.groupBy("del_month", _ufc_label(p).alias("k")).agg(
-        F.sum(clawback_factor(p) * F.col("t")).alias("value"))
+        F.sum(clawback_factor(p, F.col("span_months")) * F.col("t") * _w(weight)).alias("value"))
     return pivot_wide(long, ["del_month"], "k", "value", ufc_keys(p), fill=0.0).orderBy("del_month")
 
 
@@ -150,19 +164,19 @@ RESULT_MEASURES = ["fo_new_cpo", "fo_withdrawal_cpo", "fo_new_cpo_3783", "fo_wit
                    "ts_new_cpo", "ts_withdrawal_cpo", "m3_new_cpo", "m3_withdrawal_cpo"]
 
 
-def settlement_measures(df: DataFrame, p: SettlementParams) -> DataFrame:
+def settlement_measures(df: DataFrame, p: SettlementParams, weight: str | None = None) -> DataFrame:
     """Long form of B7: ``(month, measure, value)`` summed over contracts.
 
     One scan; every contract emits at most six measure rows. Months of all
     component tables are kept (a ``_month`` marker row carries value 0).
     Per-row inputs (tariff, due-date span, call center, fees) are computed
     once in a projection below the explode."""
-    require_columns(df, SETTLEMENT_REQUIRED + ("first_due_date", "last_due_date"))
-    base = df.select(
+    require_columns(df, SETTLEMENT_REQUIRED)
+    base = df.select(_w(weight).alias("_wt"), 
         F.col("acq_month"), F.col("del_month"), F.col("deletion_type"), F.col("product_code"), F.col("campaign"),
         F.lower(F.split_part(F.col("campaign"), F.lit("-"), F.lit(1))).alias("_cc"),
         tariff(p).alias("_t"),
-        C.month_span("first_due_date", "last_due_date").alias("_span"),
+        span_months(df).alias("_span"),
         fee("acq_month", p).alias("_fee_acq"), fee("del_month", p).alias("_fee_del"))
     prod = F.col("product_code")
     suffix = F.when(prod == PRODUCT_SECOND, F.lit("_3783")).otherwise(F.lit(""))
@@ -176,7 +190,7 @@ def settlement_measures(df: DataFrame, p: SettlementParams) -> DataFrame:
 
     def row(cond, month, measure, value):
         return F.when(cond, F.struct(month.cast("int").alias("month"), measure.alias("measure"),
-                                     value.cast("double").alias("value")))
+                                     (value.cast("double") * F.col("_wt")).alias("value")))
 
     sign = float(p.withdrawal_sign)
     rows = F.array(
@@ -193,13 +207,14 @@ def settlement_measures(df: DataFrame, p: SettlementParams) -> DataFrame:
     return exploded.groupBy("month", "measure").agg(F.sum("value").alias("value"))
 
 
-def settlement_result(df: DataFrame, p: SettlementParams, placeholders: bool = False) -> DataFrame:
+def settlement_result(df: DataFrame, p: SettlementParams, placeholders: bool = False,
+                      weight: str | None = None) -> DataFrame:
     """Monthly result table (one row per month of any component table).
 
     The withdrawal tables of each product are gap-filled between their first
     and last month; the markers are added in the same pass over the
     aggregated measures, so the contracts are scanned once."""
-    long = settlement_measures(df, p)
+    long = settlement_measures(df, p, weight)
     group = (F.when(F.col("measure").endswith("_withdrawal_cpo"), F.lit("cpo"))
              .when(F.col("measure").endswith("_withdrawal_cpo_3783"), F.lit("cpo_3783")))
     allrows = with_gap_markers(long, "month", "measure", "value", group)
@@ -236,22 +251,43 @@ def short_result(df: DataFrame, p: SettlementParams, call_centers: Sequence[str]
     return wide.select(C.month_label("month").alias("month"), *keys).orderBy("month")
 
 
-def settlement_tables(df: DataFrame, p: SettlementParams, keys: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """The whole settlement run as named lazy tables (written by S6)."""
+BASE_KEYS = ("acq_month", "del_month", "campaign", "product_code", "amount", "deletion_type")
+
+
+def settlement_base(df: DataFrame, p: SettlementParams) -> DataFrame:
+    """B13 base: contracts counted per settlement key and due-date span.
+
+    Spans of ``clawback_months`` or more never enter the claw-back, so they
+    share one bucket; the result's size depends on the key domains (months,
+    campaigns, amounts, types, spans), not on the number of contracts."""
+    require_columns(df, SETTLEMENT_REQUIRED + ("first_due_date", "last_due_date"))
+    span = F.least(C.month_span("first_due_date", "last_due_date"), F.lit(p.clawback_months)).alias("span_months")
+    return df.groupBy(*BASE_KEYS, span).agg(F.count(F.lit(1)).alias("n"))
+
+
+def settlement_tables(df: DataFrame, p: SettlementParams, keys: Sequence[str] | None = None,
+                      base: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole settlement run as named tables derived from ONE base
+    aggregate (``settlement_base``), materialised once with a reliable
+    checkpoint so the 13 tables do not rescan the contracts."""
     from churnlytics.operators import cohort as K
+    from churnlytics.session import cut_lineage
+    b = cut_lineage(settlement_base(df, p)) if base is None else base
+    w = "n"
     return {
         "contracts": df,
-        "new_business": K.cohort_matrix_split(df, "acq_month", keys, None, p.split_campaign),
-        "withdrawals": K.cohort_matrix_split(df, "acq_month", keys, WITHDRAWAL_TYPES, p.split_campaign),
-        "terminations": K.cohort_matrix_split(df, "del_month", keys, TERMINATION_TYPES, p.split_campaign),
-        "withdrawals_by_del_month": K.cohort_matrix_split(df, "del_month", keys, WITHDRAWAL_TYPES, p.split_campaign),
-        "withdrawal_quota": K.withdrawal_quota(df, "acq_month", keys, p.split_campaign),
-        "cpo_new": cpo_new(df, p, keys, product=PRODUCT_MAIN),
-        "cpo_withdrawal": cpo_withdrawal(df, p, keys, product=PRODUCT_MAIN),
-        "cpo_new_3783": cpo_new(df, p, None, product=PRODUCT_SECOND),
-        "cpo_withdrawal_3783": cpo_withdrawal(df, p, None, product=PRODUCT_SECOND),
-        "ufc_new": ufc_new(df, p),
-        "ufc_withdrawal": ufc_withdrawal(df, p, "none"),
-        "ufc_clawback": ufc_clawback(df, p),
-        "result": settlement_result(df, p),
+        "new_business": K.cohort_matrix_split(b, "acq_month", keys, None, p.split_campaign, weight=w),
+        "withdrawals": K.cohort_matrix_split(b, "acq_month", keys, WITHDRAWAL_TYPES, p.split_campaign, weight=w),
+        "terminations": K.cohort_matrix_split(b, "del_month", keys, TERMINATION_TYPES, p.split_campaign, weight=w),
+        "withdrawals_by_del_month": K.cohort_matrix_split(b, "del_month", keys, WITHDRAWAL_TYPES, p.split_campaign,
+                                                          weight=w),
+        "withdrawal_quota": K.withdrawal_quota(b, "acq_month", keys, p.split_campaign, weight=w),
+        "cpo_new": cpo_new(b, p, keys, product=PRODUCT_MAIN, weight=w),
+        "cpo_withdrawal": cpo_withdrawal(b, p, keys, product=PRODUCT_MAIN, weight=w),
+        "cpo_new_3783": cpo_new(b, p, None, product=PRODUCT_SECOND, weight=w),
+        "cpo_withdrawal_3783": cpo_withdrawal(b, p, None, product=PRODUCT_SECOND, weight=w),
+        "ufc_new": ufc_new(b, p, weight=w),
+        "ufc_withdrawal": ufc_withdrawal(b, p, "none", weight=w),
+        "ufc_clawback": ufc_clawback(b, p, weight=w),
+        "result": settlement_result(b, p, weight=w),
     }

@@ -29,3 +29,22 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "month" in df.columns
+
+
+def test_settlement_tables_from_base_equal_raw(spark, sf_small):
+    from churnlytics.operators import settlement as S
+    from churnlytics.plans.common import PARAMS, SPLIT_KEYS
+    from churnlytics.schema import WITHDRAWAL_TYPES
+    c = contracts(spark, sf_small)
+    t = S.settlement_tables(c, PARAMS, SPLIT_KEYS)
+
+    def same(a, b):
+        ra = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in a.collect())
+        rb = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in b.collect())
+        assert ra == rb
+    same(t["result"], S.settlement_result(c, PARAMS))
+    same(t["ufc_clawback"], S.ufc_clawback(c, PARAMS))
+    same(t["ufc_withdrawal"], S.ufc_withdrawal(c, PARAMS, "none"))
+    same(t["cpo_withdrawal"], S.cpo_withdrawal(c, PARAMS, SPLIT_KEYS))
+    same(t["withdrawal_quota"], K.withdrawal_quota(c, "acq_month", SPLIT_KEYS))
+    same(t["withdrawals"], K.cohort_matrix_split(c, "acq_month", SPLIT_KEYS, WITHDRAWAL_TYPES))
