@@ -1,12 +1,20 @@
-"""Exact quantiles without holding a group's rows in memory.
-
-``percentile`` keeps every value of a group in one task; for day counts,
-months and premium amounts the number of *distinct* values is small, so the
-exact quantile is computed from a value -> count table instead: counts are
-partially aggregated before the shuffle, ranks come from a running sum over
-the distinct values, and the pandas rule (linear interpolation between ranks
-``floor(h)`` and ``ceil(h)``, ``h = (n - 1) q``) is applied per group.
-``approx=True`` switches to ``percentile_approx`` for continuous columns.
+"""Exact quantiles without holding a group's rows in memory.
+
+``percentile`` keeps every value of a group in one task. Here the rows are
+first reduced to a value -> count table (partial aggregation before the
+shuffle); ranks come from running sums over *distinct* values and the pandas
+rule is applied: linear interpolation between the values at ranks
+``floor(h)`` and ``ceil(h)``, ``h = (n - 1) q``.
+
+* Few distinct values (days, months, amounts): one window per group over the
+  distinct values.
+* Many distinct values (continuous scores): the distinct values are
+  range-bucketed by approximate quantile cut points (at most ``buckets``
+  literals); bucket totals per group (groups x buckets numbers) locate the
+  bucket of every requested rank, and only those buckets are ranked, each in
+  its own task.
+
+``approx=True`` switches to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -16,33 +24,75 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SMALL_DISTINCT = 200_000
 
-def quantiles(df: DataFrame, value_col: str, qs: Sequence[float], group_cols: Sequence[str] = (),
-              approx: bool = False, accuracy: int = 100_000) -> DataFrame:
-    """Rows ``(*group_cols, q, value)``, one per group and requested quantile."""
-    qs = [float(q) for q in qs]
-    base = df.where(F.col(value_col).isNotNull())
-    if approx:
-        agg = base.groupBy(*group_cols).agg(
-            F.percentile_approx(F.col(value_col).cast("double"), qs, accuracy).alias("_v"))
-        return agg.select(*group_cols, F.posexplode("_v").alias("_i", "value")) \
-                  .select(*group_cols, F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("_i") + 1).alias("q"),
-                          "value")
-    counts = base.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    wn = Window.partitionBy(*group_cols)
-    ranked = counts.select(*group_cols, F.col(value_col).cast("double").alias("_x"),
-                           F.sum("_c").over(w).alias("_hi"), F.sum("_c").over(wn).alias("_n"))
+
+def _approx(base: DataFrame, value_col: str, qs: list[float], group_cols: Sequence[str], accuracy: int) -> DataFrame:
+    agg = base.groupBy(*group_cols).agg(F.percentile_approx(F.col(value_col).cast("double"), qs, accuracy).alias("_v"))
+    return agg.select(*group_cols, F.posexplode("_v").alias("_i", "value")) \
+              .select(*group_cols, F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("_i") + 1).alias("q"), "value")
+
+
+def _interpolate(ranked: DataFrame, group_cols: Sequence[str], qs: list[float], hi_col: str, n_col: str) -> DataFrame:
+    """From rows (*groups, _x, hi, n) with running counts, the pandas-rule value per (group, q)."""
     per_q = ranked.select("*", F.explode(F.array(*[F.lit(q) for q in qs])).alias("q")) \
-        .withColumn("_h", (F.col("_n") - 1) * F.col("q")) \
+        .withColumn("_h", (F.col(n_col) - 1) * F.col("q")) \
         .withColumn("_k0", F.floor("_h")).withColumn("_k1", F.ceil("_h"))
     agg = per_q.groupBy(*group_cols, "q").agg(
-        F.min(F.when(F.col("_hi") > F.col("_k0"), F.col("_x"))).alias("_v0"),
-        F.min(F.when(F.col("_hi") > F.col("_k1"), F.col("_x"))).alias("_v1"),
+        F.min(F.when(F.col(hi_col) > F.col("_k0"), F.col("_x"))).alias("_v0"),
+        F.min(F.when(F.col(hi_col) > F.col("_k1"), F.col("_x"))).alias("_v1"),
         F.first("_h").alias("_h"), F.first("_k0").alias("_k0"))
     return agg.select(*group_cols, "q",
                       (F.col("_v0") + (F.col("_h") - F.col("_k0")) * (F.col("_v1") - F.col("_v0"))).alias("value"))
 
 
+def quantiles(df: DataFrame, value_col: str, qs: Sequence[float], group_cols: Sequence[str] = (),
+              approx: bool = False, accuracy: int = 100_000, buckets: int = 256,
+              small_distinct: int = SMALL_DISTINCT) -> DataFrame:
+    """Rows ``(*group_cols, q, value)``, one per group and requested quantile."""
+    qs = [float(q) for q in qs]
+    base = df.where(F.col(value_col).isNotNull())
+    if approx:
+        return _approx(base, value_col, qs, group_cols, accuracy)
+    counts = base.groupBy(*group_cols, F.col(value_col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    n_distinct = counts.limit(small_distinct + 1).count()
+    if n_distinct <= small_distinct:
+        w = Window.partitionBy(*group_cols).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.select(*group_cols, "_x", F.sum("_c").over(w).alias("_hi"),
+                               F.sum("_c").over(Window.partitionBy(*group_cols)).alias("_n"))
+        return _interpolate(ranked, group_cols, qs, "_hi", "_n")
+    return _bucketed(counts, group_cols, qs, buckets)
+
+
+def _bucketed(counts: DataFrame, group_cols: Sequence[str], qs: list[float], buckets: int) -> DataFrame:
+    if not group_cols:
+        out = _bucketed(counts.withColumn("_g0", F.lit(0)), ["_g0"], qs, buckets)
+        return out.drop("_g0")
+    cuts = sorted(set(counts.approxQuantile("_x", [i / buckets for i in range(1, buckets)], 0.0005)))
+    b = F.lit(0)
+    for c in cuts:
+        b = b + F.when(F.col("_x") > F.lit(c), 1).otherwise(0)
+    keyed = counts.withColumn("_b", b.cast("int"))
+    # totals per (group, bucket): at most groups x (len(cuts) + 1) rows
+    tot = keyed.groupBy(*group_cols, "_b").agg(F.sum("_c").alias("_bc"))
+    wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    tot = tot.select(*group_cols, "_b", "_bc", F.sum("_bc").over(wb).alias("_cum"),
+                     F.sum("_bc").over(Window.partitionBy(*group_cols)).alias("_n"))
+    # buckets holding a requested rank (floor/ceil of (n - 1) q)
+    ks = tot.select(*group_cols, "_n").distinct().select(
+        *group_cols, "_n", F.explode(F.array(*[F.lit(q) for q in qs])).alias("q"))
+    ks = ks.select(*group_cols, "_n", F.explode(F.array(F.floor((F.col("_n") - 1) * F.col("q")),
+                                                        F.ceil((F.col("_n") - 1) * F.col("q")))).alias("_k"))
+    need = ks.join(tot, list(group_cols), "inner")
+    need = need.where((F.col("_cum") > F.col("_k")) & (F.col("_cum") - F.col("_bc") <= F.col("_k"))) \
+               .select(*group_cols, "_b", (F.col("_cum") - F.col("_bc")).alias("_off")).distinct()
+    sel = keyed.join(F.broadcast(need), [*group_cols, "_b"], "inner")
+    w = Window.partitionBy(*group_cols, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sel.select(*group_cols, "_x", (F.col("_off") + F.sum("_c").over(w)).alias("_hi"))
+    n = tot.select(*group_cols, "_n").distinct()
+    ranked = ranked.join(F.broadcast(n), list(group_cols), "inner")
+    return _interpolate(ranked, group_cols, qs, "_hi", "_n")
+
+
 def median(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), approx: bool = False) -> DataFrame:
     return quantiles(df, value_col, [0.5], group_cols, approx).drop("q").withColumnRenamed("value", "median")
