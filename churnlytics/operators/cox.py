@@ -85,25 +85,23 @@ def _per_time_sums(df: DataFrame, features: Sequence[str], beta: np.ndarray, tim
     for j in range(p):
         for k in range(j, p):
             aggs += [F.sum(w * x[j] * x[k]).alias(f"s2_{j}_{k}"), F.sum(e * w * x[j] * x[k]).alias(f"d2_{j}_{k}")]
-    rows = df.groupBy(F.col(time_col).cast("int").alias("t")).agg(*aggs).orderBy("t").collect()
-    T = len(rows)
-    t = np.array([r["t"] for r in rows], dtype=np.int64)
-    n = np.array([r["n"] for r in rows], dtype=float)
-    d = np.array([r["d"] for r in rows], dtype=float)
-    s0 = np.array([r["s0"] for r in rows], dtype=float)
-    d0 = np.array([r["d0"] for r in rows], dtype=float)
-    exb = np.array([r["exb"] for r in rows], dtype=float)
-    s1 = np.array([[r[f"s1_{j}"] for j in range(p)] for r in rows], dtype=float).reshape(T, p)
-    d1 = np.array([[r[f"d1_{j}"] for j in range(p)] for r in rows], dtype=float).reshape(T, p)
-    xe = np.array([[r[f"xe_{j}"] for j in range(p)] for r in rows], dtype=float).reshape(T, p)
+    # one row per distinct time (bounded by the time domain); Arrow transfer
+    pdf = df.groupBy(F.col(time_col).cast("int").alias("t")).agg(*aggs).toPandas().sort_values("t")
+    T = len(pdf)
+
+    def col(name):
+        return pdf[name].to_numpy(dtype=float)
+    t = pdf["t"].to_numpy(dtype=np.int64)
+    n, d, s0, d0, exb = col("n"), col("d"), col("s0"), col("d0"), col("exb")
+    s1 = np.stack([col(f"s1_{j}") for j in range(p)], axis=1).reshape(T, p)
+    d1 = np.stack([col(f"d1_{j}") for j in range(p)], axis=1).reshape(T, p)
+    xe = np.stack([col(f"xe_{j}") for j in range(p)], axis=1).reshape(T, p)
     s2 = np.zeros((T, p, p))
     d2 = np.zeros((T, p, p))
     for j in range(p):
         for k in range(j, p):
-            a = np.array([r[f"s2_{j}_{k}"] for r in rows], dtype=float)
-            b = np.array([r[f"d2_{j}_{k}"] for r in rows], dtype=float)
-            s2[:, j, k] = s2[:, k, j] = a
-            d2[:, j, k] = d2[:, k, j] = b
+            s2[:, j, k] = s2[:, k, j] = col(f"s2_{j}_{k}")
+            d2[:, j, k] = d2[:, k, j] = col(f"d2_{j}_{k}")
     return t, n, d, s0, d0, exb, s1, d1, xe, s2, d2
 
 

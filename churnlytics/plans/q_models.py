@@ -10,7 +10,7 @@ from churnlytics.operators import evaluate as E
 from churnlytics.operators import features as X
 from churnlytics.operators import models as M
 from churnlytics.plans.catalog import register
-from churnlytics.session import cut_lineage
+from churnlytics.session import cut_lineage, spread_partitions
 from churnlytics.plans.common import AS_OF, contracts, rounded
 
 
@@ -18,7 +18,7 @@ def model_split(spark, sf_dir):
     """Model features, stratified split; the split is checkpointed to the
     shared checkpoint folder so the many fit jobs do not recompute it."""
     df = M.build_features(contracts(spark, sf_dir, region=True), AS_OF)
-    sp = cut_lineage(X.stratified_split(df))
+    sp = cut_lineage(spread_partitions(X.stratified_split(df)))
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 

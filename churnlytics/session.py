@@ -66,3 +66,10 @@ def cut_lineage(df):
     ``localCheckpoint``: a lost executor must not lose the data)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_partitions(df):
+    """Give a small frame at least ``defaultParallelism`` partitions before
+    iterative fits (a no-op for inputs that already have more partitions)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
