@@ -67,10 +67,15 @@ def km_curve(df: DataFrame, time_col: str = "duration", event_col: str = "event"
     g = (df.where(F.col(time_col).isNotNull())
          .groupBy(*strata, F.col(time_col).cast("int").alias("t"))
          .agg(F.sum(F.col(event_col).cast("long")).alias("events"), F.count(F.lit(1)).alias("_rows")))
-    zero = g.select(*strata).distinct().select(*strata, F.lit(0).alias("t"), F.lit(0).cast("long").alias("events"),
-                                               F.lit(0).cast("long").alias("_rows"))
-    g = g.unionByName(zero).groupBy(*strata, "t").agg(F.sum("events").alias("events"), F.sum("_rows").alias("_rows"))
     part = Window.partitionBy(*strata)
+    # t = 0 row per stratum, added in the same pass over the aggregated table
+    # (the first row of each stratum also emits a zero row; re-aggregated by t)
+    g = g.withColumn("_first", F.row_number().over(part.orderBy("t")) == 1)
+    own = F.struct(F.col("t"), F.col("events"), F.col("_rows"))
+    zero = F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("events"), F.lit(0).cast("long").alias("_rows"))
+    g = (g.select(*strata, F.explode(F.when(F.col("_first"), F.array(own, zero)).otherwise(F.array(own))).alias("_r"))
+         .select(*strata, "_r.*")
+         .groupBy(*strata, "t").agg(F.sum("events").alias("events"), F.sum("_rows").alias("_rows")))
     suffix = part.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
     prefix = part.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("at_risk", F.sum("_rows").over(suffix))

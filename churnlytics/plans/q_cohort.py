@@ -132,8 +132,7 @@ LEFT JOIN w ON w.del_month = m.del_month
 # --- O5 month union / A20 distinct -------------------------------------------
 @register("month_union")
 def q_month_union(spark, sf_dir):
-    c = contracts(spark, sf_dir)
-    return K.month_union((c, "acq_month"), (c, "del_month"), out="month")
+    return K.months_of(contracts(spark, sf_dir), ["acq_month", "del_month"], out="month")
 
 
 oracle("month_union", """

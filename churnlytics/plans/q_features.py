@@ -13,12 +13,14 @@ from churnlytics.plans.catalog import register
 from churnlytics.plans.common import CAMPAIGN_KEYS, rounded
 from churnlytics.plans.oracle import oracle
 from churnlytics.plans.q_survival import SPLIT_SQL, survival_base
+from churnlytics.session import cut_lineage
 
 NUMERIC = ["amount", "duration", "product_code"]
 
 
-def _split(spark, sf_dir, region=False):
-    sp = X.stratified_split(survival_base(spark, sf_dir, region=region))
+def _split(spark, sf_dir, region=False, due_dates=False):
+    # train and test both come from the split: cut the lineage once
+    sp = cut_lineage(X.stratified_split(survival_base(spark, sf_dir, region=region, due_dates=due_dates)))
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 
@@ -74,7 +76,7 @@ FROM tr GROUP BY event
 
 @register("median_impute")
 def q_median_impute(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
+    train, test = _split(spark, sf_dir, due_dates=True)
     med = X.fit_medians(train, ["del_month"])
     filled = X.impute(test.withColumn("del_month", F.col("del_month").cast("double")), med)
     return rounded(filled.agg(F.lit(med["del_month"]).cast("double").alias("median"),

@@ -17,7 +17,7 @@ from churnlytics.plans.common import AS_OF, contracts, rounded
 def model_split(spark, sf_dir):
     """Model features, stratified split; the split is checkpointed to the
     shared checkpoint folder so the many fit jobs do not recompute it."""
-    df = M.build_features(contracts(spark, sf_dir, region=True), AS_OF)
+    df = M.build_features(contracts(spark, sf_dir, due_dates=False, region=True), AS_OF)
     sp = cut_lineage(spread_partitions(X.stratified_split(df)))
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 

@@ -23,8 +23,9 @@ K7 = ("least(greatest(coalesce(CASE WHEN deletion_type > 0 THEN (deletion_allowe
 SURV = f"(SELECT *, {EV} AS event, {OBS} AS duration FROM contracts)"
 
 
-def survival_base(spark, sf_dir, region=False):
-    return KM.survival_frame(contracts(spark, sf_dir, region=region), AS_OF)
+def survival_base(spark, sf_dir, region=False, due_dates=False):
+    """K6 survival set; the line-item join (due dates) only when a caller needs it."""
+    return KM.survival_frame(contracts(spark, sf_dir, due_dates=due_dates, region=region), AS_OF)
 
 
 def km_sql(src: str, strata=(), min_size: int = 0, conf: bool = False, prefix: str = "k") -> tuple[str, str]:
