@@ -1,6 +1,6 @@
 """Cox proportional-hazards model.
 
-Each Newton iteration is one Spark job: with the current β broadcast as
+Each likelihood evaluation is one Spark job: with the current β broadcast as
 literals, every row computes ``w = exp(x·β)`` and the job sums, per distinct
 event time, ``w``, ``w·x``, ``w·x·xᵀ`` (all rows) and the same sums over the
 events (partial aggregation before the shuffle). The result has one row per
@@ -137,7 +137,8 @@ def _loglik_grad_hess(sums, ties: str):
 def fit_cox(df: DataFrame, features: Sequence[str], time_col: str = "duration", event_col: str = "event",
             penalizer: float = 0.1, l1_ratio: float = 0.0, ties: str = "breslow", max_iter: int = 50,
             tol: float = 1e-7, step_size: float = 1.0) -> CoxModel:
-    """Penalised Newton-Raphson with step halving; one Spark job per iteration."""
+    """Penalised Newton-Raphson with step halving; one Spark job per
+    likelihood evaluation (one per iteration unless the step is halved)."""
     features = list(features)
     p = len(features)
     data = df.select(*[F.col(f).cast("double").alias(f) for f in features],

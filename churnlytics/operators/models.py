@@ -113,14 +113,42 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
               .withColumn("predicted", F.col("prediction").cast("int"))
 
 
-def feature_importances(model: PipelineModel, top: int = 10) -> list[tuple[str, float]]:
-    """M2/O3: top feature importances of a tree model (names from the assembler metadata)."""
-    est = model.stages[-1]
-    imp = est.featureImportances.toArray()
-    names = [f"f{i}" for i in range(len(imp))]
+def feature_names(model: PipelineModel, df: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES) -> list[str]:
+    """Names of the assembled feature vector slots (from the ML attribute
+    metadata; scaled numeric slots are named after their input column)."""
+    meta = model.transform(fill_categories(df.limit(1))).schema["features"].metadata.get("ml_attr", {})
+    slots = {}
+    for group in meta.get("attrs", {}).values():
+        for a in group:
+            name = a.get("name", f"f{a['idx']}")
+            for prefix in ("num_scaled_", "num_vec_"):
+                if name.startswith(prefix) and name[len(prefix):].isdigit() and int(name[len(prefix):]) < len(numeric):
+                    name = numeric[int(name[len(prefix):])]
+            slots[a["idx"]] = name
+    return [slots.get(i, f"f{i}") for i in range(meta.get("num_attrs", len(slots)))]
+
+
+def feature_importances(model: PipelineModel, df: DataFrame, top: int = 10) -> list[tuple[str, float]]:
+    """M2/O3: the ``top`` feature importances of a tree model, by importance then name."""
+    imp = model.stages[-1].featureImportances.toArray()
+    names = feature_names(model, df)
+    names += [f"f{i}" for i in range(len(names), len(imp))]
     return sorted(zip(names, map(float, imp)), key=lambda x: (-x[1], x[0]))[:top]
 
 
+def save_models(models: dict, path: str) -> dict[str, str]:
+    """M8: persist a registry of fitted pipelines, one directory per name."""
+    out = {}
+    for name, m in models.items():
+        out[name] = f"{path.rstrip('/')}/{name}"
+        m.write().overwrite().save(out[name])
+    return out
+
+
+def load_models(names, path: str) -> dict:
+    return {n: PipelineModel.load(f"{path.rstrip('/')}/{n}") for n in names}
+
+
 def tune_gbt(train: DataFrame, n_trials: int = 8, folds: int = 5, seed: int = 42, parallelism: int = 4) -> PipelineModel:
     """M7: seeded random search over GBT parameters, k-fold AUC, Spark's CrossValidator."""
     rng = random.Random(seed)

@@ -77,3 +77,12 @@ def q_tune(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
     scored = scored.withColumn("score", vector_to_array("probability")[1])
     return rounded(E.evaluate(scored, "event", "predicted", "score").select(F.lit("tuned_gbt").alias("model"), "*"))
+
+
+@register("random_forest_importance")
+def q_rf_importance(spark, sf_dir):
+    """M2/O3: the 10 largest random-forest feature importances (fit on the training split)."""
+    train, _ = model_split(spark, sf_dir)
+    m = M.fit_model(train, "random_forest")
+    top = M.feature_importances(m, train, 10)
+    return spark.createDataFrame([(n, float(v)) for n, v in top], "feature string, importance double")

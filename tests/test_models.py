@@ -39,3 +39,16 @@ def test_fallback_chain(spark):
     assert kind == "kaplan_meier"
     kind, pred = COX.predict_with_fallback(df, df, ["x"], km_fallback=None, penalizers=(0.1,), max_iter=0)
     assert kind == "constant" and pred.first()["churn_probability"] == 0.5
+
+
+def test_importances_and_registry(spark):
+    import tempfile
+    df = _fixture(spark, n=600)
+    m = M.fit_model(df, "random_forest")
+    top = M.feature_importances(m, df, 5)
+    assert len(top) == 5 and top[0][1] >= top[-1][1]
+    assert any(name.startswith("campaign") or name.startswith("amount") or "num" in name for name, _ in top)
+    path = tempfile.mkdtemp(prefix="churnlytics-models-")
+    M.save_models({"rf": m}, path)
+    back = M.load_models(["rf"], path)["rf"]
+    assert back.transform(M.fill_categories(df)).count() == 600
