@@ -9,6 +9,7 @@ from churnlytics.operators import cox as COX
 from churnlytics.operators import evaluate as E
 from churnlytics.operators import features as X
 from churnlytics.operators import models as M
+from churnlytics.operators.enrich import drop_leakage
 from churnlytics.plans.catalog import register
 from churnlytics.session import cut_lineage, spread_partitions
 from churnlytics.plans.common import AS_OF, contracts, rounded
@@ -17,7 +18,8 @@ from churnlytics.plans.common import AS_OF, contracts, rounded
 def model_split(spark, sf_dir):
     """Model features, stratified split; the split is checkpointed to the
     shared checkpoint folder so the many fit jobs do not recompute it."""
-    df = M.build_features(contracts(spark, sf_dir, due_dates=False, region=True), AS_OF)
+    # Deletion-derived columns are dropped before any fit (event is kept)
+    df = drop_leakage(M.build_features(contracts(spark, sf_dir, due_dates=False, region=True), AS_OF))
     sp = cut_lineage(spread_partitions(X.stratified_split(df)))
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnlytics.operators import survival as KM
+from churnlytics.operators.enrich import drop_leakage
 from churnlytics.operators.features import stratified_split
 from churnlytics.operators.quantiles import median
 from churnlytics.plans.catalog import register
@@ -165,7 +166,8 @@ def km_predictions(spark, sf_dir):
     # the split feeds several fit jobs: cut the lineage once (reliable checkpoint)
     sp = cut_lineage(stratified_split(survival_base(spark, sf_dir, region=True)))
     train = sp.where(F.col("split") == "train")
-    test = sp.where(F.col("split") == "test")
+    # Deletion-derived columns never reach the prediction step
+    test = drop_leakage(sp.where(F.col("split") == "test"))
     return train, test, KM.km_predict(train, test, STRATA, horizon=1000, threshold=0.15)
 
 

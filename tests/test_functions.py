@@ -66,3 +66,10 @@ def test_premium_commission(spark):
     df = spark.createDataFrame([(10.0,)], "amount double")
     assert df.select(premium_value()).first()[0] == pytest.approx(43.80)
     assert df.select(premium_clawback_value(F.lit(12))).first()[0] == pytest.approx(-29.20)
+
+
+def test_drop_leakage_keeps_event(spark):
+    from churnlytics.operators.enrich import drop_leakage
+    df = spark.createDataFrame([(1, 1, 2, "x", 3, 4)],
+                               "id int, event int, deletion_type int, `Cancel Reason` string, del_month int, amount int")
+    assert drop_leakage(df).columns == ["id", "event", "amount"]
