@@ -45,3 +45,16 @@ def test_threshold_sweep_first_best_wins(spark):
     df = spark.createDataFrame([(0.9, 1), (0.1, 0)], "score double, event int")
     r = E.threshold_sweep(df, [0.2, 0.3, 0.95], "score").orderBy("idx").collect()
     assert [x["best_f1"] for x in r] == [True, False, False]
+
+
+def test_auc_matches_spark_ml_exact(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    rng = np.random.default_rng(5)
+    n = 4000
+    s = np.round(rng.random(n), 2)
+    y = (rng.random(n) < s).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"score": s, "event": y}))
+    ours = E.curve_summary(E.score_cumulative(df, "score")).first()["roc_auc"]
+    ml = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="event", metricName="areaUnderROC",
+                                       numBins=0).evaluate(df)
+    assert ours == pytest.approx(ml, abs=1e-9)
