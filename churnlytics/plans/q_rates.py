@@ -87,17 +87,17 @@ for _key in ("call_center", "channel", "campaign", "amount"):
 
 @register("rate_all_levels")
 def q_rate_levels(spark, sf_dir):
-    return rounded(R.rate_all_levels(_base(spark, sf_dir), ["call_center", "channel", "campaign"]))
+    return rounded(R.rate_all_levels(_base(spark, sf_dir), ["call_center", "channel", "campaign", "amount"]))
 
 
 oracle("rate_all_levels", f"""
 SELECT CASE WHEN grouping(call_center) = 0 THEN 'call_center' WHEN grouping(channel) = 0 THEN 'channel'
-            WHEN grouping(campaign) = 0 THEN 'campaign' ELSE 'all' END AS level,
+            WHEN grouping(campaign) = 0 THEN 'campaign' WHEN grouping(amount) = 0 THEN 'amount' ELSE 'all' END AS level,
        CASE WHEN grouping(call_center) = 0 THEN call_center WHEN grouping(channel) = 0 THEN channel
-            WHEN grouping(campaign) = 0 THEN campaign END AS key,
+            WHEN grouping(campaign) = 0 THEN campaign WHEN grouping(amount) = 0 THEN amount::VARCHAR END AS key,
        count(*) AS contracts, sum({EV})::BIGINT AS cancelled,
        round_even(sum({EV}) * 100.0 / count(*), 2)::DOUBLE AS rate
-FROM contracts GROUP BY GROUPING SETS ((call_center), (channel), (campaign), ())
+FROM contracts GROUP BY GROUPING SETS ((call_center), (channel), (campaign), (amount), ())
 """)
 
 
