@@ -220,32 +220,55 @@ def check_times(df: DataFrame, times: Sequence[int] = KM_CHECK_TIMES, time_col:
 
 
 # --- K10 / K11 predictions -----------------------------------------------------------
+def fit_km_lookup(train: DataFrame, columns: Sequence[str], horizon: int = 1000, time_col: str = "duration",
+                  event_col: str = "event", min_size: int = 30) -> dict:
+    """K10 fit: stratum rules plus, per column, ``stratum -> S(t*)``.
+
+    ``t*`` is the overall training curve's timeline point nearest to ``h``.
+    The overall curve is one more pseudo-column (``_all``) of the same
+    stratified aggregation, so every curve comes from one pass over the
+    training rows; ``t*`` is found by a window over the (small) curve table.
+    Strata other than the overall one need more than ``min_size`` rows; a
+    stratum curve without the time ``t*`` gives no value. The collected
+    result has at most (#columns x strata per column) rows."""
+    rules = fit_strata_all(train, columns)
+    rules["_all"] = {"kind": "top", "values": []}
+    curves = km_stratified(train.withColumn("_all", F.lit("all")), ["_all", *columns], rules,
+                           time_col, event_col, min_size=0)
+    is_all = F.col("variable") == "_all"
+    key = F.when(is_all, F.struct(F.abs(F.col("t") - F.lit(int(horizon))).alias("d"), F.col("t").alias("t")))
+    curves = (curves.withColumn("_size", F.max("at_risk").over(Window.partitionBy("variable", "stratum")))
+              .withColumn("_tstar", F.min_by("t", key).over(Window.partitionBy())))
+    rows = curves.where((F.col("t") == F.col("_tstar")) & (is_all | (F.col("_size") > min_size))) \
+                 .select("variable", "stratum", "survival").collect()
+    lookup: dict = {c: {} for c in ["_all", *columns]}
+    for r in rows:
+        lookup[r["variable"]][r["stratum"]] = float(r["survival"])
+    return {"rules": rules, "lookup": lookup, "columns": list(columns)}
+
+
 def km_predict(train: DataFrame, test: DataFrame, columns: Sequence[str], horizon: int = 1000,
                threshold: float = 0.15, time_col: str = "duration", event_col: str = "event",
-               min_size: int = 30) -> DataFrame:
-    """Churn probability ``1 - S(h)`` per test contract.
-
-    The time point is the overall training curve's timeline point nearest to
-    ``h``; a stratum curve overrides the overall value when the contract's
-    stratum (fitted on the training rows) has a curve containing that exact
-    time; the last column wins. Curve values reach the contracts through
-    broadcast joins with tables of at most (#strata per column) rows.
+               min_size: int = 30, model: dict | None = None) -> DataFrame:
+    """Churn probability ``1 - S(t*)`` per test contract: the overall
+    value, overridden by each column's stratum curve that has ``t*`` (the last
+    column wins). Scoring is a projection with literal map lookups (the fitted
+    lookup is bounded), so test rows are neither joined nor shuffled.
     Adds ``churn_probability`` and ``predicted`` (probability > threshold)."""
-    rules = fit_strata_all(train, columns)
-    overall = km_curve(train, time_col, event_col)
-    near = survival_at(overall, [horizon], nearest=True).first()
-    t_star, s_overall = int(near["t"]), float(near["survival"])
-    strat = km_stratified(train, columns, rules, time_col, event_col, min_size)
-    at_t = strat.where(F.col("t") == t_star).select("variable", "stratum", "survival")
-    keyed = test.withColumns({f"_s{i}": stratum_expr(c, rules[c]) for i, c in enumerate(columns)})
-    for i, c in enumerate(columns):
-        lk = at_t.where(F.col("variable") == c).select(F.col("stratum").alias(f"_s{i}"),
-                                                       F.col("survival").alias(f"_v{i}"))
-        keyed = keyed.join(F.broadcast(lk), f"_s{i}", "left")
-    surv = F.coalesce(*[F.col(f"_v{i}") for i in reversed(range(len(columns)))], F.lit(s_overall))
-    out = keyed.withColumn("churn_probability", F.lit(1.0) - surv)
-    out = out.withColumn("predicted", (F.col("churn_probability") > threshold).cast("int"))
-    return out.drop(*[f"_s{i}" for i in range(len(columns))], *[f"_v{i}" for i in range(len(columns))])
+    m = model or fit_km_lookup(train, columns, horizon, time_col, event_col, min_size)
+    rules, lookup = m["rules"], m["lookup"]
+    overall = lookup["_all"].get("all")
+    surv = F.lit(overall).cast("double")
+    for c in m["columns"]:
+        table = lookup[c]
+        if not table:
+            continue
+        pairs = []
+        for k, v in sorted(table.items()):
+            pairs += [F.lit(k), F.lit(v)]
+        surv = F.coalesce(F.try_element_at(F.create_map(*pairs), stratum_expr(c, rules[c])), surv)
+    out = test.withColumn("churn_probability", F.lit(1.0) - surv)
+    return out.withColumn("predicted", (F.col("churn_probability") > threshold).cast("int"))
 
 
 def adjust_prediction(prob: Column, duration: Column, amount: Column, amount_median: float,
