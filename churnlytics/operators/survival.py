@@ -232,7 +232,7 @@ def fit_km_lookup(train: DataFrame, columns: Sequence[str], horizon: int = 1000,
     stratum curve without the time ``t*`` gives no value. The collected
     result has at most (#columns x strata per column) rows."""
     rules = fit_strata_all(train, columns)
-    rules["_all"] = {"kind": "top", "values": []}
+    rules["_all"] = {"kind": "top", "values": ["all"]}
     curves = km_stratified(train.withColumn("_all", F.lit("all")), ["_all", *columns], rules,
                            time_col, event_col, min_size=0)
     is_all = F.col("variable") == "_all"
