@@ -6,11 +6,12 @@ descending; a window without ``partitionBy`` would move every distinct score
 into one task, so ``score_cumulative`` runs a distributed prefix sum:
 
 1. positives/negatives per distinct score (partial aggregation);
-2. range buckets from approximate quantiles of the distinct scores (at most
-   ``buckets`` cut points, computed once and applied as literals, so a
-   recomputed task lands every score in the same bucket);
-3. per-bucket totals (<= ``buckets`` rows) -> offsets by a running sum over
-   that tiny table, broadcast back;
+2. range buckets from approximate quantiles of the distinct scores (the
+   bucket count grows with the number of distinct scores; cut points are
+   computed once and applied as literals, so a recomputed task lands every
+   score in the same bucket);
+3. per-bucket totals (one row per bucket) -> offsets by a running sum over
+   that small table, broadcast back;
 4. running sums inside each bucket (``partitionBy(bucket)``) plus the offset.
 """
 
@@ -21,6 +22,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlytics.operators.buckets import bucket_count, cut_points, with_range_bucket
+
 
 def _safe(num: Column, den: Column) -> Column:
     """Ratio with 0 when the denominator is 0."""
@@ -80,18 +83,16 @@ def classification_report(df: DataFrame, label: str = "event", pred: str = "pred
 
 
 # --- E4 - E6 distributed prefix sum ---------------------------------------------------
-def score_cumulative(df: DataFrame, score: str = "score", label: str = "event", buckets: int = 64) -> DataFrame:
+def score_cumulative(df: DataFrame, score: str = "score", label: str = "event", buckets: int | None = None) -> DataFrame:
     """Per distinct score (descending): ``pos, neg, cum_pos, cum_neg`` where the
-    cumulative counts include every score >= this one."""
+    cumulative counts include every score >= this one. ``buckets`` defaults to
+    a count sized to the number of distinct scores (``operators.buckets``)."""
     g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(label).cast("long"))).alias("neg"))
-    cuts = sorted(set(g.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.001)))
-    # bucket = number of cut points strictly below the score (0 .. len(cuts)).
-    b = F.lit(0)
-    for c in cuts:
-        b = b + F.when(F.col("score") > F.lit(c), 1).otherwise(0)
-    g = g.withColumn("bucket", b.cast("int"))
+    if buckets is None:
+        buckets = bucket_count(g.count())
+    g = with_range_bucket(g, "score", cut_points(g, "score", buckets), "bucket")
     totals = g.groupBy("bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     above = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("bucket", F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_op"),

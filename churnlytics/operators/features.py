@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from churnlytics.operators.quantiles import quantiles
 
-HASH_BITS_BUCKET = 16
+HASH_BITS_BUCKET = 20
 
 
 def id_hash(id_col: str = "id") -> Column:
@@ -29,13 +29,13 @@ def stratified_split(df: DataFrame, label_col: str = "event", train_fraction: fl
     Within each class the rows are ordered by (hash(id), id); the first
     ``floor(train_fraction * n_class)`` are train. Exact and scalable:
 
-    1. counts per (class, top-16-bit hash bucket) - a partial aggregate of at
-       most 2^16 rows per class;
+    1. counts per (class, top-20-bit hash bucket) - a partial aggregate of at
+       most 2^20 rows per class;
     2. a running sum over that small table finds, per class, the boundary
        bucket and how many of its rows still go to train;
     3. rows outside the boundary bucket are labelled by comparison (map-side,
        the per-class boundary table is broadcast - one row per class);
-    4. only the boundary bucket (~ n / 65536 rows) is ranked by a window.
+    4. only the boundary bucket (~ n / 2^20 rows per class) is ranked by a window.
     """
     h = id_hash(id_col)
     rows = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - HASH_BITS_BUCKET))

@@ -9,10 +9,10 @@ rule is applied: linear interpolation between the values at ranks
 * Few distinct values (days, months, amounts): one window per group over the
   distinct values.
 * Many distinct values (continuous scores): the distinct values are
-  range-bucketed by approximate quantile cut points (at most ``buckets``
-  literals); bucket totals per group (groups x buckets numbers) locate the
-  bucket of every requested rank, and only those buckets are ranked, each in
-  its own task.
+  range-bucketed by approximate quantile cut points (the bucket count grows
+  with the number of distinct values, ``operators.buckets``); bucket totals
+  per group locate the bucket of every requested rank, and only those buckets
+  are ranked, each in its own task.
 
 ``approx=True`` switches to ``percentile_approx``.
 """
@@ -24,6 +24,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlytics.operators.buckets import bucket_count, cut_points, with_range_bucket
+
 SMALL_DISTINCT = 200_000
 
 
@@ -47,7 +49,7 @@ def _interpolate(ranked: DataFrame, group_cols: Sequence[str], qs: list[float],
 
 
 def quantiles(df: DataFrame, value_col: str, qs: Sequence[float], group_cols: Sequence[str] = (),
-              approx: bool = False, accuracy: int = 100_000, buckets: int = 256,
+              approx: bool = False, accuracy: int = 100_000, buckets: int | None = None,
               small_distinct: int = SMALL_DISTINCT) -> DataFrame:
     """Rows ``(*group_cols, q, value)``, one per group and requested quantile."""
     qs = [float(q) for q in qs]
@@ -61,18 +63,14 @@ def quantiles(df: DataFrame, value_col: str, qs: Sequence[float], group_cols: Se
         ranked = counts.select(*group_cols, "_x", F.sum("_c").over(w).alias("_hi"),
                                F.sum("_c").over(Window.partitionBy(*group_cols)).alias("_n"))
         return _interpolate(ranked, group_cols, qs, "_hi", "_n")
-    return _bucketed(counts, group_cols, qs, buckets)
+    return _bucketed(counts, group_cols, qs, buckets or bucket_count(counts.count(), minimum=256))
 
 
 def _bucketed(counts: DataFrame, group_cols: Sequence[str], qs: list[float], buckets: int) -> DataFrame:
     if not group_cols:
         out = _bucketed(counts.withColumn("_g0", F.lit(0)), ["_g0"], qs, buckets)
         return out.drop("_g0")
-    cuts = sorted(set(counts.approxQuantile("_x", [i / buckets for i in range(1, buckets)], 0.0005)))
-    b = F.lit(0)
-    for c in cuts:
-        b = b + F.when(F.col("_x") > F.lit(c), 1).otherwise(0)
-    keyed = counts.withColumn("_b", b.cast("int"))
+    keyed = with_range_bucket(counts, "_x", cut_points(counts, "_x", buckets), "_b")
     # totals per (group, bucket): at most groups x (len(cuts) + 1) rows
     tot = keyed.groupBy(*group_cols, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
