@@ -102,12 +102,20 @@ def span_months(df: DataFrame) -> Column:
     return C.month_span("first_due_date", "last_due_date")
 
 
-def ufc_new(df: DataFrame, p: SettlementParams, weight: str | None = None) -> DataFrame:
-    """Split campaign, months after the threshold; count x tariff per amount."""
-    d = (df.where((F.col("campaign") == p.split_campaign) & (F.col("acq_month") > p.threshold))
-         .withColumn("t", tariff(p)).where(F.col("t").isNotNull()))
+def ufc_new(df: DataFrame, p: SettlementParams, weight: str | None = None, early_months: str = "drop") -> DataFrame:
+    """Split campaign; count x tariff per amount by acquisition month.
+
+    Months up to the threshold are dropped (``early_months='drop'``) or kept
+    as rows with value 0 (``'zero'``, the older variant)."""
+    cond = F.col("campaign") == p.split_campaign
+    if early_months == "drop":
+        cond = cond & (F.col("acq_month") > p.threshold)
+    elif early_months != "zero":
+        raise ValueError(f"unknown early_months {early_months!r}")
+    d = df.where(cond & F.col("acq_month").isNotNull()).withColumn("t", tariff(p)).where(F.col("t").isNotNull())
+    val = F.when(F.col("acq_month") > p.threshold, F.col("t")).otherwise(F.lit(0.0))
     long = (d.groupBy("acq_month", _ufc_label(p).alias("k"))
-            .agg(F.sum(F.col("t") * _w(weight)).alias("value")))
+            .agg(F.sum(val * _w(weight)).alias("value")))
     return pivot_wide(long, ["acq_month"], "k", "value", ufc_keys(p), fill=0.0).orderBy("acq_month")
 
 

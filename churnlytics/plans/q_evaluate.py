@@ -209,3 +209,34 @@ oracle("split_summary", """
 SELECT split, count(*) AS n, round(avg(event::DOUBLE), 6) AS event_rate, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
 FROM sp GROUP BY split
 """, extra_ctes=PRED.split(",\ntr AS")[0])
+
+
+PERCENTILES = [50, 60, 70, 75, 80, 90]
+
+
+@register("threshold_sweep_percentiles")
+def q_sweep_pct(spark, sf_dir):
+    """E7 variant: thresholds at percentiles of the scores, best by F1."""
+    p = _pred(spark, sf_dir)
+    return rounded(E.threshold_sweep(p, E.percentile_thresholds(p, "score", PERCENTILES), "score"))
+
+
+def _sweep_pct_sql() -> str:
+    qs = [x / 100 for x in PERCENTILES]
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS idx, t AS threshold, count(*) FILTER (WHERE event = 0 AND adjusted_probability < t) AS tn, "
+        f"count(*) FILTER (WHERE event = 0 AND adjusted_probability >= t) AS fp, "
+        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability < t) AS fn, "
+        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability >= t) AS tp "
+        f"FROM pred, (SELECT quantile_cont(adjusted_probability, {q}) AS t FROM pred) GROUP BY t"
+        for i, q in enumerate(qs))
+    return rows
+
+
+oracle("threshold_sweep_percentiles", """
+SELECT idx, round(threshold, 6) AS threshold, tn, fp, fn, tp, accuracy, precision, recall, f1, specificity,
+       balanced_accuracy,
+       idx = first_value(idx) OVER (ORDER BY f1 DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best_f1,
+       idx = first_value(idx) OVER (ORDER BY balanced_accuracy DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+         AS best_balanced
+FROM (""" + metrics_sql("sw") + ")", extra_ctes=f"{PRED},\nsw AS ({_sweep_pct_sql()})")

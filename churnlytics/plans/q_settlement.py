@@ -253,3 +253,15 @@ FROM (
     FROM contracts WHERE deletion_type IN (1, 2, 5) AND del_month IS NOT NULL
 ) GROUP BY month
 """)
+
+
+@register("ufc_new_zero_early")
+def q_ufc_new_zero(spark, sf_dir):
+    """B4, older variant: months up to the threshold kept with value 0."""
+    return rounded(S.ufc_new(contracts(spark, sf_dir, due_dates=False), PARAMS, early_months="zero"))
+
+
+oracle("ufc_new_zero_early", f"""
+SELECT acq_month, {_ufc_cols(f'CASE WHEN acq_month > {THR} THEN t ELSE 0.0 END')}
+FROM {KEYED} WHERE campaign = 'FO-SCL' AND acq_month IS NOT NULL AND t IS NOT NULL GROUP BY acq_month
+""")
