@@ -12,7 +12,10 @@ Objective (our definition, stated because libraries differ in scaling):
 
     ℓ(β)/n − λ·[(1 − α)/2·‖β‖² + α·‖β‖₁]
 
-with the partial log-likelihood ℓ under Breslow (default) or Efron ties;
+with the partial log-likelihood ℓ under Efron (default) or Breslow ties.
+Efron's tie correction is exact and costs O(p²) per distinct time: large tie
+groups use closed forms (digamma / trigamma / log-gamma sums) instead of a
+loop over the tied events;
 ‖β‖₁ uses the smooth surrogate ``sqrt(β² + 1e-8)``. Standard errors come from
 the inverse observed information of the penalised objective (x n).
 """
@@ -109,6 +112,57 @@ def _suffix(a: np.ndarray) -> np.ndarray:
     return np.flip(np.cumsum(np.flip(a, 0), 0), 0)
 
 
+EFRON_EXPLICIT_MAX = 64  # tie groups up to this size are summed term by term
+
+
+def _digamma(x: float) -> float:
+    """psi(x) for x >= 1: recurrence up to 6, then the asymptotic series."""
+    acc = 0.0
+    while x < 6.0:
+        acc -= 1.0 / x
+        x += 1.0
+    f = 1.0 / (x * x)
+    return acc + math.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
+
+
+def _trigamma(x: float) -> float:
+    """psi'(x) for x >= 1: recurrence up to 6, then the asymptotic series."""
+    acc = 0.0
+    while x < 6.0:
+        acc += 1.0 / (x * x)
+        x += 1.0
+    f = 1.0 / (x * x)
+    return acc + 1.0 / x + f / 2 + f / x * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f / 30)))
+
+
+def _efron_sums(R0, R1, R2, D0, D1, D2, d: int):
+    """Efron tie terms at one time with d events: (sum log phi_l, sum m_l/phi_l,
+    sum of the Hessian terms), phi_l = R0 - (l/d) D0, m_l = R1 - (l/d) D1.
+
+    Exact for any d: small groups term by term; large groups in closed form,
+    writing 1/phi_l and 1/phi_l^2 sums with digamma/trigamma and log phi_l
+    sums with log-gamma (O(p^2) work per time instead of O(d p^2))."""
+    if d <= EFRON_EXPLICIT_MAX:
+        fr = np.arange(d) / d
+        phi = R0 - fr * D0
+        m1 = R1[None, :] - fr[:, None] * D1[None, :]
+        m2 = R2[None, :, :] - fr[:, None, None] * D2[None, :, :]
+        r = m1 / phi[:, None]
+        return float(np.log(phi).sum()), r.sum(0), (m2 / phi[:, None, None]).sum(0) - r.T @ r
+    c = d * R0 / D0  # phi_l = (D0 / d) (c - l), c >= d because R0 >= D0
+    k = d / D0
+    s1 = k * (_digamma(c + 1.0) - _digamma(c - d + 1.0))         # sum 1/phi_l
+    s2 = k * k * (_trigamma(c - d + 1.0) - _trigamma(c + 1.0))    # sum 1/phi_l^2
+    slog = d * math.log(D0 / d) + math.lgamma(c + 1.0) - math.lgamma(c - d + 1.0)
+    u = D1 / D0
+    v = R1 - R0 * u                                               # m_l = u phi_l + v
+    U = D2 / D0
+    V = R2 - R0 * U                                               # R2 - (l/d) D2 = U phi_l + V
+    grad = d * u + v * s1
+    hess = d * U + V * s1 - (d * np.outer(u, u) + (np.outer(u, v) + np.outer(v, u)) * s1 + np.outer(v, v) * s2)
+    return slog, grad, hess
+
+
 def _loglik_grad_hess(sums, ties: str):
     t, n, d, s0, d0, exb, s1, d1, xe, s2, d2 = sums
     R0, R1, R2 = _suffix(s0), _suffix(s1), _suffix(s2)
@@ -119,13 +173,10 @@ def _loglik_grad_hess(sums, ties: str):
     for i in np.nonzero(d > 0)[0]:
         di = int(round(d[i]))
         if ties == "efron" and di > 1:
-            fr = np.arange(di) / di
-            phi = R0[i] - fr * d0[i]
-            m1 = R1[i][None, :] - fr[:, None] * d1[i][None, :]
-            m2 = R2[i][None, :, :] - fr[:, None, None] * d2[i][None, :, :]
-            ll -= float(np.log(phi).sum())
-            g -= (m1 / phi[:, None]).sum(0)
-            H -= (m2 / phi[:, None, None]).sum(0) - np.einsum("lj,lk->jk", m1 / phi[:, None], m1 / phi[:, None])
+            slog, gr, hs = _efron_sums(R0[i], R1[i], R2[i], d0[i], d1[i], d2[i], di)
+            ll -= slog
+            g -= gr
+            H -= hs
         else:
             ll -= di * math.log(R0[i])
             mu = R1[i] / R0[i]
@@ -135,7 +186,7 @@ def _loglik_grad_hess(sums, ties: str):
 
 
 def fit_cox(df: DataFrame, features: Sequence[str], time_col: str = "duration", event_col: str = "event",
-            penalizer: float = 0.1, l1_ratio: float = 0.0, ties: str = "breslow", max_iter: int = 50,
+            penalizer: float = 0.1, l1_ratio: float = 0.0, ties: str = "efron", max_iter: int = 50,
             tol: float = 1e-7, step_size: float = 1.0) -> CoxModel:
     """Penalised Newton-Raphson with step halving; one Spark job per
     likelihood evaluation (one per iteration unless the step is halved)."""

@@ -89,3 +89,23 @@ def test_cox_efron_equals_breslow_without_ties(spark):
     a = fit_cox(df, ["x"], penalizer=0.1, ties="breslow").coef
     b = fit_cox(df, ["x"], penalizer=0.1, ties="efron").coef
     np.testing.assert_allclose(a, b, atol=1e-9)
+
+
+def test_efron_closed_form_equals_explicit(spark, monkeypatch):
+    from churnlytics.operators import cox as COX
+    rng = np.random.default_rng(3)
+    n = 2000
+    x = rng.normal(size=(n, 2))
+    t = rng.integers(1, 6, n)  # heavy ties: ~400 rows per time
+    e = (rng.random(n) < 0.7).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c), int(d)) for (a, b), c, d in zip(x, t, e)],
+                               "x1 double, x2 double, duration int, event int")
+    beta = np.array([0.3, -0.2])
+    sums = COX._per_time_sums(df, ["x1", "x2"], beta, "duration", "event")
+    monkeypatch.setattr(COX, "EFRON_EXPLICIT_MAX", 10 ** 9)
+    ll_a, g_a, h_a = COX._loglik_grad_hess(sums, "efron")
+    monkeypatch.setattr(COX, "EFRON_EXPLICIT_MAX", 1)
+    ll_b, g_b, h_b = COX._loglik_grad_hess(sums, "efron")
+    assert ll_a == pytest.approx(ll_b, rel=1e-10)
+    np.testing.assert_allclose(g_a, g_b, rtol=1e-8, atol=1e-8)
+    np.testing.assert_allclose(h_a, h_b, rtol=1e-8, atol=1e-8)
