@@ -122,12 +122,6 @@ def _months_between_keys(lo: Column, hi: Column) -> Column:
     return F.transform(seq, lambda d: (F.year(d) * 100 + F.month(d)).cast("int"))
 
 
-def month_sequence(bounds: DataFrame, min_col: str, max_col: str, out: str = "month") -> DataFrame:
-    """All ``YYYYMM`` months from ``min_col`` to ``max_col`` of a one-row frame."""
-    return (bounds.where(F.col(min_col).isNotNull())
-            .select(F.explode(_months_between_keys(F.col(min_col), F.col(max_col))).alias(out)))
-
-
 def with_gap_markers(long: DataFrame, month_col: str, key_col: str, value_col: str,
                      group: Column | None = None, marker: str = "_month") -> DataFrame:
     """O7 in one pass over an aggregated long table: rows are kept and, per

@@ -16,10 +16,6 @@ from churnlytics.operators.quantiles import quantiles
 from churnlytics.schema import CANCEL_TIME_EDGES, DURATION_BIN_EDGES
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def value_counts(df: DataFrame, col: str, digits: int | None = None) -> DataFrame:
     """``(value, n, pct)`` with the percentage of all rows."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))

@@ -112,19 +112,6 @@ def quartile_edges(df: DataFrame, col: str) -> list[float]:
     return edges
 
 
-def fit_strata(df: DataFrame, col: str, top: int = 5, max_categorical: int = 10) -> dict:
-    """K5 stratum rule fitted on the training rows: numeric columns with more
-    than ``max_categorical`` distinct values -> quartile bins; otherwise the
-    ``top`` most frequent values, the rest ``Other``."""
-    dtype = dict(df.dtypes)[col]
-    numeric = dtype in ("int", "bigint", "double", "float", "smallint", "decimal")
-    if numeric:
-        n_distinct = df.select(col).distinct().limit(max_categorical + 1).count()
-        if n_distinct > max_categorical:
-            return {"kind": "quartile", "edges": quartile_edges(df, col)}
-    return {"kind": "top", "values": top_values(df, col, top)}
-
-
 def fit_strata_all(df: DataFrame, columns: Sequence[str], top: int = 5, max_categorical: int = 10) -> dict:
     """K5 rules for several columns from ONE aggregation: value counts per
     (column, value) via an explode of a fixed-size array, then per column the

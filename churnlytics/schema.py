@@ -95,8 +95,6 @@ CONTRACTS = T.StructType([
 
 # Columns each job family needs.
 SETTLEMENT_REQUIRED = ("product_code", "campaign", "acq_month", "del_month", "deletion_type", "amount")
-PREMIUM_REQUIRED = ("id", "campaign", "deletion_type", "acq_month", "del_month", "amount")
-SURVIVAL_REQUIRED = ("deletion_type", "start_insurance")
 
 
 @dataclass(frozen=True)
