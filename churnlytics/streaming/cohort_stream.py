@@ -25,12 +25,24 @@ def cohort_counts_stream(spark: SparkSession, source_dir: str, month_col: str =
 
 
 def start_cohort_counts(spark: SparkSession, source_dir: str, checkpoint: str, sink: str = "memory",
-                        query_name: str = "cohort_counts", **kw):
-    """Start the streaming query; ``checkpoint`` must be on shared storage."""
+                        query_name: str = "cohort_counts", path: str | None = None, **kw):
+    """Start the streaming query; ``checkpoint`` must be on shared storage.
+
+    ``sink='memory'`` registers a queryable table; ``sink='parquet'`` writes
+    the complete (small) aggregate to ``path`` from ``foreachBatch``: every
+    micro-batch overwrites the table with the full current counts, so a batch
+    replayed after a failure writes the same content (idempotent)."""
     agg = cohort_counts_stream(spark, source_dir, **kw)
-    w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).queryName(query_name)
     if sink == "memory":
-        w = w.format("memory").queryName(query_name)
+        w = w.format("memory")
+    elif sink == "parquet":
+        if not path:
+            raise ValueError("path is required for the parquet sink")
+
+        def write_batch(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(path)
+        w = w.foreachBatch(write_batch)
     else:
-        w = w.format(sink)
+        raise ValueError(f"unknown sink {sink!r}")
     return w.start()
