@@ -73,3 +73,16 @@ def test_drop_leakage_keeps_event(spark):
     df = spark.createDataFrame([(1, 1, 2, "x", 3, 4)],
                                "id int, event int, deletion_type int, `Cancel Reason` string, del_month int, amount int")
     assert drop_leakage(df).columns == ["id", "event", "amount"]
+
+
+def test_day_diff_defaults_and_age(spark):
+    row = (dt.date(2021, 1, 1), None, dt.date(1990, 7, 2), dt.date(2021, 7, 2))
+    schema = "start date, end_missing date, birthday date, as_of date"
+    assert one(spark, C.day_diff_clipped("end_missing", "start", null_value=365, lower=1), row, schema) == 365
+    assert one(spark, C.day_diff_clipped("end_missing", "start", null_value=180, lower=0), row, schema) == 180
+    assert one(spark, C.day_diff_clipped("start", "as_of"), row, schema) == 0  # negative -> clipped
+    assert one(spark, C.days_until("end_missing", "start"), row, schema) == -1
+    days = (dt.date(2021, 7, 2) - dt.date(1990, 7, 2)).days
+    assert one(spark, C.age_years("birthday", "as_of"), row, schema) == pytest.approx(days / 365.25)
+    assert one(spark, C.birth_month("birthday"), row, schema) == 7
+    assert one(spark, C.birth_month("end_missing"), row, schema) == -1

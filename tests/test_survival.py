@@ -109,3 +109,15 @@ def test_efron_closed_form_equals_explicit(spark, monkeypatch):
     assert ll_a == pytest.approx(ll_b, rel=1e-10)
     np.testing.assert_allclose(g_a, g_b, rtol=1e-8, atol=1e-8)
     np.testing.assert_allclose(h_a, h_b, rtol=1e-8, atol=1e-8)
+
+
+def test_quartile_strata_match_pandas_qcut(spark):
+    import pandas as pd
+    rng = np.random.default_rng(9)
+    vals = rng.integers(0, 40, 500).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    rule = KM.fit_strata_all(df, ["x"])["x"]
+    assert rule["kind"] == "quartile"
+    got = [int(r["s"]) for r in df.select(KM.stratum_expr("x", rule).alias("s")).collect()]
+    want = pd.qcut(pd.Series(vals), q=4, duplicates="drop", labels=False).astype(int).tolist()
+    assert got == want
