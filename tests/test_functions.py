@@ -86,3 +86,13 @@ def test_day_diff_defaults_and_age(spark):
     assert one(spark, C.age_years("birthday", "as_of"), row, schema) == pytest.approx(days / 365.25)
     assert one(spark, C.birth_month("birthday"), row, schema) == 7
     assert one(spark, C.birth_month("end_missing"), row, schema) == -1
+
+
+def test_rate_trend_golden(spark):
+    from churnlytics.operators.rates import rate_trend
+    rates = spark.createDataFrame(list(zip([9.9, 14.9, 19.9, 24.9, 29.9], [39.55, 46.16, 48.92, 43.32, 48.81])),
+                                  "amount double, rate double")
+    r = rate_trend(rates, "amount").first()
+    assert r["slope"] == pytest.approx(0.3136, abs=1e-6)
+    assert r["intercept"] == pytest.approx(39.11136, abs=1e-6)
+    assert r["r2"] == pytest.approx(0.389433, abs=1e-6)
