@@ -113,6 +113,7 @@ def _suffix(a: np.ndarray) -> np.ndarray:
 
 
 EFRON_EXPLICIT_MAX = 64  # tie groups up to this size are summed term by term
+MAX_DISTINCT_TIMES = 500_000  # rows of the per-time table that reaches the driver
 
 
 def _digamma(x: float) -> float:
@@ -194,6 +195,12 @@ def fit_cox(df: DataFrame, features: Sequence[str], time_col: str = "duration",
     p = len(features)
     data = df.select(*[F.col(f).cast("double").alias(f) for f in features],
                      F.col(time_col).alias(time_col), F.col(event_col).alias(event_col)).na.drop()
+    # The per-time sums reach the driver every step: their size is the number of
+    # distinct times, which is checked once (days give a few thousand).
+    n_times = data.select(F.col(time_col).cast("int")).distinct().limit(MAX_DISTINCT_TIMES + 1).count()
+    if n_times > MAX_DISTINCT_TIMES:
+        raise ValueError(f"more than {MAX_DISTINCT_TIMES} distinct times in {time_col!r}; "
+                         "express durations on a coarser grid (days)")
     beta = np.zeros(p)
     eps = 1e-8
 

@@ -121,3 +121,11 @@ def test_quartile_strata_match_pandas_qcut(spark):
     got = [int(r["s"]) for r in df.select(KM.stratum_expr("x", rule).alias("s")).collect()]
     want = pd.qcut(pd.Series(vals), q=4, duplicates="drop", labels=False).astype(int).tolist()
     assert got == want
+
+
+def test_cox_rejects_unbounded_time_grid(spark, monkeypatch):
+    from churnlytics.operators import cox as COX
+    df = spark.createDataFrame([(float(i % 3), i + 1, 1) for i in range(50)], "x double, duration int, event int")
+    monkeypatch.setattr(COX, "MAX_DISTINCT_TIMES", 10)
+    with pytest.raises(ValueError, match="distinct times"):
+        COX.fit_cox(df, ["x"])
