@@ -114,11 +114,16 @@ def variance_filter(df: DataFrame, cols: Sequence[str], threshold: float = 0.01)
     return long.withColumn("kept", F.col("variance") > threshold)
 
 
+def correlated_pairs(corr_pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Pairs of different features with |r| above the threshold (from the
+    small pair table of ``rates.correlation_matrix``); ``feature_b`` is the
+    later column, the one to drop."""
+    return corr_pairs.where((F.col("feature_a") != F.col("feature_b")) & (F.abs("corr") > threshold))
+
+
 def correlated_to_drop(corr_pairs: DataFrame, threshold: float = 0.95) -> list[str]:
-    """From the (small) pair table of ``correlation_matrix``, the later
-    column of every pair with |r| > threshold."""
-    rows = corr_pairs.where((F.col("feature_a") != F.col("feature_b")) & (F.abs("corr") > threshold)).collect()
-    return sorted({r["feature_b"] for r in rows})
+    """The later column of every pair with |r| > threshold (a few names)."""
+    return sorted({r["feature_b"] for r in correlated_pairs(corr_pairs, threshold).collect()})
 
 
 def class_weights(df: DataFrame, label_col: str = "event") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from churnlytics.operators import features as X
 from churnlytics.operators.rates import fold_rare
 from churnlytics.plans.catalog import register
-from churnlytics.plans.common import CAMPAIGN_KEYS, rounded
+from churnlytics.plans.common import AS_OF, CAMPAIGN_KEYS, rounded
 from churnlytics.plans.oracle import oracle
 from churnlytics.plans.q_survival import SPLIT_SQL, survival_base
 from churnlytics.session import cut_lineage
@@ -102,3 +102,27 @@ SELECT CASE WHEN region_code IN (SELECT region_code FROM tr GROUP BY region_code
             THEN region_code ELSE 'Other' END AS region_code, count(*) AS n
 FROM tr GROUP BY 1
 """, extra_ctes=SP)
+
+
+CORR_FEATURES = ["amount", "term_days", "days_from_start", "start_month", "duration"]
+
+
+@register("correlation_filter")
+def q_corr_filter(spark, sf_dir):
+    """Feature pairs with |r| > 0.95 on the training split (the later one is dropped)."""
+    from churnlytics.operators.rates import correlation_matrix
+    train, _ = _split(spark, sf_dir)
+    feats = train.withColumns({
+        "term_days": F.datediff("end_insurance", "start_insurance").cast("double"),
+        "days_from_start": F.datediff(F.to_date(F.lit(AS_OF)), "start_insurance").cast("double"),
+        "start_month": F.month("start_insurance").cast("double")})
+    return rounded(X.correlated_pairs(correlation_matrix(feats, CORR_FEATURES), 0.95))
+
+
+_CF_SQL = {"amount": "amount", "term_days": "(end_insurance - start_insurance)::DOUBLE",
+           "days_from_start": f"(DATE '{AS_OF}' - start_insurance)::DOUBLE",
+           "start_month": "month(start_insurance)::DOUBLE", "duration": "duration::DOUBLE"}
+oracle("correlation_filter", "SELECT feature_a, feature_b, round(corr, 6) AS corr FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({_CF_SQL[a]}, {_CF_SQL[b]}) AS corr FROM tr"
+    for i, a in enumerate(CORR_FEATURES) for b in CORR_FEATURES[i:]) + ") WHERE feature_a <> feature_b AND abs(corr) > 0.95",
+    extra_ctes=SP)
