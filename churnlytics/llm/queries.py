@@ -7,7 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlytics.llm.common import read
+from churnlytics.llm.decontaminate import contamination
 from churnlytics.llm.licenses import scan_licenses
+from churnlytics.llm.urls import judge_urls
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole document that lie in 10-word windows of ``benchmark``."""
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=10)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host trust for the url of every page."""
+    return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,16 @@ DuckDB SQL where SQL can express them."""
 from __future__ import annotations
 
 from churnlytics.llm import queries as Q
+from churnlytics.llm.decontaminate import CONTAMINATION_SQL
+from churnlytics.llm.urls import urls_sql
 
 QUERIES = {
+    "op4_decontamination": Q.op4_decontamination,
+    "op5_url_filter": Q.op5_url_filter,
     "op10_licenses": Q.op10_licenses,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_decontamination": CONTAMINATION_SQL,
+    "op5_url_filter": urls_sql(),
+}
