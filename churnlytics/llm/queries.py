@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from churnlytics.llm.common import read
 from churnlytics.llm.decontaminate import contamination
 from churnlytics.llm.licenses import scan_licenses
+from churnlytics.llm.packing import pack_documents
 from churnlytics.llm.urls import judge_urls
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of at most 2048 tokens."""
+    return pack_documents(read(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole document that lie in 10-word windows of ``benchmark``."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=10)

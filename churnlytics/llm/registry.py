@@ -8,6 +8,7 @@ from churnlytics.llm.decontaminate import CONTAMINATION_SQL
 from churnlytics.llm.urls import urls_sql
 
 QUERIES = {
+    "op1_packing": Q.op1_packing,
     "op4_decontamination": Q.op4_decontamination,
     "op5_url_filter": Q.op5_url_filter,
     "op10_licenses": Q.op10_licenses,
