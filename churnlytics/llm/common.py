@@ -30,6 +30,16 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filter_ids(df: DataFrame, ids: DataFrame, id_col: str, keep: bool = True, most: int = 2_000_000) -> DataFrame:
+    """The rows of ``df`` whose id is in ``ids(id)`` (or, without ``keep``, is
+    not; null ids are in none). Up to ``most`` ids, counted first, are
+    broadcast, so that texts are not shuffled; beyond that both sides are."""
+    ids = ids.select(F.col("id").alias("_wanted_id"))
+    if ids.count() <= most:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[id_col] == ids["_wanted_id"], "left_semi" if keep else "left_anti")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)`` (longs);
     ``component`` is the smallest node that links reach.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from churnlytics.llm.common import read
 from churnlytics.llm.decontaminate import contamination
 from churnlytics.llm.licenses import scan_licenses
+from churnlytics.llm.minhash import near_duplicates
 from churnlytics.llm.packing import pack_documents
 from churnlytics.llm.urls import judge_urls
 
@@ -18,6 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of ``documents``: 5-word shingles, similarity 0.8."""
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole document that lie in 10-word windows of ``benchmark``."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=10)
