@@ -11,6 +11,7 @@ from churnlytics.llm.decontaminate import contamination
 from churnlytics.llm.licenses import scan_licenses
 from churnlytics.llm.minhash import near_duplicates
 from churnlytics.llm.packing import pack_documents
+from churnlytics.llm.substrings import cut_repeats
 from churnlytics.llm.urls import judge_urls
 
 
@@ -34,6 +35,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated passages cut out of the text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return cut_repeats(docs).select("doc_id", F.col("_cut_words").alias("cut_words"),
+                                    (F.col("_cut_words") > 0).alias("has_repeats"), "text")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License scan of every whole text of ``documents``."""
     return scan_licenses(read(spark, sf_dir, "documents")).select(

@@ -12,6 +12,7 @@ QUERIES = {
     "op3_minhash": Q.op3_minhash,
     "op4_decontamination": Q.op4_decontamination,
     "op5_url_filter": Q.op5_url_filter,
+    "op8_substrings": Q.op8_substrings,
     "op10_licenses": Q.op10_licenses,
 }
 
