@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from churnlytics.llm.common import read
 from churnlytics.llm.decontaminate import contamination
+from churnlytics.llm.embeddings import near_vectors
 from churnlytics.llm.licenses import scan_licenses
 from churnlytics.llm.minhash import near_duplicates
 from churnlytics.llm.packing import pack_documents
@@ -20,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and groups of all ``embeddings``, cosine 0.95."""
+    return near_vectors(read(spark, sf_dir, "embeddings"), similarity=0.95)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: 5-word shingles, similarity 0.8."""
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from churnlytics.llm.urls import urls_sql
 
 QUERIES = {
     "op1_packing": Q.op1_packing,
+    "op2_embeddings": Q.op2_embeddings,
     "op3_minhash": Q.op3_minhash,
     "op4_decontamination": Q.op4_decontamination,
     "op5_url_filter": Q.op5_url_filter,
