@@ -30,6 +30,12 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def neutral(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1, ..., so that none can clash with a
+    column that an operator adds; ``toDF`` with the old names undoes it."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def filter_ids(df: DataFrame, ids: DataFrame, id_col: str, keep: bool = True, most: int = 2_000_000) -> DataFrame:
     """The rows of ``df`` whose id is in ``ids(id)`` (or, without ``keep``, is
     not; null ids are in none). Up to ``most`` ids, counted first, are

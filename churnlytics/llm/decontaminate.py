@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlytics.llm.common import UPPER, WORD_RE, store
+from churnlytics.llm.common import UPPER, WORD_RE, neutral, store
 
 # The same words, found before A-Z are lower-cased.
 ANY_CASE_RE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -118,20 +118,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     separators after them) out of the text. Cases as in ``contamination``."""
     if mode not in ("document", "span"):
         raise ValueError("mode is 'document' or 'span'")
-    hits = find_hits(docs, benchmark, n, id_col, text_col, item_id, item_text, broadcast_bytes) \
-        .select(F.col("id").alias("_hit_id"), F.col("key").alias("_hit_key"), F.col("spans").alias("_hit_spans"))
-    on = (docs[id_col].eqNullSafe(hits["_hit_id"])) & (F.xxhash64(docs[text_col]) == hits["_hit_key"])
+    hits = find_hits(docs, benchmark, n, id_col, text_col, item_id, item_text, broadcast_bytes)
+    plain = neutral(docs)
+    own, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    on = own.eqNullSafe(hits["id"]) & (F.xxhash64(text) == hits["key"])
     if mode == "document":
-        return docs.join(hits, on, "left_anti")
-    j = docs.join(hits, on, "left")
-    raw = F.regexp_extract_all(F.col(text_col), F.lit(ANY_CASE_RE), F.lit(0))
-    gaps = F.split(F.col(text_col), ANY_CASE_RE)
+        return plain.join(hits, on, "left_anti").toDF(*docs.columns)
+    raw = F.regexp_extract_all(text, F.lit(ANY_CASE_RE), F.lit(0))
+    gaps = F.split(text, ANY_CASE_RE)
     kept = F.transform(raw, lambda x, i: F.when(
-        F.exists("_hit_spans", lambda s: (i >= s["start"]) & (i < s["until"])), F.lit(""))
+        F.exists("spans", lambda s: (i >= s["start"]) & (i < s["until"])), F.lit(""))
         .otherwise(F.concat(x, F.element_at(gaps, i + 2))))
     cut = F.concat(F.element_at(gaps, 1), F.array_join(kept, ""))
-    return j.select(*[F.when(F.col("_hit_id").isNull() & F.col("_hit_key").isNull(), F.col(text_col))
-                      .otherwise(cut).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    j = plain.join(hits, on, "left").withColumn("cut", F.when(F.col("key").isNull(), text).otherwise(cut))
+    return j.select(*["cut" if c == text_col else f"c{k}" for k, c in enumerate(docs.columns)]).toDF(*docs.columns)
 
 
 CONTAMINATION_SQL = r"""

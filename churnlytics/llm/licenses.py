@@ -173,7 +173,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         table, automaton = TX.split_table(), _automaton(base, notices)
         types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_()]
-        for part in TX.slices(batches, ["id"], "text"):
+        for part in TX.slices(batches):
             rows = [scan_text(x or b"", automaton, table, allowed)
                     for x in part.column(1).cast(pa.binary()).to_pylist()]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]

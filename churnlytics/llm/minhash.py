@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE, m: int = BANDS * ROWS) -> Data
 
     def run(batches):
         hasher = TX.WordHasher()
-        for part in TX.slices(batches, ["id"], "text"):
+        for part in TX.slices(batches):
             *_, h, first = TX.doc_words(hasher, part.column(1))
             h, doc, w = multisets(*shingle_hashes(h, first, k), part.num_rows)
             sig = bag_minhash(h, doc, w, part.num_rows, m)
@@ -141,7 +141,7 @@ def elements(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         hasher = TX.WordHasher()
-        for part in TX.slices(batches, ["id"], "text"):
+        for part in TX.slices(batches):
             *_, h, first = TX.doc_words(hasher, part.column(1))
             h, doc, w = multisets(*shingle_hashes(h, first, k), part.num_rows)
             no = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)

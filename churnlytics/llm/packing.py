@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_i
 
     def run(batches):
         encoder = Encoder(path)
-        for part in TX.slices(batches, ["id"], "text"):
+        for part in TX.slices(batches):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for k, text in enumerate(part.column(1).to_pylist()):
                 ids = np.array([*encoder.encode(text or ""), end_id], dtype="<u4")

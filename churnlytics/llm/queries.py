@@ -12,7 +12,10 @@ from churnlytics.llm.embeddings import near_vectors
 from churnlytics.llm.licenses import scan_licenses
 from churnlytics.llm.minhash import near_duplicates
 from churnlytics.llm.packing import pack_documents
+from churnlytics.llm.quality import THRESHOLD as QUALITY_THRESHOLD
+from churnlytics.llm.quality import held_out, score_quality, train_crf
 from churnlytics.llm.substrings import cut_repeats
+from churnlytics.llm.toxicity import CATEGORIES, THRESHOLD, score_toxicity, train_chain
 from churnlytics.llm.urls import judge_urls
 
 
@@ -41,6 +44,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document, by a field fitted on ``labels``."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, train_crf(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated passages cut out of the text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,6 +59,14 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     (F.col("_cut_words") > 0).alias("has_repeats"), "text")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, by a chain fitted on ``labels``."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train_chain(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", *[f"p_{n}" for n, _ in CATEGORIES],
+                         (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License scan of every whole text of ``documents``."""
     return scan_licenses(read(spark, sf_dir, "documents")).select(

@@ -13,7 +13,9 @@ QUERIES = {
     "op3_minhash": Q.op3_minhash,
     "op4_decontamination": Q.op4_decontamination,
     "op5_url_filter": Q.op5_url_filter,
+    "op7_quality": Q.op7_quality,
     "op8_substrings": Q.op8_substrings,
+    "op9_toxicity": Q.op9_toxicity,
     "op10_licenses": Q.op10_licenses,
 }
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlytics.llm import text as TX
-from churnlytics.llm.common import store
+from churnlytics.llm.common import neutral, store
 
 SIDE = 3          # word ends compared on either side of a boundary
 MOST_WORDS = 64   # of a chunk; only text without minima (a repeated word) gets there
@@ -87,7 +87,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher, table = TX.WordHasher(), gear_table()
-        for part in TX.slices(batches, ["id"], "text"):
+        for part in TX.slices(batches):
             data, own, a, b, words, first = chunks(hasher, table, part.column(1))
             raw = data.tobytes()
             again = np.zeros(len(own), np.int64)
@@ -130,7 +130,7 @@ def repeated_runs(docs: DataFrame, min_run: int) -> DataFrame:
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_run: int = MIN_RUN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with its own columns, repeated passages cut out of the texts,
-    and ``_cut_words``, the number of words that went.
+    and, last, ``_cut_words``, the number of words that went.
 
     A chunk stays where its digest occurs in the smallest id (there the first
     time), and goes elsewhere if it stands in a run of such chunks of
@@ -142,9 +142,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Defined cases: a null text stays null, an empty or wordless one as it is; a
     row with a null id is left alone and not compared; rows that share an id
     are compared with other ids, and by place with each other (an exact
-    repetition of a row changes nothing); an empty table gives an empty result.
-    Ids must be integers. ``docs`` must not have a column of the name
-    ``_cut_words``, ``_cut_id`` or ``_cut_gone``.
+    repetition of a row changes nothing); an empty table gives an empty result;
+    other columns go through untouched, whatever their names. Ids must be
+    integers.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     runs = store(repeated_runs(d, min_run))
@@ -153,13 +153,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.col("words").alias("_cut_words"))
     if size <= broadcast_bytes:  # else both sides are shuffled
         runs = F.broadcast(runs)
-    j = docs.join(runs, docs[id_col].cast("long") == runs["_cut_id"], "left").drop("_cut_id")
-    place = docs.columns.index(text_col)
+    plain, place = neutral(docs), docs.columns.index(text_col)
+    j = plain.join(runs, plain[f"c{docs.columns.index(id_col)}"].cast("long") == runs["_cut_id"], "left").drop("_cut_id")
     schema = j.drop("_cut_gone").schema
 
     def run(batches):
         hasher, table = TX.WordHasher(), gear_table()
-        for part in TX.slices(batches, [], text_col):
+        for part in TX.slices(batches, place):
             gone = part.column(part.num_columns - 2)
             hit = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
             text = part.column(place)
@@ -185,9 +185,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             del columns[-2]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return j.mapInArrow(run, schema).withColumn("_cut_words", F.coalesce("_cut_words", F.lit(0).cast("long")))
+    out = j.mapInArrow(run, schema).withColumn("_cut_words", F.coalesce("_cut_words", F.lit(0).cast("long")))
+    return out.toDF(*docs.columns, "_cut_words")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with its own columns, repeated passages cut out; see ``cut_repeats``."""
-    return cut_repeats(docs, id_col, text_col, **how).drop("_cut_words")
+    out = neutral(cut_repeats(docs, id_col, text_col, **how))
+    return out.select(*out.columns[:-1]).toDF(*docs.columns)

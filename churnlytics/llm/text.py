@@ -118,11 +118,11 @@ def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batches, columns: list[str], text: str, most: int = 4 << 20):
-    """Cut record batches into parts of at most ``most`` text bytes (one row at
-    least): bounded memory whatever the texts' lengths."""
+def slices(batches, text: int = 1, most: int = 4 << 20):
+    """Cut record batches into parts of at most ``most`` bytes of the text
+    column (one row at least): bounded memory whatever the texts' lengths."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
+        col = batch.column(text)
         size = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
         total = np.cumsum(size)
         i = 0
