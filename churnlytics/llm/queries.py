@@ -3,6 +3,8 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from churnlytics.llm.packing import pack_documents
 from churnlytics.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from churnlytics.llm.quality import held_out, score_quality, train_crf
 from churnlytics.llm.substrings import cut_repeats
+from churnlytics.llm.tokencounts import commit_batch, totals
 from churnlytics.llm.toxicity import CATEGORIES, THRESHOLD, score_toxicity, train_chain
 from churnlytics.llm.urls import judge_urls
+from churnlytics.session import checkpoint_dir
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +48,35 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def change_feed(spark: SparkSession, sf_dir: str) -> list[tuple[int, DataFrame]]:
+    """The feed that ``op6_token_counts`` gets: batch 1 brings every document,
+    batch 2 takes down those that ``labels`` calls toxic, batch 3 brings a
+    revision of those that it calls low in quality (runs of white space become
+    one space)."""
+    docs = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    labels = read(spark, sf_dir, "labels")
+
+    def feed(rows: DataFrame, seq: int, op: str, text) -> DataFrame:
+        return rows.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), "doc_id", "source", "lang",
+                           text.alias("text"))
+
+    toxic, low = (labels.where(w).select("doc_id").distinct() for w in ("toxic = 1", "quality = 0 AND toxic = 0"))
+    return [(1, feed(docs, 1, "insert", F.col("text"))),
+            (2, feed(docs.join(toxic, "doc_id", "left_semi"), 2, "delete", F.lit(None).cast("string"))),
+            (3, feed(docs.join(low, "doc_id", "left_semi"), 3, "insert",
+                     F.trim(F.regexp_replace("text", r"\s+", " "))))]
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of ``documents`` by source, language and tokenizer version,
+    after three batches of a change feed; the second is delivered twice."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    feed = change_feed(spark, sf_dir)
+    for batch, changes in [*feed[:2], feed[1], feed[2]]:
+        commit_batch(root, batch, changes)
+    return totals(spark, root)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole document, by a field fitted on ``labels``."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

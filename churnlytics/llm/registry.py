@@ -3,6 +3,7 @@ DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from churnlytics.llm import queries as Q
 from churnlytics.llm.decontaminate import CONTAMINATION_SQL
 from churnlytics.llm.urls import urls_sql
@@ -13,13 +14,17 @@ QUERIES = {
     "op3_minhash": Q.op3_minhash,
     "op4_decontamination": Q.op4_decontamination,
     "op5_url_filter": Q.op5_url_filter,
+    "op6_token_counts": Q.op6_token_counts,
     "op7_quality": Q.op7_quality,
     "op8_substrings": Q.op8_substrings,
     "op9_toxicity": Q.op9_toxicity,
     "op10_licenses": Q.op10_licenses,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
     "op4_decontamination": CONTAMINATION_SQL,
     "op5_url_filter": urls_sql(),
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
