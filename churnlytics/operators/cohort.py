@@ -22,7 +22,8 @@ def distinct_values(df: DataFrame, col: str, limit: int = MAX_PIVOT_KEYS) -> lis
     """Sorted distinct non-NULL values of a low-cardinality column.
 
     The list becomes pivot columns, so its size is checked: more than
-    ``limit`` values raises instead of collecting an unbounded list.
+    ``limit`` values raises instead of collecting an unbounded list; a caller
+    that wants more columns passes a larger limit or the keys themselves.
     """
     vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
             .limit(limit + 1).collect()]
@@ -65,18 +66,30 @@ def cohort_long(df: DataFrame, month_col: str = "acq_month", key_col: str = "cam
 
 
 def pivot_wide(long_df: DataFrame, row_cols: Sequence[str], key_col: str, value_col: str,
-               keys: Sequence | None = None, fill=0) -> DataFrame:
+               keys: Sequence | None = None, fill=0, others: str = "raise",
+               markers: Sequence = ()) -> DataFrame:
     """Pivot an aggregated long table to a wide matrix, missing cells -> ``fill``.
 
     ``keys`` should be passed when known; otherwise they are read from the
-    (already small) long table with a size check.
+    (already small) long table with a size check. A key that is not among
+    them fails the query, unless ``others='drop'`` says that the table has
+    fixed columns. NULL keys (as in a pandas pivot) and ``markers`` have no
+    column; their rows stay. ``fill=None`` leaves missing cells NULL.
     """
+    if others not in ("raise", "drop"):
+        raise ValueError("others is 'raise' or 'drop'")
     if keys is None:
         keys = distinct_values(long_df, key_col)
+    elif others == "raise":
+        known = F.col(key_col).isNull()
+        for k in [*keys, *markers]:
+            known = known | (F.col(key_col) == F.lit(k))
+        told = F.concat(F.lit(f"pivot of {key_col}: no column for the key "), F.col(key_col).cast("string"))
+        long_df = long_df.where(F.when(known, F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
     # one conditional aggregation (a single exchange) instead of pivot's two
     cells = [F.sum(F.when(F.col(key_col) == F.lit(k), F.col(value_col))).alias(str(k)) for k in keys]
     wide = long_df.groupBy(*row_cols).agg(*cells)
-    return wide.na.fill(fill, subset=[str(k) for k in keys])
+    return wide if fill is None else wide.na.fill(fill, subset=[str(k) for k in keys])
 
 
 def cohort_matrix(df: DataFrame, month_col: str = "acq_month", key_col: str = "campaign",

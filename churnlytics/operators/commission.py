@@ -83,4 +83,4 @@ def call_center_result(df: DataFrame, call_centers: Sequence[str] | None = None)
         keys = None
     else:
         keys = [f"{c}_{k}" for c in call_centers for k in ("new", "withdrawal", "clawback")]
-    return pivot_wide(long, ["month"], "k", "value", keys, fill=0.0).orderBy("month")
+    return pivot_wide(long, ["month"], "k", "value", keys, fill=0.0, others="drop").orderBy("month")

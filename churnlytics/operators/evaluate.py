@@ -22,7 +22,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlytics.operators.buckets import bucket_count, cut_points, with_range_bucket
+from churnlytics.operators.buckets import bucket_count, cut_points, running_sums, with_range_bucket
+from churnlytics.session import cut_lineage
 
 
 def _safe(num: Column, den: Column) -> Column:
@@ -90,18 +91,13 @@ def score_cumulative(df: DataFrame, score: str = "score", label: str = "event",
     g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(label).cast("long"))).alias("neg"))
+    # the counts are read four times: cut the lineage once
+    g = cut_lineage(g)
     if buckets is None:
         buckets = bucket_count(g.count())
     g = with_range_bucket(g, "score", cut_points(g, "score", buckets), "bucket")
-    totals = g.groupBy("bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    above = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("bucket", F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_op"),
-                            F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_on"))
-    inside = Window.partitionBy("bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = g.join(F.broadcast(offsets), "bucket", "left")
-    return out.select("score", "pos", "neg",
-                      (F.col("_op") + F.sum("pos").over(inside)).alias("cum_pos"),
-                      (F.col("_on") + F.sum("neg").over(inside)).alias("cum_neg"))
+    g = g.select("score", "pos", "neg", F.col("pos").alias("cum_pos"), F.col("neg").alias("cum_neg"), "bucket")
+    return running_sums(g, "score", ["cum_pos", "cum_neg"], descending=True).drop("bucket")
 
 
 def class_totals(cum: DataFrame) -> tuple[int, int]:
@@ -138,13 +134,13 @@ def curve_summary(cum: DataFrame) -> DataFrame:
 
 # --- E7 threshold sweep --------------------------------------------------------------
 def threshold_sweep(df: DataFrame, thresholds: Sequence[float], score: str = "score", label: str = "event") -> DataFrame:
-    """Confusion counts and metrics per threshold (predict 1 if score >= t),
+    """Confusion counts and metrics per threshold (predict 1 if score > t),
     all thresholds in one scan; ``best_f1`` / ``best_balanced`` flag the first best."""
     y, s = F.col(label), F.col(score)
     aggs = []
     for i, t in enumerate(thresholds):
-        aggs += [F.count_if((y == 0) & (s < t)).alias(f"tn{i}"), F.count_if((y == 0) & (s >= t)).alias(f"fp{i}"),
-                 F.count_if((y == 1) & (s < t)).alias(f"fn{i}"), F.count_if((y == 1) & (s >= t)).alias(f"tp{i}")]
+        aggs += [F.count_if((y == 0) & (s <= t)).alias(f"tn{i}"), F.count_if((y == 0) & (s > t)).alias(f"fp{i}"),
+                 F.count_if((y == 1) & (s <= t)).alias(f"fn{i}"), F.count_if((y == 1) & (s > t)).alias(f"tp{i}")]
     row = df.agg(*aggs)
     long = row.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("idx"), F.lit(float(t)).alias("threshold"), F.col(f"tn{i}").alias("tn"),

@@ -33,12 +33,17 @@ def stratified_split(df: DataFrame, label_col: str = "event", train_fraction: fl
        most 2^20 rows per class;
     2. a running sum over that small table finds, per class, the boundary
        bucket and how many of its rows still go to train;
-    3. rows outside the boundary bucket are labelled by comparison (map-side,
-       the per-class boundary table is broadcast - one row per class);
-    4. only the boundary bucket (~ n / 2^20 rows per class) is ranked by a window.
+    3. the few rows of the boundary buckets (~ n / 2^20 per class) are ranked
+       in that same scan's small result and give, per class, the last
+       (hash, id) of the training rows;
+    4. every row is labelled by comparing with it (map-side; the table of
+       bounds is broadcast - one row per class).
+
+    The source is scanned for the counts, for the boundary rows and for the
+    labels. A NULL label is a class of its own: every row comes out once.
     """
-    h = id_hash(id_col)
-    rows = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - HASH_BITS_BUCKET))
+    df = df.withColumn("_h", id_hash(id_col))
+    rows = df.select(label_col, id_col, "_h", F.shiftright(F.col("_h"), 32 - HASH_BITS_BUCKET).alias("_b"))
     counts = rows.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.select(label_col, "_b", "_c", F.sum("_c").over(w).alias("_cum"),
@@ -48,13 +53,19 @@ def stratified_split(df: DataFrame, label_col: str = "event", train_fraction: fl
     boundary = cum.where(F.col("_cum") >= F.col("_k")).groupBy(label_col).agg(
         F.min_by(F.struct("_b", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_rem")), "_b").alias("_x"))
     boundary = boundary.select(label_col, F.col("_x._b").alias("_bb"), F.col("_x._rem").alias("_rem"))
-    joined = rows.join(F.broadcast(boundary), label_col, "left")
-    outside = joined.where(F.col("_b") != F.col("_bb")).withColumn(
-        "split", F.when(F.col("_b") < F.col("_bb"), F.lit("train")).otherwise(F.lit("test")))
-    inside = joined.where(F.col("_b") == F.col("_bb"))
+    boundary = boundary.withColumnRenamed(label_col, "_class")
+    inside = rows.join(F.broadcast(boundary), rows[label_col].eqNullSafe(boundary["_class"]) & (F.col("_b") == F.col("_bb")))
     rn = F.row_number().over(Window.partitionBy(label_col).orderBy("_h", id_col))
-    inside = inside.withColumn("split", F.when(rn <= F.col("_rem"), F.lit("train")).otherwise(F.lit("test")))
-    return outside.unionByName(inside).drop("_h", "_b", "_bb", "_rem")
+    last = (inside.withColumn("_rn", rn).where(F.col("_rn") <= F.col("_rem")).groupBy(label_col)
+            .agg(F.max(F.struct("_h", F.col(id_col).alias("_id"))).alias("_last")))
+    # Without a training row in the boundary bucket, all buckets below it are training.
+    bounds = (boundary.join(last, boundary["_class"].eqNullSafe(last[label_col]), "left").drop(label_col)
+              .withColumn("_first", F.shiftleft(F.col("_bb"), 32 - HASH_BITS_BUCKET)))
+    j = df.join(F.broadcast(bounds), df[label_col].eqNullSafe(bounds["_class"]), "left")
+    train = F.when(F.col("_last").isNull(), F.col("_h") < F.col("_first")) \
+             .otherwise(F.struct("_h", F.col(id_col).alias("_id")) <= F.col("_last"))
+    return j.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test"))).select(
+        *[F.col(f"`{c}`") for c in df.columns if c != "_h"], "split")
 
 
 def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict:
@@ -87,17 +98,19 @@ def standardize(df: DataFrame, stats: dict, suffix: str = "") -> DataFrame:
     return df.withColumns(cols)
 
 
-def fit_vocabulary(df: DataFrame, col: str, max_categories: int | None = None) -> list:
+def fit_vocabulary(df: DataFrame, col: str, max_categories: int | None = None, limit: int = 10_000) -> list:
     """Sorted category list from the training rows (optionally the most
-    frequent ``max_categories``) - bounded by construction."""
+    frequent ``max_categories``; NULL is no category). The list becomes
+    columns; more than ``limit`` categories raise."""
+    df = df.where(F.col(col).isNotNull())
     if max_categories:
         vals = [r[0] for r in df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
                 .orderBy(F.col("n").desc(), F.col(col)).limit(max_categories).collect()]
     else:
-        vals = [r[0] for r in df.select(col).distinct().limit(10_001).collect()]
-        if len(vals) > 10_000:
-            raise ValueError(f"{col!r} has more than 10000 categories")
-    return sorted(v for v in vals if v is not None)
+        vals = [r[0] for r in df.select(col).distinct().limit(limit + 1).collect()]
+        if len(vals) > limit:
+            raise ValueError(f"{col!r} has more than {limit} categories")
+    return sorted(vals)
 
 
 def one_hot(df: DataFrame, col: str, vocabulary: Sequence, drop_first: bool = False, prefix: str | None = None) -> DataFrame:

@@ -28,6 +28,7 @@ CATEGORICAL_FEATURES = ["campaign", "region_code"]
 
 def build_features(df: DataFrame, as_of: str) -> DataFrame:
     """X11: model features from a contract frame (no deletion-derived column)."""
+    df = df.withColumn("deletion_type", C.deletion_type("deletion_type"))  # P9: bad or NULL -> 0
     return df.withColumns({
         "event": C.event_flag("deletion_type"),
         "term_days": C.day_diff_clipped("end_insurance", "start_insurance").cast("double"),

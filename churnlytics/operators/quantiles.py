@@ -6,13 +6,10 @@ shuffle); ranks come from running sums over *distinct* values and the pandas
 rule is applied: linear interpolation between the values at ranks
 ``floor(h)`` and ``ceil(h)``, ``h = (n - 1) q``.
 
-* Few distinct values (days, months, amounts): one window per group over the
-  distinct values.
-* Many distinct values (continuous scores): the distinct values are
-  range-bucketed by approximate quantile cut points (the bucket count grows
-  with the number of distinct values, ``operators.buckets``); bucket totals
-  per group locate the bucket of every requested rank, and only those buckets
-  are ranked, each in its own task.
+The distinct values are range-bucketed by approximate quantile cut points (the
+bucket count grows with the number of distinct values, ``operators.buckets``);
+bucket totals per group locate the bucket of every requested rank, and only
+those buckets are ranked, each in its own task. A NULL group is a group.
 
 ``approx=True`` switches to ``percentile_approx``.
 """
@@ -25,8 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlytics.operators.buckets import bucket_count, cut_points, with_range_bucket
-
-SMALL_DISTINCT = 200_000
+from churnlytics.session import cut_lineage
 
 
 def _approx(base: DataFrame, value_col: str, qs: list[float], group_cols: Sequence[str], accuracy: int) -> DataFrame:
@@ -49,46 +45,45 @@ def _interpolate(ranked: DataFrame, group_cols: Sequence[str], qs: list[float],
 
 
 def quantiles(df: DataFrame, value_col: str, qs: Sequence[float], group_cols: Sequence[str] = (),
-              approx: bool = False, accuracy: int = 100_000, buckets: int | None = None,
-              small_distinct: int = SMALL_DISTINCT) -> DataFrame:
+              approx: bool = False, accuracy: int = 100_000, buckets: int | None = None) -> DataFrame:
     """Rows ``(*group_cols, q, value)``, one per group and requested quantile."""
     qs = [float(q) for q in qs]
     base = df.where(F.col(value_col).isNotNull())
     if approx:
         return _approx(base, value_col, qs, group_cols, accuracy)
     counts = base.groupBy(*group_cols, F.col(value_col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    n_distinct = counts.limit(small_distinct + 1).count()
-    if n_distinct <= small_distinct:
-        w = Window.partitionBy(*group_cols).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.select(*group_cols, "_x", F.sum("_c").over(w).alias("_hi"),
-                               F.sum("_c").over(Window.partitionBy(*group_cols)).alias("_n"))
-        return _interpolate(ranked, group_cols, qs, "_hi", "_n")
-    return _bucketed(counts, group_cols, qs, buckets or bucket_count(counts.count(), minimum=256))
+    # The counts feed the cut points, the totals and the ranking: cut once.
+    counts = cut_lineage(counts)
+    if not group_cols:
+        return _bucketed(counts.withColumn("_g0", F.lit(0)), ["_g0"], qs, buckets).drop("_g0")
+    return _bucketed(counts, group_cols, qs, buckets)
 
 
-def _bucketed(counts: DataFrame, group_cols: Sequence[str], qs: list[float], buckets: int) -> DataFrame:
-    if not group_cols:
-        out = _bucketed(counts.withColumn("_g0", F.lit(0)), ["_g0"], qs, buckets)
-        return out.drop("_g0")
-    keyed = with_range_bucket(counts, "_x", cut_points(counts, "_x", buckets), "_b")
+def _same(a: DataFrame, b: DataFrame, cols: Sequence[str], tag: str):
+    """``b`` with its ``cols`` renamed by ``tag``, and the null-safe join condition."""
+    b = b.select(*[F.col(c).alias(f"{tag}{c}") if c in cols else F.col(c) for c in b.columns])
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & a[c].eqNullSafe(b[f"{tag}{c}"])
+    return b, cond
+
+
+def _bucketed(counts: DataFrame, group_cols: Sequence[str], qs: list[float], buckets: int | None) -> DataFrame:
+    cuts = cut_points(counts, "_x", buckets or bucket_count(counts.count()))
+    keyed = with_range_bucket(counts, "_x", cuts, "_b")
     # totals per (group, bucket): at most groups x (len(cuts) + 1) rows
     tot = keyed.groupBy(*group_cols, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     tot = tot.select(*group_cols, "_b", "_bc", F.sum("_bc").over(wb).alias("_cum"),
                      F.sum("_bc").over(Window.partitionBy(*group_cols)).alias("_n"))
     # buckets holding a requested rank (floor/ceil of (n - 1) q)
-    ks = tot.select(*group_cols, "_n").distinct().select(
-        *group_cols, "_n", F.explode(F.array(*[F.lit(q) for q in qs])).alias("q"))
-    ks = ks.select(*group_cols, "_n", F.explode(F.array(F.floor((F.col("_n") - 1) * F.col("q")),
-                                                        F.ceil((F.col("_n") - 1) * F.col("q")))).alias("_k"))
-    need = ks.join(tot, list(group_cols), "inner")
-    need = need.where((F.col("_cum") > F.col("_k")) & (F.col("_cum") - F.col("_bc") <= F.col("_k"))) \
-               .select(*group_cols, "_b", (F.col("_cum") - F.col("_bc")).alias("_off")).distinct()
-    sel = keyed.join(F.broadcast(need), [*group_cols, "_b"], "inner")
+    ranks = F.array(*[f((F.col("_n") - 1) * F.lit(q)).cast("long") for q in qs for f in (F.floor, F.ceil)])
+    need = tot.where(F.exists(ranks, lambda k: (F.col("_cum") > k) & (F.col("_cum") - F.col("_bc") <= k))) \
+              .select(*group_cols, "_b", (F.col("_cum") - F.col("_bc")).alias("_off"), "_n")
+    need, same = _same(keyed, need, [*group_cols, "_b"], "_r")
+    sel = keyed.join(need, same)
     w = Window.partitionBy(*group_cols, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sel.select(*group_cols, "_x", (F.col("_off") + F.sum("_c").over(w)).alias("_hi"))
-    n = tot.select(*group_cols, "_n").distinct()
-    ranked = ranked.join(F.broadcast(n), list(group_cols), "inner")
+    ranked = sel.select(*group_cols, "_x", (F.col("_off") + F.sum("_c").over(w)).alias("_hi"), "_n")
     return _interpolate(ranked, group_cols, qs, "_hi", "_n")
 
 

@@ -8,18 +8,24 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlytics.functions import columns as C
+from churnlytics.operators.cohort import pivot_wide
 from churnlytics.operators.quantiles import quantiles
 from churnlytics.schema import CANCEL_TIME_EDGES, DURATION_BIN_EDGES
 
 
+def _n_rows(df: DataFrame) -> Column:
+    """Number of rows as a scalar subquery (one row; no window over all values)."""
+    return df.agg(F.count(F.lit(1)).cast("double")).scalar()
+
+
 def value_counts(df: DataFrame, col: str, digits: int | None = None) -> DataFrame:
     """``(value, n, pct)`` with the percentage of all rows."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    pct = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())
+    pct = F.col("n") * 100.0 / _n_rows(df)
     return g.withColumn("pct", pct if digits is None else F.bround(pct, digits))
 
 
@@ -60,7 +66,7 @@ def rate_matrix(df: DataFrame, row_key: str, col_key: str, cols: Sequence[str] |
                 event_col: str = "event") -> DataFrame:
     """A10: mean cancellation rate (%) pivoted row_key x col_key (NULL where empty)."""
     long = df.groupBy(row_key, col_key).agg((F.avg(event_col) * 100.0).alias("rate"))
-    return long.groupBy(row_key).pivot(col_key, list(cols) if cols is not None else None).agg(F.first("rate"))
+    return pivot_wide(long, [row_key], col_key, "rate", cols, fill=None)
 
 
 def unpivot_measures(df: DataFrame, ids: Sequence[str], measures: Sequence[str],
@@ -79,7 +85,7 @@ def rate_trend(rates: DataFrame, x: str, y: str = "rate") -> DataFrame:
 def share(df: DataFrame, key: str) -> DataFrame:
     """Contracts per key and share (%) of all contracts."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("contracts"))
-    return g.withColumn("share", F.col("contracts") * 100.0 / F.sum("contracts").over(Window.partitionBy()))
+    return g.withColumn("share", F.col("contracts") * 100.0 / _n_rows(df))
 
 
 def feature_rate(df: DataFrame, feature: str, event_col: str = "event", by: Sequence[str] = (),
@@ -135,9 +141,19 @@ def duration_bins(df: DataFrame, value_col: str = "duration") -> DataFrame:
     return histogram_fixed(df, value_col, DURATION_BIN_EDGES, right_closed=True, include_lowest=True)
 
 
-def density_histogram(df: DataFrame, value_col: str, class_col: str, lo: float, hi: float,
-                      n_bins: int = 20) -> DataFrame:
-    """Per-class density histogram ``count / (n_class * width)``."""
+def density_histogram(df: DataFrame, value_col: str, class_col: str, lo: float | None = None,
+                      hi: float | None = None, n_bins: int = 20) -> DataFrame:
+    """Per-class density histogram ``count / (n_class * width)`` over
+    the range of the data (two scalars; the last bin holds the maximum). With
+    ``lo`` or ``hi`` given, a value beyond them fails the query."""
+    if lo is None or hi is None:
+        r = df.agg(F.min(value_col).cast("double"), F.max(value_col).cast("double")).first()
+        lo, hi = (r[0] if lo is None else lo), (r[1] if hi is None else hi)
+        lo, hi = (0.0 if lo is None else lo), (1.0 if hi is None else hi)
+    hi = hi if hi > lo else lo + 1.0
+    inside = F.col(value_col).isNull() | F.col(value_col).between(lo, hi)
+    df = df.where(F.when(inside, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"{value_col} outside [{lo}, {hi}]")).cast("boolean")))
     width = (hi - lo) / n_bins
     b = F.least(F.greatest(F.floor((F.col(value_col) - lo) / width), F.lit(0)), F.lit(n_bins - 1)).cast("int")
     g = df.where(F.col(value_col).isNotNull()).groupBy(class_col, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -147,12 +163,13 @@ def density_histogram(df: DataFrame, value_col: str, class_col: str, lo: float,
 
 
 def describe_by(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
-    """Min / max / mean / exact median per group (median from value counts)."""
+    """Min / max / mean / exact median per group (median from value counts;
+    a NULL group is a group)."""
     basic = df.groupBy(group_col).agg(F.min(value_col).cast("double").alias("min"),
                                       F.max(value_col).cast("double").alias("max"),
                                       F.avg(value_col).alias("mean"), F.count(value_col).alias("n"))
-    med = quantiles(df, value_col, [0.5], [group_col]).select(group_col, F.col("value").alias("median"))
-    return basic.join(med, group_col, "left")
+    med = quantiles(df, value_col, [0.5], [group_col]).select(F.col(group_col).alias("_g"), F.col("value").alias("median"))
+    return basic.join(med, basic[group_col].eqNullSafe(med["_g"]), "left").drop("_g")
 
 
 def tertile_cuts(df: DataFrame, value_col: str = "amount") -> tuple[float, float]:
@@ -191,8 +208,9 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def top_n(df: DataFrame, col: str, n: int) -> DataFrame:
-    """O2: the n most frequent values; ties broken by value (the limit is the feature)."""
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(col).asc()).limit(n)
+    """O2: the n most frequent values; ties broken by value (the limit is the
+    feature). NULL is no value and takes no place."""
+    return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(col).asc()).limit(n)
 
 
 def fold_rare(df: DataFrame, col: str, n: int = 10, other: str = "Other") -> DataFrame:

@@ -82,7 +82,7 @@ def cpo_withdrawal(df: DataFrame, p: SettlementParams, keys: Sequence[str] | Non
             .groupBy("del_month", "column_key").agg(weighted_count(None, weight).alias("n"))
             .withColumn("value", F.col("n") * fee("del_month", p)))
     long = with_gap_markers(long.select("del_month", "column_key", "value"), "del_month", "column_key", "value")
-    wide = pivot_wide(long, ["del_month"], "column_key", "value", keys, fill=0.0)
+    wide = pivot_wide(long, ["del_month"], "column_key", "value", keys, fill=0.0, markers=("_month",))
     key_cols = [c for c in wide.columns if c != "del_month"]
     for r in rollups:
         members = [F.col(f"`{c}`") for c in key_cols if c.startswith(r + "-")]
@@ -226,7 +226,8 @@ def settlement_result(df: DataFrame, p: SettlementParams, placeholders: bool = F
     group = (F.when(F.col("measure").endswith("_withdrawal_cpo"), F.lit("cpo"))
              .when(F.col("measure").endswith("_withdrawal_cpo_3783"), F.lit("cpo_3783")))
     allrows = with_gap_markers(long, "month", "measure", "value", group)
-    wide = pivot_wide(allrows, ["month"], "measure", "value", RESULT_MEASURES, fill=0.0)
+    # the report has these columns only; other measures (markers, second products) just keep their months
+    wide = pivot_wide(allrows, ["month"], "measure", "value", RESULT_MEASURES, fill=0.0, others="drop")
     if placeholders:
         for cc in ("", "_3783", "_jd", "_ufc", "_ts", "_m3"):
             wide = wide.withColumn(f"re_call_center{cc}", F.lit("")).withColumn(f"actual_minus_target{cc}", F.lit(""))
@@ -255,7 +256,7 @@ def short_result(df: DataFrame, p: SettlementParams, call_centers: Sequence[str]
     long = (df.select(F.explode(rows).alias("r")).where(F.col("r").isNotNull()).select("r.*")
             .groupBy("month", "measure").agg(F.sum("value").alias("value")))
     keys = [f"{c}_{k}_cpo" for c in call_centers for k in ("new", "withdrawal")]
-    wide = pivot_wide(long, ["month"], "measure", "value", keys, fill=0.0)
+    wide = pivot_wide(long, ["month"], "measure", "value", keys, fill=0.0, others="drop")
     return wide.select(C.month_label("month").alias("month"), *keys).orderBy("month")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from churnlytics.functions import columns as C
 from churnlytics.operators.quantiles import quantiles
+from churnlytics.session import cut_lineage
 from churnlytics.schema import KM_CHECK_TIMES, KM_DURATION_CAP, KM_HORIZONS
 
 Z95 = 1.959963984540054  # standard normal quantile 0.975
@@ -36,7 +37,8 @@ def survival_frame(df: DataFrame, as_of: str | None = None, rule: str = "as_of",
     if rule == "as_of":
         if as_of is None:
             raise ValueError("as_of is required (never the wall clock)")
-        out = df.withColumn("event", C.event_flag("deletion_type"))
+        out = df.withColumn("deletion_type", C.deletion_type("deletion_type"))  # P9: bad or NULL -> 0
+        out = out.withColumn("event", C.event_flag("deletion_type"))
         out = out.withColumn("duration", C.day_diff_clipped(F.to_date(F.lit(as_of)), "start_insurance"))
         if "report_date" in df.columns:
             out = out.withColumn("time_until_event", F.when(
@@ -44,7 +46,8 @@ def survival_frame(df: DataFrame, as_of: str | None = None, rule: str = "as_of",
                 F.datediff("report_date", "start_insurance")))
         out = out.withColumn("had_start", F.col("start_insurance").isNotNull())
     elif rule == "k7":
-        out = df.withColumn("event", C.event_flag("deletion_type", strict_positive=True))
+        out = df.withColumn("deletion_type", C.deletion_type("deletion_type"))
+        out = out.withColumn("event", C.event_flag("deletion_type", strict_positive=True))
         raw = F.when(F.col("event") == 1, F.datediff("deletion_allowed_at", "start_insurance")) \
                .otherwise(F.datediff("end_insurance", "start_insurance"))
         out = out.withColumn("duration", F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(cap)))
@@ -62,9 +65,13 @@ def km_curve(df: DataFrame, time_col: str = "duration", event_col: str = "event"
 
     Columns: ``*strata, t, at_risk, events, survival`` (+ ``ci_lower, ci_upper``).
     A ``t = 0`` row is always present (S = 1 unless events happen at 0).
-    ``min_size`` keeps strata with more rows than it (K5's ``n > 30``).
+    ``min_size`` keeps strata with more rows than it (K5's ``n > 30``). Times
+    are whole days: a fraction fails the query.
     """
-    g = (df.where(F.col(time_col).isNotNull())
+    t = F.col(time_col)
+    whole = F.when(t == F.floor(t), F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"{time_col} holds fractions of a day")).cast("boolean"))
+    g = (df.where(t.isNotNull()).where(whole)
          .groupBy(*strata, F.col(time_col).cast("int").alias("t"))
          .agg(F.sum(F.col(event_col).cast("long")).alias("events"), F.count(F.lit(1)).alias("_rows")))
     part = Window.partitionBy(*strata)
@@ -96,8 +103,8 @@ def km_curve(df: DataFrame, time_col: str = "duration", event_col: str = "event"
 
 # --- K5 strata ----------------------------------------------------------------------
 def top_values(df: DataFrame, col: str, n: int) -> list:
-    """The n most frequent values (ties by value) - at most n scalars."""
-    rows = (df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    """The n most frequent values (ties by value; NULL is none) - at most n scalars."""
+    rows = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
             .orderBy(F.col("_n").desc(), F.col(col).asc()).limit(n).collect())
     return [r[0] for r in rows]
 
@@ -116,7 +123,7 @@ def fit_strata_all(df: DataFrame, columns: Sequence[str], top: int = 5, max_cate
     """K5 rules for several columns from ONE aggregation: value counts per
     (column, value) via an explode of a fixed-size array, then per column the
     top values and the distinct count (both bounded: at most ``top`` values
-    and one number per column reach the driver). Numeric columns with more
+    and one number per column reach the driver). NULL is no value. Numeric columns with more
     than ``max_categorical`` distinct values get quartile edges instead."""
     dtypes = dict(df.dtypes)
     def num(c):
@@ -126,15 +133,14 @@ def fit_strata_all(df: DataFrame, columns: Sequence[str], top: int = 5, max_cate
                                num(c).alias("num")) for c in columns])
     counts = (df.select(F.explode(pairs).alias("p")).groupBy("p.variable", "p.value", "p.num")
               .agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("variable")
-    ranked = counts.withColumn("_k", F.count(F.lit(1)).over(w)).withColumn(
-        "_r", F.row_number().over(w.orderBy(F.col("n").desc(), F.col("num").asc_nulls_first(),
-                                            F.col("value").asc_nulls_first())))
-    rows = ranked.where(F.col("_r") <= top).collect()
+    counts = cut_lineage(counts.where(F.col("value").isNotNull()))
+    distinct = {r[0]: r[1] for r in counts.groupBy("variable").agg(F.count(F.lit(1))).collect()}
     rules = {}
     for c in columns:
-        mine = sorted((r for r in rows if r["variable"] == c), key=lambda r: r["_r"])
-        k = mine[0]["_k"] if mine else 0
+        # the first of a sort with a limit: each task keeps ``top`` rows
+        mine = (counts.where(F.col("variable") == c)
+                .orderBy(F.col("n").desc(), F.col("num").asc_nulls_first(), F.col("value")).limit(top).collect())
+        k = distinct.get(c, 0)
         numeric = dtypes[c] in ("int", "bigint", "double", "float", "smallint") or dtypes[c].startswith("decimal")
         if numeric and k > max_categorical:
             rules[c] = {"kind": "quartile", "edges": quartile_edges(df, c)}

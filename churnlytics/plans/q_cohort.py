@@ -26,7 +26,7 @@ SELECT contract_no, substr(contract_no, 7, 2) AS call_center, campaign_no,
        (year(start_insurance - 1) * 100 + month(start_insurance - 1))::INTEGER AS acq_month,
        deletion_allowed_at,
        (year(deletion_allowed_at + INTERVAL 1 MONTH) * 100 + month(deletion_allowed_at + INTERVAL 1 MONTH))::INTEGER AS del_month
-FROM (SELECT lpad(id::VARCHAR, 6, '0') || call_center || lpad(customer_id::VARCHAR, 6, '0') AS contract_no,
+FROM (SELECT 'VTRG00' || call_center || id::VARCHAR || '-' || customer_id::VARCHAR AS contract_no,
              channel AS campaign_no, start_insurance, deletion_allowed_at FROM contracts)
 """)
 

@@ -140,10 +140,10 @@ def q_sweep(spark, sf_dir):
 
 def _sweep_sql() -> str:
     rows = " UNION ALL ".join(
-        f"SELECT {i} AS idx, {t}::DOUBLE AS threshold, count(*) FILTER (WHERE event = 0 AND adjusted_probability < {t}) AS tn, "
-        f"count(*) FILTER (WHERE event = 0 AND adjusted_probability >= {t}) AS fp, "
-        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability < {t}) AS fn, "
-        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability >= {t}) AS tp FROM pred"
+        f"SELECT {i} AS idx, {t}::DOUBLE AS threshold, count(*) FILTER (WHERE event = 0 AND adjusted_probability <= {t}) AS tn, "
+        f"count(*) FILTER (WHERE event = 0 AND adjusted_probability > {t}) AS fp, "
+        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability <= {t}) AS fn, "
+        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability > {t}) AS tp FROM pred"
         for i, t in enumerate(THRESHOLDS))
     return rows
 
@@ -224,10 +224,10 @@ def q_sweep_pct(spark, sf_dir):
 def _sweep_pct_sql() -> str:
     qs = [x / 100 for x in PERCENTILES]
     rows = " UNION ALL ".join(
-        f"SELECT {i} AS idx, t AS threshold, count(*) FILTER (WHERE event = 0 AND adjusted_probability < t) AS tn, "
-        f"count(*) FILTER (WHERE event = 0 AND adjusted_probability >= t) AS fp, "
-        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability < t) AS fn, "
-        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability >= t) AS tp "
+        f"SELECT {i} AS idx, t AS threshold, count(*) FILTER (WHERE event = 0 AND adjusted_probability <= t) AS tn, "
+        f"count(*) FILTER (WHERE event = 0 AND adjusted_probability > t) AS fp, "
+        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability <= t) AS fn, "
+        f"count(*) FILTER (WHERE event = 1 AND adjusted_probability > t) AS tp "
         f"FROM pred, (SELECT quantile_cont(adjusted_probability, {q}) AS t FROM pred) GROUP BY t"
         for i, q in enumerate(qs))
     return rows

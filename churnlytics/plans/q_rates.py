@@ -337,11 +337,12 @@ oracle("tariff_count", "SELECT acq_month, amount, count(*) AS n, round(count(*)
 
 @register("feature_density")
 def q_density(spark, sf_dir):
-    return rounded(R.density_histogram(_base(spark, sf_dir), "duration", "event", 0.0, 2600.0, 20))
+    return rounded(R.density_histogram(_base(spark, sf_dir), "duration", "event", n_bins=20))
 
 
 oracle("feature_density", f"""
-SELECT event, bin, round(0.0 + bin * 130.0, 6) AS lower, n, round(n / (sum(n) OVER (PARTITION BY event) * 130.0), 6) AS density
-FROM (SELECT event, least(greatest(floor((duration - 0.0) / 130.0), 0), 19)::INTEGER AS bin, count(*) AS n
-      FROM {SURV} WHERE duration IS NOT NULL GROUP BY 1, 2)
+SELECT event, bin, round(lo + bin * width, 6) AS lower, n, round(n / (sum(n) OVER (PARTITION BY event) * width), 6) AS density
+FROM (SELECT event, lo, width, least(floor((duration - lo) / width), 19)::INTEGER AS bin, count(*) AS n
+      FROM {SURV}, (SELECT min(duration)::DOUBLE AS lo, (max(duration) - min(duration)) / 20.0 AS width FROM {SURV})
+      WHERE duration IS NOT NULL GROUP BY ALL)
 """)

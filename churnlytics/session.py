@@ -44,8 +44,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage (``spark.checkpoint.dir``).
 
-    The cluster's value is always used when present; a scratch folder is set
-    only when nothing is configured (local tests).
+    The cluster's value is always used when present. Without one, a local
+    master gets a scratch folder (tests); on a cluster executors would not
+    share it, so RuntimeError is raised.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -55,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="churnlytics-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -66,10 +69,3 @@ def cut_lineage(df):
     ``localCheckpoint``: a lost executor must not lose the data)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_partitions(df):
-    """Give a small frame at least ``defaultParallelism`` partitions before
-    iterative fits (a no-op for inputs that already have more partitions)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -78,12 +78,13 @@ def contracts_from_testdata(spark: SparkSession, sf_dir: str, due_dates: bool =
 
 
 def raw_contracts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw source rows of the enrichment job (P1): contract number with the
-    call center at characters 7-8, campaign number, start date, deletion date."""
+    """Raw source rows of the enrichment job (P1): contract number (a head of 6
+    characters, the call center at 7-8, then the whole contract and customer
+    ids), campaign number, start date, deletion date."""
     c = contracts_from_testdata(spark, sf_dir, due_dates=True)
     return c.select(
-        F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.col("call_center"),
-                 F.lpad(F.col("customer_id").cast("string"), 6, "0")).alias("contract_no"),
+        F.concat(F.lit("VTRG00"), F.col("call_center"), F.col("id").cast("string"), F.lit("-"),
+                 F.col("customer_id").cast("string")).alias("contract_no"),
         F.col("channel").alias("campaign_no"),
         F.col("start_insurance"),
         F.col("deletion_allowed_at"),

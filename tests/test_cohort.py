@@ -40,3 +40,11 @@ def test_weighted_cohort_equals_row_counts(spark):
     a = K.cohort_matrix(rows, keys=["x", "y"], deletion_types=[1]).collect()
     b = K.cohort_matrix(base, keys=["x", "y"], deletion_types=[1], weight="n").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_unlisted_pivot_key_fails(spark):
+    df = spark.createDataFrame([(202101, "x", 1), (202101, "new", 1), (202101, None, 1)],
+                               "acq_month int, campaign string, deletion_type int")
+    with pytest.raises(Exception, match="no column for the key new"):
+        K.cohort_matrix(df, keys=["x"]).collect()
+    assert set(K.cohort_matrix(df).columns) == {"acq_month", "x", "new"}

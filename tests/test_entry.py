@@ -12,7 +12,9 @@ def test_registry_shape():
     for name, fn in q.items():
         assert re.fullmatch(r"[a-z][a-z0-9_]*", name), name
         assert callable(fn)
-    for name, sql in o.items():
+    from churnlytics.plans.oracle import all_oracles
+    for name, sql in all_oracles().items():
+        assert o[name] == sql
         assert sql.lstrip().upper().startswith("WITH CONTRACTS AS"), name
 
 

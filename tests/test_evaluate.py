@@ -58,3 +58,9 @@ def test_auc_matches_spark_ml_exact(spark):
     ml = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="event", metricName="areaUnderROC",
                                        numBins=0).evaluate(df)
     assert ours == pytest.approx(ml, abs=1e-9)
+
+
+def test_threshold_is_exclusive(spark):
+    df = spark.createDataFrame([(0.5, 1), (0.5, 0), (0.6, 1)], "score double, event int")
+    r = E.threshold_sweep(df, [0.5], "score").first()
+    assert (r["tn"], r["fp"], r["fn"], r["tp"]) == (1, 0, 1, 1)

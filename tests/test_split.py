@@ -28,3 +28,9 @@ def test_split_shares(spark, sf_small):
         total = g["count"].sum()
         train = g.loc[g["split"] == "train", "count"].sum()
         assert abs(train - 0.8 * total) <= 1
+
+
+def test_null_label_rows_stay(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "id long, event int")
+    got = stratified_split(df).collect()
+    assert len(got) == 100 and {r["split"] for r in got if r["event"] is None} == {"train", "test"}
