@@ -6,8 +6,9 @@
    against its bucket's smallest class (a star, never all pairs), exactly, by
    multiset overlap.
 3. Buckets that still hold several components are compared across components
-   by signature, in blocks; what may reach the threshold is verified, so no
-   link that the bands found is lost and copies are not multiplied into pairs.
+   in blocks: by signature first, then exactly, in the task. A block gives out
+   a forest of its links, never its pairs, so no link that the bands found is
+   lost and groups of copies stay linear.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 BLOCK = 2048  # classes of one bucket that one task compares
+BIN_ROWS = 4000  # bucket rows that one call gets
 U64 = np.uint64
 
 
@@ -136,8 +138,8 @@ def signatures(docs: DataFrame, k: int = SHINGLE, m: int = BANDS * ROWS) -> Data
 
 
 def elements(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``(id, els array<long>)``: the multiset as a set, the copies of a shingle
-    told apart by their number."""
+    """``(id, els array<long>)``: the multiset as a sorted set, the copies of a
+    shingle told apart by their number."""
 
     def run(batches):
         hasher = TX.WordHasher()
@@ -147,18 +149,20 @@ def elements(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             no = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
             with np.errstate(over="ignore"):
                 e = TX.mix(np.repeat(h, w) + no.astype(np.uint64) * U64(0x8CB92BA72F3D8DD7))
-            off = np.searchsorted(np.repeat(doc, w), np.arange(part.num_rows + 1))
+            own = np.repeat(doc, w)
+            e = e.view(np.int64)[np.lexsort((e.view(np.int64), own))]
+            off = np.searchsorted(own, np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(e.view(np.int64)))],
+                [part.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(e))],
                 names=["id", "els"])
 
     return docs.mapInArrow(run, "id long, els array<long>")
 
 
 def band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``(rep, n, band)``: one row per class and band."""
+    """``(rep, n, no, band)``: one row per class and band; ``no`` numbers the bands."""
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * rows + r] for r in range(rows)]) for b in range(bands)])
-    return classes.select("rep", "n", F.explode(keys).alias("band"))
+    return classes.select("rep", "n", F.posexplode(keys).alias("no", "band"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -174,34 +178,70 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, k: int) -> Da
             .select("a", "b").distinct())
 
 
-def cross_pairs(rows: DataFrame, least: float, similarity: float) -> DataFrame:
-    """Pairs of classes in one bucket but different components whose signatures
-    agree in a share of ``least`` or more: ``rows(band, blocks, rep, comp, n,
-    sig)``. A bucket beyond one block is compared block against block."""
+def bucket_forest(left: dict, right: dict, same: bool, no: int, rows: int, least: float,
+                  similarity: float) -> list[tuple[int, int]]:
+    """Links between two blocks of a bucket, enough of them to connect what
+    links connect. ``left`` and ``right`` hold rep, comp, n, sig and els.
+
+    Only pairs of different components count, that meet in band ``no`` first
+    and whose signatures agree in a share of ``least``; the likeliest are
+    verified first, and pairs that are connected by then are passed over.
+    """
+    found = []
+    for i in range(len(left["rep"])):
+        n, size = right["n"], left["n"][i]
+        ok = (right["comp"] != left["comp"][i]) & (np.minimum(n, size) >= similarity * np.maximum(n, size))
+        if same:
+            ok &= right["rep"] > left["rep"][i]
+        at = np.flatnonzero(ok)
+        if len(at):
+            equal = right["sig"][at] == left["sig"][i]
+            share = equal.mean(axis=1)
+            bands = equal.reshape(len(at), -1, rows).all(axis=2)
+            good = (share >= least) & (bands.argmax(axis=1) == no)
+            found += zip(share[good].tolist(), [i] * int(good.sum()), at[good].tolist(), strict=True)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for _, i, j in sorted(found, key=lambda f: -f[0]):
+        a, b = root(int(left["comp"][i])), root(int(right["comp"][j]))
+        if a == b:
+            continue
+        x, y = left["els"][i], right["els"][j]
+        both = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+        if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+            parent[a] = b
+            links.append((int(left["rep"][i]), int(right["rep"][j])))
+    return links
+
+
+def cross_links(rest: DataFrame, rows: int, least: float, similarity: float) -> DataFrame:
+    """Links ``(src, dst)`` between components within buckets: ``rest(no, band,
+    blocks, rep, comp, n, sig, els)``. A bucket beyond one block is compared
+    block against block; a call gets a bin of many buckets."""
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    dealt = (rows.withColumn("own", own)
+    dealt = (rest.withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        left = pdf[pdf["own"] == lo]
-        right = left if lo == hi else pdf[pdf["own"] == hi]
-        a, b = [], []
-        if len(left) and len(right):
-            sig, n = np.stack(right["sig"].to_numpy()), right["n"].to_numpy()
-            comp, rep = right["comp"].to_numpy(), right["rep"].to_numpy()
-            for s, c, size, r in zip(left["sig"], left["comp"], left["n"], left["rep"], strict=True):
-                ok = (comp != c) & (np.minimum(n, size) >= similarity * np.maximum(n, size))
-                if lo == hi:
-                    ok &= rep > r
-                at = np.flatnonzero(ok)
-                at = at[(sig[at] == np.asarray(s)).mean(axis=1) >= least]
-                a += [r] * len(at)
-                b += rep[at].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
-
-    return dealt.groupBy("band", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+        links = []
+        for (no, _, lo, hi), g in pdf.groupby(["no", "band", "lo", "hi"], sort=False):
+            side = {k: {"rep": h["rep"].to_numpy(), "comp": h["comp"].to_numpy(), "n": h["n"].to_numpy(),
+                        "sig": np.stack(h["sig"].to_numpy()), "els": h["els"].to_list()}
+                    for k in {lo, hi} if len(h := g[g["own"] == k])}
+            if lo in side and hi in side:
+                links += bucket_forest(side[lo], side[hi], lo == hi, int(no), rows, least, similarity)
+        return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
+
+    return dealt.groupBy("bin", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(16))) \
+        .applyInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
@@ -230,13 +270,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = band_rows(classes, bands, rows)
     buckets = store(banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size"))
                     .where("size > 1"))
-    members = store(banded.join(buckets.select("band", "hub"), "band").select("band", "rep", "n", "hub"))
+    members = store(banded.join(buckets.select("band", "hub"), "band").select("no", "band", "rep", "n", "hub"))
     sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
     star = (members.where("rep <> hub").select(F.col("hub"), "rep", "n").distinct().join(sizes, "hub")
             .where(F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n"))
             .select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    star = store(star.distinct())
-    links = verified(star, d, similarity, shingle)
+    links = verified(star.distinct(), d, similarity, shingle)
     # Rows that share an id but not a text are one node.
     same_id = named.select("id", "digest").distinct().join(classes.select("digest", "rep"), "digest") \
                    .where("id <> rep").groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")) \
@@ -245,18 +284,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = store(comps)
     # Buckets that still hold several components.
     placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left") \
-                    .select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+                    .select("no", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = (placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
                                         F.count(F.lit(1)).alias("size")).where("c1 < c2")
              .select("band", F.ceil(F.col("size") / block).alias("blocks")))
-    rest = placed.join(mixed, "band").join(classes.select("rep", "n", "sig"), "rep")
-    least = similarity - 3 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
-    more = store(cross_pairs(rest, least, similarity).join(star, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        more = verified(more, d, similarity, shingle)
-        comps = store(connected_components(
-            comps.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-            .union(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))))
+    rest = store(placed.join(mixed, "band"))
+    n_rest = rest.count()
+    if n_rest:
+        ids = store(rest.select(F.col("rep").alias("id")).distinct())
+        els = store(elements(filter_ids(d, ids, "id"), shingle))
+        # A node's own text: rows that share its id may hold others.
+        own = els.join(classes.select(F.col("rep").alias("id"), "n", "sig"), "id").where(F.size("els") == F.col("n"))
+        bins = max(1, -(-n_rest // (16 * BIN_ROWS)))
+        full = (rest.join(own.withColumnRenamed("id", "rep"), "rep")
+                .withColumn("bin", F.pmod(F.hash("band"), F.lit(bins))))
+        least = similarity - 3 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
+        more = store(cross_links(full, rows, least, similarity))
+        if not more.isEmpty():
+            comps = store(connected_components(
+                comps.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more)))
     return (sigs.select("id", "digest", "n").join(classes.select("digest", "rep"), "digest", "left")
             .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
             .select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
