@@ -21,22 +21,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlytics.functions import columns as C
-
-NUMERIC_FEATURES = ["amount", "term_days", "days_from_start", "start_month", "product_code"]
-CATEGORICAL_FEATURES = ["campaign", "region_code"]
-
-
-def build_features(df: DataFrame, as_of: str) -> DataFrame:
-    """X11: model features from a contract frame (no deletion-derived column)."""
+from churnlytics.operators.evaluate import evaluate, model_comparison
+from churnlytics.operators.features import class_weights, with_class_weight
+from churnlytics.session import cut_lineage
+
+# X11: the three feature sets (numeric columns, categories). The tuned set's
+# age and birth month exist where the contracts have a birthday.
+FEATURE_SETS = {
+    "classifier": (["amount", "term_days", "days_from_start"], ["region_code", "product_code", "campaign"]),
+    "survival": (["amount", "term_days", "days_from_start"], ["region_code", "product_code", "campaign"]),
+    "tuned": (["amount", "term_days", "days_from_start", "age"],
+              ["region_code", "product_code", "campaign", "birth_month"]),
+}
+NUMERIC_FEATURES, CATEGORICAL_FEATURES = FEATURE_SETS["classifier"]
+
+
+def build_features(df: DataFrame, as_of: str, variant: str = "classifier") -> DataFrame:
+    """X11: model features from a contract frame (no deletion-derived column).
+
+    ``classifier`` and ``tuned`` count a missing date as 0 days; ``survival``
+    takes 365 days for a missing term (at least 1) and 180 days since a missing
+    start. The product code is a category. ``tuned`` adds age and birth month
+    where ``df`` has a birthday."""
+    if variant not in FEATURE_SETS:
+        raise ValueError(f"variant is one of {sorted(FEATURE_SETS)}")
+    today = F.to_date(F.lit(as_of))
+    if variant == "survival":
+        term, since = C.day_diff_clipped("end_insurance", "start_insurance", 365, 1), \
+            C.day_diff_clipped(today, "start_insurance", 180, 0)
+    else:
+        term, since = C.day_diff_clipped("end_insurance", "start_insurance"), C.day_diff_clipped(today, "start_insurance")
     df = df.withColumn("deletion_type", C.deletion_type("deletion_type"))  # P9: bad or NULL -> 0
-    return df.withColumns({
+    out = df.withColumns({
         "event": C.event_flag("deletion_type"),
-        "term_days": C.day_diff_clipped("end_insurance", "start_insurance").cast("double"),
-        "days_from_start": C.day_diff_clipped(F.to_date(F.lit(as_of)), "start_insurance").cast("double"),
-        "start_month": F.coalesce(F.month("start_insurance"), F.lit(-1)).cast("double"),
+        "term_days": term.cast("double"),
+        "days_from_start": since.cast("double"),
         "amount": F.col("amount").cast("double"),
-        "product_code": F.col("product_code").cast("double"),
+        "product_code": F.col("product_code").cast("string"),
     })
+    if variant == "tuned" and "birthday" in df.columns:
+        out = out.withColumns({"age": F.greatest(C.age_years("birthday", today), F.lit(0.0)),
+                               "birth_month": C.birth_month("birthday").cast("string")})
+    return out
+
+
+def columns_of(df: DataFrame, variant: str = "classifier") -> tuple[list[str], list[str]]:
+    """Numeric and categorical columns of a feature set that ``df`` has."""
+    numeric, categorical = FEATURE_SETS[variant]
+    return [c for c in numeric if c in df.columns], [c for c in categorical if c in df.columns]
 
 
 def preprocessor(numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Sequence[str] = CATEGORICAL_FEATURES,
@@ -58,20 +90,29 @@ def preprocessor(numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Sequenc
     return stages
 
 
-def fill_categories(df: DataFrame, categorical: Sequence[str] = CATEGORICAL_FEATURES, value: str = "missing") -> DataFrame:
+def fill_categories(df: DataFrame, categorical: Sequence[str] | None = None, value: str = "missing") -> DataFrame:
     """Constant imputation of categorical columns."""
-    return df.na.fill({c: value for c in categorical})
+    every = {c for _, cats in FEATURE_SETS.values() for c in cats}
+    return df.na.fill({c: value for c in (categorical or df.columns) if c in df.columns and c in every})
+
+
+# M1-M6 presets.
+GBT_DEPTHS = {"gbt": 3, "gbt_depth4": 4, "gbt_depth5": 5}
+MLP_LAYERS = {"mlp": [64, 32], "mlp_128": [128, 64, 32]}
+KINDS = (*GBT_DEPTHS, "random_forest", "logistic_regression", *MLP_LAYERS)
+
+
+def gbt(seed: int, **params) -> GBTClassifier:
+    """Boosted trees: every level is one pass over rows that know their node."""
+    return GBTClassifier(labelCol="event", seed=seed, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512,
+                         **params)
 
 
 def make_estimator(kind: str, n_features: int | None = None, seed: int = 42, weight_col: str | None = None,
                    C_reg: float = 1.0, total_weight: float | None = None):
     """M1-M6 presets."""
-    if kind == "gbt":
-        return GBTClassifier(labelCol="event", maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
-    if kind == "gbt_depth4":
-        return GBTClassifier(labelCol="event", maxIter=100, stepSize=0.1, maxDepth=4, seed=seed)
-    if kind == "gbt_depth5":
-        return GBTClassifier(labelCol="event", maxIter=100, stepSize=0.1, maxDepth=5, seed=seed)
+    if kind in GBT_DEPTHS:
+        return gbt(seed, maxIter=100, stepSize=0.1, maxDepth=GBT_DEPTHS[kind])
     if kind == "random_forest":
         return RandomForestClassifier(labelCol="event", numTrees=100, maxDepth=5, seed=seed)
     if kind == "logistic_regression":
@@ -80,30 +121,35 @@ def make_estimator(kind: str, n_features: int | None = None, seed: int = 42, wei
         if weight_col:
             lr.setWeightCol(weight_col)
         return lr
-    if kind == "mlp":
+    if kind in MLP_LAYERS:
         if n_features is None:
             raise ValueError("mlp needs n_features")
-        return MultilayerPerceptronClassifier(labelCol="event", layers=[n_features, 64, 32, 2], seed=seed, maxIter=100)
+        return MultilayerPerceptronClassifier(labelCol="event", layers=[n_features, *MLP_LAYERS[kind], 2], seed=seed,
+                                              maxIter=100)
     raise ValueError(f"unknown model {kind!r}")
 
 
-def fit_model(train: DataFrame, kind: str, seed: int = 42) -> PipelineModel:
-    """Fit preprocessing + one estimator as a single ``PipelineModel``."""
+def prepare(train: DataFrame, variant: str = "classifier", keep: Sequence[str] = ()) -> tuple[PipelineModel, DataFrame]:
+    """Fit the preprocessing once; the fitted pipeline and the training vectors
+    ``(event, weight, features, *keep)``, checkpointed for the fits. ``weight``
+    balances the classes (X12)."""
     train = fill_categories(train)
-    stages = preprocessor()
-    weight_col, total = None, None
-    if kind == "logistic_regression":
-        from churnlytics.operators.features import class_weights, with_class_weight
-        w = class_weights(train)
-        train = with_class_weight(train, w)
-        weight_col = "weight"
-        total = float(train.agg(F.sum("weight")).first()[0])
-    n_features = None
-    if kind == "mlp":
-        prep = Pipeline(stages=stages).fit(train)
-        n_features = len(prep.transform(train.limit(1)).first()["features"])
-    est = make_estimator(kind, n_features, seed, weight_col, 1.0, total)
-    return Pipeline(stages=stages + [est]).fit(train)
+    prep = Pipeline(stages=preprocessor(*columns_of(train, variant))).fit(train)
+    weighted = with_class_weight(train, class_weights(train))
+    return prep, cut_lineage(prep.transform(weighted).select("event", "weight", "features", *keep))
+
+
+def fit_prepared(prep: PipelineModel, vectors: DataFrame, kind: str, seed: int = 42) -> PipelineModel:
+    """One estimator on prepared vectors, as a pipeline with its preprocessing."""
+    total = float(vectors.agg(F.sum("weight")).first()[0] or 0.0) if kind == "logistic_regression" else None
+    width = len(vectors.first()["features"]) if kind in MLP_LAYERS else None
+    est = make_estimator(kind, width, seed, "weight" if total else None, 1.0, total)
+    return PipelineModel(stages=[*prep.stages, est.fit(vectors)])
+
+
+def fit_model(train: DataFrame, kind: str, seed: int = 42, variant: str = "classifier") -> PipelineModel:
+    """Fit preprocessing + one estimator as a single ``PipelineModel``."""
+    return fit_prepared(*prepare(train, variant), kind, seed)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -151,7 +197,8 @@ def load_models(names, path: str) -> dict:
 
 def gbt_trials(n_trials: int, seed: int = 42) -> list[dict]:
     """M7 search space (seeded random draws): trees 50-500, learning rate
-    0.01-0.3 (log), depth 3-10, subsample 0.5-1, min leaf 1-10."""
+    0.01-0.3 (log), depth 3-10, subsample 0.5-1, min leaf 1-10, features of a
+    split (all, square root, logarithm)."""
     rng = random.Random(seed)
     out = []
     for _ in range(n_trials):
@@ -159,39 +206,43 @@ def gbt_trials(n_trials: int, seed: int = 42) -> list[dict]:
                     "stepSize": round(10 ** rng.uniform(-2, math.log10(0.3)), 4),
                     "maxDepth": rng.randint(3, 10),
                     "subsamplingRate": round(rng.uniform(0.5, 1.0), 3),
-                    "minInstancesPerNode": rng.randint(1, 10)})
+                    "minInstancesPerNode": rng.randint(1, 10),
+                    "featureSubsetStrategy": rng.choice(["all", "sqrt", "log2"])})
     return out
 
 
-def tune_gbt(train: DataFrame, n_trials: int = 8, folds: int = 5, seed: int = 42, parallelism: int = 8,
-             id_col: str = "id") -> PipelineModel:
+def tune_gbt(train: DataFrame, n_trials: int = 50, folds: int = 5, seed: int = 42, parallelism: int = 8,
+             id_col: str = "id", variant: str = "classifier", trials: Sequence[dict] | None = None) -> PipelineModel:
     """M7: k-fold AUC over seeded random GBT parameters; the best is refit on
-    all training rows. Folds are a deterministic hash of the id (exact,
-    no sampling); every (trial, fold) fit is an independent distributed
-    Spark ML job, submitted concurrently from a thread pool (Spark's
-    ``CrossValidator`` runs folds one after another)."""
+    all training rows. The preprocessing is fitted once and its vectors are
+    checkpointed; folds are a deterministic hash of the id. A fit stops adding
+    trees once its fold's error no longer falls. Every (trial, fold) is an
+    independent Spark job from a thread pool."""
     from concurrent.futures import ThreadPoolExecutor
-    trials = gbt_trials(n_trials, seed)
-    data = fill_categories(train).withColumn(
-        "_fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)).cast("int"))
+    trials = list(trials) if trials is not None else gbt_trials(n_trials, seed)
+    prep, data = prepare(train, variant, keep=[id_col])
+    data = data.withColumn("_fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)).cast("int"))
     evaluator = BinaryClassificationEvaluator(labelCol="event", metricName="areaUnderROC")
 
     def score(job):
         ti, k = job
-        est = GBTClassifier(labelCol="event", seed=seed, **trials[ti])
-        model = Pipeline(stages=preprocessor() + [est]).fit(data.where(F.col("_fold") != k))
-        return ti, evaluator.evaluate(model.transform(data.where(F.col("_fold") == k)))
+        held = data.withColumn("_held", F.col("_fold") == k)
+        model = gbt(seed, validationIndicatorCol="_held", **trials[ti]).fit(held)
+        return ti, evaluator.evaluate(model.transform(held.where("_held")))
 
     jobs = [(ti, k) for ti in range(len(trials)) for k in range(folds)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(score, jobs))
     mean_auc = {ti: sum(a for t, a in results if t == ti) / folds for ti in range(len(trials))}
     best = max(sorted(mean_auc), key=lambda ti: mean_auc[ti])
-    est = GBTClassifier(labelCol="event", seed=seed, **trials[best])
-    return Pipeline(stages=preprocessor() + [est]).fit(data.drop("_fold"))
-
+    return PipelineModel(stages=[*prep.stages, gbt(seed, **trials[best]).fit(data)])
 
-def train_all(train: DataFrame, kinds: Sequence[str] = ("gbt", "random_forest", "logistic_regression")) -> dict:
-    """M8/M9: registry of fitted models keyed by name."""
-    return {k: fit_model(train, k) for k in kinds}
 
+def train_all(train: DataFrame, test: DataFrame, kinds: Sequence[str] = KINDS,
+              variant: str = "classifier") -> tuple[dict, DataFrame]:
+    """M9: fit every kind on vectors prepared once, evaluate each on ``test``
+    (E13) and compare (E10): the fitted pipelines by name, and one row a model."""
+    prep, vectors = prepare(train, variant)
+    models = {k: fit_prepared(prep, vectors, k) for k in kinds}
+    results = {k: evaluate(predict(m, test), "event", "predicted", "score") for k, m in models.items()}
+    return models, model_comparison(results)

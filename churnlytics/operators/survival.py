@@ -264,6 +264,29 @@ def km_predict(train: DataFrame, test: DataFrame, columns: Sequence[str], horizo
     return out.withColumn("predicted", (F.col("churn_probability") > threshold).cast("int"))
 
 
+# Fixed values of K11: thresholds tried, by balanced accuracy, and the horizon.
+ADJUSTED_THRESHOLDS = (0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6)
+
+
+def km_predict_adjusted(train: DataFrame, test: DataFrame, horizon: int = 180,
+                        thresholds: Sequence[float] = ADJUSTED_THRESHOLDS, term_col: str = "term_days",
+                        amount_col: str = "amount", time_col: str = "duration", event_col: str = "event") -> DataFrame:
+    """``1 - S(horizon)`` of the overall training curve, adjusted by the
+    contract's term and amount (against the median amount of ``test``); the
+    label is 1 above the threshold of the best balanced accuracy on ``test``
+    (the first of equals). Adds ``adjusted_probability``, ``threshold`` and
+    ``adjusted_predicted``."""
+    from churnlytics.operators.evaluate import threshold_sweep
+    at = survival_at(km_curve(train, time_col, event_col), [horizon]).first()
+    base = 1.0 - (at["survival"] if at else 1.0)
+    mid = quantiles(test, amount_col, [0.5]).first()
+    p = adjust_prediction(F.lit(base), F.col(term_col), F.col(amount_col), mid["value"] if mid else None)
+    out = test.withColumn("adjusted_probability", p)
+    best = threshold_sweep(out, thresholds, "adjusted_probability", event_col).where("best_balanced").first()
+    return out.withColumn("threshold", F.lit(float(best["threshold"]))) \
+              .withColumn("adjusted_predicted", (F.col("adjusted_probability") > F.col("threshold")).cast("int"))
+
+
 def adjust_prediction(prob: Column, duration: Column, amount: Column, amount_median: float,
                       short: int = 180, long: int = 365) -> Column:
     """x1.2 if duration < 180, x0.8 if > 365, x0.9 if amount > median;

@@ -25,11 +25,6 @@ def register(name: str):
 
 def all_queries() -> dict[str, QueryFn]:
     # Importing the modules registers their queries.
-    from churnlytics.plans import q_cohort  # noqa: F401
-    for mod in ("q_settlement", "q_rates", "q_survival", "q_features", "q_evaluate", "q_models"):
-        try:
-            __import__(f"churnlytics.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"churnlytics.plans.{mod}":
-                raise
+    from churnlytics.plans import (q_clean, q_cohort, q_cox, q_evaluate, q_features, q_models, q_rates,  # noqa: F401
+                                   q_settlement, q_survival)
     return dict(QUERIES)

@@ -49,13 +49,8 @@ def oracle(name: str, body: str, extra_ctes: str = "") -> None:
 
 
 def all_oracles() -> dict[str, str]:
-    from churnlytics.plans import q_cohort  # noqa: F401
-    for mod in ("q_settlement", "q_rates", "q_survival", "q_features", "q_evaluate", "q_models"):
-        try:
-            __import__(f"churnlytics.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"churnlytics.plans.{mod}":
-                raise
+    from churnlytics.plans.catalog import all_queries
+    all_queries()
     return dict(ORACLE)
 
 

@@ -15,16 +15,16 @@ from churnlytics.session import cut_lineage
 from churnlytics.plans.common import AS_OF, contracts, rounded
 
 
-def model_split(spark, sf_dir):
+def model_split(spark, sf_dir, variant="classifier"):
     """Model features, stratified split; the split is checkpointed to the
     shared checkpoint folder so the many fit jobs do not recompute it."""
     # Deletion-derived columns are dropped before any fit (event is kept)
-    df = drop_leakage(M.build_features(contracts(spark, sf_dir, due_dates=False, region=True), AS_OF))
+    df = drop_leakage(M.build_features(contracts(spark, sf_dir, due_dates=False, region=True), AS_OF, variant))
     sp = cut_lineage(X.stratified_split(df))
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 
-COX_NUMERIC = ["amount", "term_days", "start_month"]
+COX_NUMERIC = ["amount", "term_days"]
 
 
 def cox_design(train, test):
@@ -34,7 +34,7 @@ def cox_design(train, test):
     feats = [f"{c}_z" for c in COX_NUMERIC] + ["is_3783"] + [f"campaign_{v}" for v in vocab[1:]]
 
     def prep(df):
-        df = X.standardize(df, stats, "_z").withColumn("is_3783", (F.col("product_code") == 3783).cast("double"))
+        df = X.standardize(df, stats, "_z").withColumn("is_3783", (F.col("product_code") == "3783").cast("double"))
         df = X.one_hot(df, "campaign", vocab, drop_first=True)
         return df.withColumn("duration", F.col("days_from_start").cast("int"))
     return prep(train), prep(test), feats
@@ -42,7 +42,7 @@ def cox_design(train, test):
 
 @register("cox_fit")
 def q_cox_fit(spark, sf_dir):
-    train, test = model_split(spark, sf_dir)
+    train, test = model_split(spark, sf_dir, "survival")
     tr, _, feats = cox_design(train, test)
     model = COX.fit_cox_with_retry(tr, feats, ties="efron")
     return model.summary(spark)
@@ -50,7 +50,7 @@ def q_cox_fit(spark, sf_dir):
 
 @register("cox_predict")
 def q_cox_predict(spark, sf_dir):
-    train, test = model_split(spark, sf_dir)
+    train, test = model_split(spark, sf_dir, "survival")
     tr, te, feats = cox_design(train, test)
     model = COX.fit_cox_with_retry(tr, feats, ties="efron")
     return rounded(COX.predict_cox(model, te, horizon=180.0).select("id", "event", "churn_probability", "predicted"))
@@ -66,20 +66,16 @@ def _model_query(kind):
     return q
 
 
-for _kind in ("gbt", "gbt_depth4", "gbt_depth5", "random_forest", "logistic_regression", "mlp"):
+for _kind in M.KINDS:
     register(_kind)(_model_query(_kind))
 
 
-@register("tune_gbt")
-def q_tune(spark, sf_dir):
+@register("models_compared")
+def q_models_compared(spark, sf_dir):
+    """Four kinds fitted on vectors prepared once, evaluated and compared."""
     train, test = model_split(spark, sf_dir)
-    # search budget of the registered query: 2 random trials x 3 folds (library default 8 x 5)
-    best = M.tune_gbt(train, n_trials=2, folds=3)
-    scored = best.transform(M.fill_categories(test)).withColumn("score", F.col("probability")) \
-        .withColumn("predicted", F.col("prediction").cast("int"))
-    from pyspark.ml.functions import vector_to_array
-    scored = scored.withColumn("score", vector_to_array("probability")[1])
-    return rounded(E.evaluate(scored, "event", "predicted", "score").select(F.lit("tuned_gbt").alias("model"), "*"))
+    _, table = M.train_all(train, test, ("gbt", "random_forest", "logistic_regression", "mlp"))
+    return rounded(table)
 
 
 @register("random_forest_importance")

@@ -211,7 +211,8 @@ oracle("km_predict", "SELECT id, event, duration, round(churn_probability, 6) AS
 
 
 def adjusted_predictions(spark, sf_dir):
-    """K11 on top of K10: rule adjustments with the training median amount."""
+    """K10 scores with K11's rule adjustments (observation time, training
+    median): a score of many values for the evaluation queries."""
     train, _, p = km_predictions(spark, sf_dir)
     m = median(train, "amount").first()["median"]
     return p.withColumn("adjusted_probability",
@@ -220,9 +221,28 @@ def adjusted_predictions(spark, sf_dir):
 
 @register("km_predict_adjusted")
 def q_km_adjusted(spark, sf_dir):
-    p = adjusted_predictions(spark, sf_dir)
-    return rounded(p.select("id", "event", "duration", "churn_probability", "adjusted_probability"))
-
-
-oracle("km_predict_adjusted", "SELECT id, event, duration, round(churn_probability, 6) AS churn_probability, "
-       "round(adjusted_probability, 6) AS adjusted_probability FROM pred", extra_ctes=predict_ctes())
+    """K11 on the test split."""
+    sp = cut_lineage(stratified_split(survival_base(spark, sf_dir)))
+    test = sp.where(F.col("split") == "test").withColumn("term_days", F.datediff("end_insurance", "start_insurance"))
+    p = KM.km_predict_adjusted(sp.where(F.col("split") == "train"), test)
+    return rounded(p.select("id", "event", "adjusted_probability", "threshold", "adjusted_predicted"))
+
+
+_TH = list(KM.ADJUSTED_THRESHOLDS)
+_oc, _on = km_sql("tr", prefix="ko")
+oracle("km_predict_adjusted", """
+SELECT id, event, round(p, 6) AS adjusted_probability, threshold, (p > threshold)::INTEGER AS adjusted_predicted
+FROM adj, (SELECT arg_max(threshold, (ba, -threshold)) AS threshold FROM sweep)
+""", extra_ctes=f"""{SPLIT_SQL},
+tr AS (SELECT * FROM sp WHERE split = 'train'),
+te AS (SELECT * FROM sp WHERE split = 'test'),
+{_oc},
+base AS (SELECT 1.0 - arg_max(survival, t) AS p0 FROM {_on} WHERE t <= 180),
+adj AS (SELECT id, event, least(greatest(p0
+          * CASE WHEN end_insurance - start_insurance < 180 THEN 1.2 WHEN end_insurance - start_insurance > 365 THEN 0.8 ELSE 1.0 END
+          * CASE WHEN amount > (SELECT quantile_cont(amount, 0.5) FROM te) THEN 0.9 ELSE 1.0 END, 0.01), 0.99) AS p
+        FROM te, base),
+sweep AS (SELECT threshold,
+            (coalesce(count(*) FILTER (event = 1 AND p > threshold) / nullif(count(*) FILTER (event = 1), 0), 0)
+             + coalesce(count(*) FILTER (event = 0 AND p <= threshold) / nullif(count(*) FILTER (event = 0), 0), 0)) / 2 AS ba
+          FROM adj, (SELECT unnest({_TH})::DOUBLE AS threshold) GROUP BY threshold)""")

@@ -18,8 +18,7 @@ def _fixture(spark, n=1500, seed=1):
     logit = -2.0 + 0.12 * amount + (camp == "JD-ITM") * 1.0
     event = (rng.random(n) < 1 / (1 + np.exp(-logit))).astype(int)
     pdf = pd.DataFrame({"id": np.arange(n), "amount": amount, "term_days": term, "days_from_start": days,
-                        "start_month": rng.integers(1, 13, n).astype(float),
-                        "product_code": rng.choice([3402.0, 3783.0], n), "campaign": camp,
+                        "product_code": rng.choice(["3402", "3783"], n), "campaign": camp,
                         "region_code": rng.choice(["A", "B"], n), "event": event})
     return spark.createDataFrame(pdf)
 
@@ -32,6 +31,36 @@ def test_logistic_regression_learns_signal(spark):
     assert r["roc_auc"] > 0.6
 
 
+def test_every_kind_learns_and_is_compared(spark):
+    df = _fixture(spark)
+    train, test = df.where(F.col("id") % 5 != 0), df.where(F.col("id") % 5 == 0)
+    models, table = M.train_all(train, test, ("gbt", "random_forest", "logistic_regression", "mlp", "mlp_128"))
+    rows = {r["model"]: r for r in table.collect()}
+    assert set(rows) == set(models) and sum(r["best"] for r in rows.values()) == 1
+    assert all(r["roc_auc"] > 0.6 for r in rows.values())
+
+
+def test_tuning_picks_a_trial(spark):
+    df = _fixture(spark, n=500)
+    trials = [{"maxIter": 5, "maxDepth": 2, "stepSize": 0.1}, {"maxIter": 5, "maxDepth": 3, "stepSize": 0.2,
+                                                             "featureSubsetStrategy": "sqrt"}]
+    m = M.tune_gbt(df, folds=2, trials=trials)
+    assert E.evaluate(M.predict(m, df), "event", "predicted", "score").first()["roc_auc"] > 0.6
+    assert len(M.gbt_trials(50)) == 50
+
+
+def test_feature_sets(spark):
+    df = spark.createDataFrame([(1, None, None, 9.9, 3402, None), (2, "2001-01-01", "2002-01-01", 9.9, 3783, "1980-05-01")],
+                               "id long, s string, e string, amount double, product_code int, b string")
+    df = df.select("id", "amount", "product_code", F.lit(None).cast("int").alias("deletion_type"),
+                   *[F.to_date(a).alias(n) for a, n in (("s", "start_insurance"), ("e", "end_insurance"), ("b", "birthday"))])
+    got = {v: M.build_features(df, "2002-01-01", v).orderBy("id").collect() for v in M.FEATURE_SETS}
+    assert (got["survival"][0]["term_days"], got["survival"][0]["days_from_start"]) == (365.0, 180.0)
+    assert (got["classifier"][0]["term_days"], got["classifier"][0]["days_from_start"]) == (0.0, 0.0)
+    assert got["tuned"][1]["birth_month"] == "5" and 21 < got["tuned"][1]["age"] < 22
+    assert got["tuned"][0]["birth_month"] == "-1" and got["classifier"][0]["event"] == 0
+
+
 def test_fallback_chain(spark):
     df = spark.createDataFrame([(1.0, 5, 1), (1.0, 6, 1)], "x double, duration int, event int")
     kind, pred = COX.predict_with_fallback(df, df, ["x"], km_fallback=lambda: df.withColumn(
