@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlytics.operators.quantiles import quantiles
+from churnlytics.session import cut_lineage
 
 HASH_BITS_BUCKET = 20
 
@@ -39,11 +40,11 @@ def stratified_split(df: DataFrame, label_col: str = "event", train_fraction: fl
     4. every row is labelled by comparing with it (map-side; the table of
        bounds is broadcast - one row per class).
 
-    The source is scanned for the counts, for the boundary rows and for the
-    labels. A NULL label is a class of its own: every row comes out once.
+    The source is scanned twice: for (label, id, hash), checkpointed, and for
+    the labels. A NULL label is a class of its own: every row comes out once.
     """
     df = df.withColumn("_h", id_hash(id_col))
-    rows = df.select(label_col, id_col, "_h", F.shiftright(F.col("_h"), 32 - HASH_BITS_BUCKET).alias("_b"))
+    rows = cut_lineage(df.select(label_col, id_col, "_h", F.shiftright(F.col("_h"), 32 - HASH_BITS_BUCKET).alias("_b")))
     counts = rows.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.select(label_col, "_b", "_c", F.sum("_c").over(w).alias("_cum"),

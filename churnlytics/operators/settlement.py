@@ -221,7 +221,10 @@ def settlement_result(df: DataFrame, p: SettlementParams, placeholders: bool = F
 
     The withdrawal tables of each product are gap-filled between their first
     and last month; the markers are added in the same pass over the
-    aggregated measures, so the contracts are scanned once."""
+    aggregated measures, so the contracts are scanned once. Contracts are
+    counted per settlement key first, so measures are made from the few keys."""
+    if weight is None:
+        df, weight = settlement_base(df, p), "n"
     long = settlement_measures(df, p, weight)
     group = (F.when(F.col("measure").endswith("_withdrawal_cpo"), F.lit("cpo"))
              .when(F.col("measure").endswith("_withdrawal_cpo_3783"), F.lit("cpo_3783")))
@@ -239,10 +242,12 @@ SHORT_RESULT_COLUMNS = {"M": "jd_new_cpo", "N": "jd_withdrawal_cpo", "Q": "ts_ne
                         "R": "ts_withdrawal_cpo", "U": "m3_new_cpo", "V": "m3_withdrawal_cpo"}
 
 
-def short_result(df: DataFrame, p: SettlementParams, call_centers: Sequence[str] = ("jd", "ts", "m3")) -> DataFrame:
+def short_result(df: DataFrame, p: SettlementParams, call_centers: Sequence[str] = ("jd", "ts", "m3"),
+                 report_names: bool = False) -> DataFrame:
     """Short result table by ``YYYY-MM`` month label (P10): new business and
     withdrawals {1,2,5} x fee for the JD, TS and M3 call centers (all products,
-    withdrawals positive, months = union of acquisition and deletion months)."""
+    withdrawals positive, months = union of acquisition and deletion months).
+    ``report_names`` gives the columns the report's letters."""
     cc = F.lower(F.split_part(F.col("campaign"), F.lit("-"), F.lit(1)))
     wd = F.col("deletion_type").isin(list(WITHDRAWAL_TYPES)) & F.col("del_month").isNotNull()
 
@@ -257,7 +262,9 @@ def short_result(df: DataFrame, p: SettlementParams, call_centers: Sequence[str]
             .groupBy("month", "measure").agg(F.sum("value").alias("value")))
     keys = [f"{c}_{k}_cpo" for c in call_centers for k in ("new", "withdrawal")]
     wide = pivot_wide(long, ["month"], "measure", "value", keys, fill=0.0, others="drop")
-    return wide.select(C.month_label("month").alias("month"), *keys).orderBy("month")
+    letters = {v: k for k, v in SHORT_RESULT_COLUMNS.items()} if report_names else {}
+    return wide.select(C.month_label("month").alias("month"),
+                       *[F.col(k).alias(letters.get(k, k)) for k in keys]).orderBy("month")
 
 
 BASE_KEYS = ("acq_month", "del_month", "campaign", "product_code", "amount", "deletion_type")

@@ -241,7 +241,7 @@ def q_short_result(spark, sf_dir):
 
 
 _SHORT_KEYS = [f"{c}_{k}_cpo" for c in ("jd", "ts", "m3") for k in ("new", "withdrawal")]
-oracle("short_result", f"""
+_SHORT_SQL = f"""
 SELECT CASE WHEN length(month::VARCHAR) = 6 THEN substr(month::VARCHAR, 1, 4) || '-' || substr(month::VARCHAR, 5, 2)
             ELSE 'unknown' END AS month,
   {pivot_cols(_SHORT_KEYS, lambda k: _r(f"coalesce(sum(value) FILTER (WHERE measure = '{k}'), 0)"))}
@@ -252,7 +252,18 @@ FROM (
   SELECT del_month, {_CC} || '_withdrawal_cpo', {FEE_SQL('del_month')}::DOUBLE
     FROM contracts WHERE deletion_type IN (1, 2, 5) AND del_month IS NOT NULL
 ) GROUP BY month
-""")
+"""
+oracle("short_result", _SHORT_SQL)
+
+
+@register("short_result_report")
+def q_short_result_report(spark, sf_dir):
+    """B8 with the report's column letters."""
+    return rounded(S.short_result(contracts(spark, sf_dir), PARAMS, report_names=True))
+
+
+oracle("short_result_report", "SELECT month, " + ", ".join(
+    f'{name} AS "{letter}"' for letter, name in S.SHORT_RESULT_COLUMNS.items()) + f" FROM ({_SHORT_SQL})")
 
 
 @register("ufc_new_zero_early")

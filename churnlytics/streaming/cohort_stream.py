@@ -24,12 +24,12 @@ def cohort_counts_stream(spark: SparkSession, source_dir: str, month_col: str =
             .groupBy(month_col, key_col).agg(F.count(F.lit(1)).alias("n")))
 
 
-def start_cohort_counts(spark: SparkSession, source_dir: str, checkpoint: str, sink: str = "memory",
+def start_cohort_counts(spark: SparkSession, source_dir: str, checkpoint: str, sink: str = "parquet",
                         query_name: str = "cohort_counts", path: str | None = None, **kw):
     """Start the streaming query; ``checkpoint`` must be on shared storage.
 
-    ``sink='memory'`` registers a queryable table; ``sink='parquet'`` writes
-    the complete (small) aggregate to ``path`` from ``foreachBatch``: every
+    ``sink='memory'`` registers a table on the driver (tests); ``sink='parquet'``
+    writes the complete (small) aggregate to ``path`` from ``foreachBatch``: every
     micro-batch overwrites the table with the full current counts, so a batch
     replayed after a failure writes the same content (idempotent)."""
     agg = cohort_counts_stream(spark, source_dir, **kw)

@@ -35,3 +35,16 @@ def test_settlement_single_scan(spark, sf_small, queries):
     # orders and lineitem are each scanned exactly once (gap-fill markers are
     # derived in the same pass over the aggregated measures)
     assert p.count("FileScan parquet") == 2
+
+
+def test_split_scans_its_source_once_after_the_checkpoint(spark, sf_small):
+    from churnlytics.operators.features import stratified_split
+    from churnlytics.plans.common import contracts
+    c = contracts(spark, sf_small, due_dates=False)
+    p = plan(stratified_split(c.withColumn("event", c.deletion_type)))
+    assert p.count("FileScan parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["status_distribution", "channel_share"])
+def test_no_window_over_all_values(spark, sf_small, queries, name):
+    assert "Window" not in plan(queries[name](spark, sf_small))

@@ -11,7 +11,7 @@ def test_stream_equals_batch(spark, sf_small):
     base = tempfile.mkdtemp(prefix="churnlytics-stream-")
     c = contracts(spark, sf_small, region=True).select(*[f.name for f in CONTRACTS.fields])
     c.repartition(3).write.parquet(f"{base}/src")
-    q = start_cohort_counts(spark, f"{base}/src", f"{base}/ckpt", query_name="cc_test", max_files_per_trigger=1)
+    q = start_cohort_counts(spark, f"{base}/src", f"{base}/ckpt", sink="memory", query_name="cc_test", max_files_per_trigger=1)
     q.processAllAvailable()
     q.stop()
     got = {(r["acq_month"], r["campaign"]): r["n"] for r in spark.sql("SELECT * FROM cc_test").collect()}
