@@ -29,7 +29,8 @@ MAX_ROWS = 8000   # labelled documents that models are fitted on, half of them t
 VOCABULARY = 512
 FOLDS = 4
 PREFIXES = (3, 4, 5, 6)  # bytes
-THRESHOLD = 0.5
+THRESHOLD = 0.3
+LEAST_SPREAD = 3.0  # standard deviations by which a word's presence must differ to be a feature
 
 
 @dataclass
@@ -59,7 +60,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1,
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.3,
                  steps: int = 12) -> tuple[float, np.ndarray]:
     """L2-penalised logistic regression by Newton steps, halved while they do
     not help (the intercept is free of penalty)."""
@@ -190,7 +191,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     best = {r[0] for hit, of in (("a", a), ("b", b)) for r in
             seen.where("n >= 3").select("word", spread(hit, of).alias("s"))
-            .orderBy(F.desc("s"), "word").limit(vocabulary // 2).collect()}
+            .where(F.col("s") >= LEAST_SPREAD).orderBy(F.desc("s"), "word").limit(vocabulary // 2).collect()}
     words = np.sort(np.array(sorted(best), np.int64).view(np.uint64))
     known = [int(w) for w in words.view(np.int64)]
 
