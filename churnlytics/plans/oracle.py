@@ -6,13 +6,15 @@ in plain SQL over the pre-registered test tables.
 
 from __future__ import annotations
 
+from churnlytics.sources.testdata import TEST_CAMPAIGNS
+
 CONTRACTS_SQL = """
 SELECT
   o.o_orderkey AS id,
   o.o_custkey AS customer_id,
-  (['FO-S2S','FO-ITM','FO-OTM','FO-SCL','JD-ITM','JD-OTM','M3-OTM','TS-OTM'])[(o.o_custkey % 8)::INTEGER + 1] AS campaign,
-  split_part((['FO-S2S','FO-ITM','FO-OTM','FO-SCL','JD-ITM','JD-OTM','M3-OTM','TS-OTM'])[(o.o_custkey % 8)::INTEGER + 1], '-', 1) AS call_center,
-  split_part((['FO-S2S','FO-ITM','FO-OTM','FO-SCL','JD-ITM','JD-OTM','M3-OTM','TS-OTM'])[(o.o_custkey % 8)::INTEGER + 1], '-', 2) AS channel,
+  (CAMPAIGN_LIST)[(o.o_custkey % 8)::INTEGER + 1] AS campaign,
+  split_part((CAMPAIGN_LIST)[(o.o_custkey % 8)::INTEGER + 1], '-', 1) AS call_center,
+  split_part((CAMPAIGN_LIST)[(o.o_custkey % 8)::INTEGER + 1], '-', 2) AS channel,
   ([9.9, 14.9, 19.9, 24.9, 29.9]::DOUBLE[])[(o.o_orderkey % 5)::INTEGER + 1] AS amount,
   (CASE WHEN o.o_orderstatus = 'O' THEN 0 ELSE 1 + o.o_orderkey % 7 END)::INTEGER AS deletion_type,
   (CASE WHEN o.o_custkey % 3 = 0 THEN 3783 ELSE 3402 END)::INTEGER AS product_code,
@@ -32,7 +34,7 @@ LEFT JOIN (SELECT l_orderkey, min(l_shipdate::DATE) AS first_due_date, max(l_shi
            FROM lineitem GROUP BY l_orderkey) li ON li.l_orderkey = o.o_orderkey
 LEFT JOIN customer c ON c.c_custkey = o.o_custkey
 LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
-"""
+""".replace("CAMPAIGN_LIST", str(list(TEST_CAMPAIGNS)))
 
 SPLIT_KEY_SQL = ("CASE WHEN campaign = 'FO-SCL' THEN campaign || '_' || replace(amount::VARCHAR, '.', '_') "
                  "ELSE campaign END")

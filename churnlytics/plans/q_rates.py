@@ -9,15 +9,10 @@ from churnlytics.operators import rates as R
 from churnlytics.operators.quantiles import quantiles
 from churnlytics.operators.survival import survival_frame
 from churnlytics.plans.catalog import register
-from churnlytics.plans.common import AS_OF, PARAMS, contracts, rounded
+from churnlytics.plans.common import AS_OF, EV, K7, PARAMS, SURV, contracts, rounded
 from churnlytics.plans.oracle import oracle
 
-EV = "(deletion_type <> 0)::INTEGER"
-OBS = f"greatest(coalesce((DATE '{AS_OF}' - start_insurance), -1), 0)::INTEGER"
-K7 = ("least(greatest(coalesce(CASE WHEN deletion_type > 0 THEN (deletion_allowed_at - start_insurance) "
-      "ELSE (end_insurance - start_insurance) END, 0), 0), 1200)::INTEGER")
 STATUS = "CASE WHEN deletion_type = 0 THEN 'active' WHEN deletion_type IN (1, 2, 5) THEN 'withdrawal' ELSE 'other' END"
-SURV = f"(SELECT *, {EV} AS event, {OBS} AS duration FROM contracts)"
 
 
 def _base(spark, sf_dir, due_dates=False, region=False):

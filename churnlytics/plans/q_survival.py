@@ -10,18 +10,13 @@ from churnlytics.operators.features import stratified_split
 from churnlytics.operators.quantiles import median
 from churnlytics.plans.catalog import register
 from churnlytics.session import cut_lineage
-from churnlytics.plans.common import AS_OF, contracts, rounded
+from churnlytics.plans.common import AS_OF, K7, SURV, contracts, rounded
 from churnlytics.plans.oracle import oracle
 
 STRATA = ["region_code", "product_code", "amount", "campaign"]
 HORIZONS = [30, 90, 180, 365]
 NEAREST = [250, 1000]
 
-EV = "(deletion_type <> 0)::INTEGER"
-OBS = f"greatest(coalesce((DATE '{AS_OF}' - start_insurance), -1), 0)::INTEGER"
-K7 = ("least(greatest(coalesce(CASE WHEN deletion_type > 0 THEN (deletion_allowed_at - start_insurance) "
-      "ELSE (end_insurance - start_insurance) END, 0), 0), 1200)::INTEGER")
-SURV = f"(SELECT *, {EV} AS event, {OBS} AS duration FROM contracts)"
 
 
 def survival_base(spark, sf_dir, region=False, due_dates=False):
