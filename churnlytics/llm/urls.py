@@ -109,7 +109,8 @@ def judge_urls(pages: DataFrame, rules=CONTRACT_RULES, threshold: float = 0.5, i
     p = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"),
                      url_path(F.col(url_col)).alias("path"))
     rules = rule_table(spark, rules) if not isinstance(rules, DataFrame) else rules
-    found = host_rules(p.where("host <> ''").select("host").distinct(), rules)
+    # Written tables, so that the joins with pages below can split a hot host.
+    found = store(host_rules(p.where("host <> ''").select("host").distinct(), rules))
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["r_path"])))
     judged = store(p.join(found, "host", "left").withColumn("best", best)
                    .select("page_id", "host", "path", F.col("best.rule").alias("rule"),
@@ -131,9 +132,9 @@ def judge_urls(pages: DataFrame, rules=CONTRACT_RULES, threshold: float = 0.5, i
     mass = propagate(both, seeds, damping).groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("t"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("mass"))).alias("d"))
-    scores = per_host.join(mass, "host", "left").select(
+    scores = store(per_host.join(mass, "host", "left").select(
         "host", (F.coalesce("t", F.lit(0.0)) * good / F.col("pages")).alias("trust"),
-        (F.coalesce("d", F.lit(0.0)) * bad / F.col("pages")).alias("distrust"))
+        (F.coalesce("d", F.lit(0.0)) * bad / F.col("pages")).alias("distrust")))
     own = F.when(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) >= threshold, "block") \
            .otherwise("allow")
     return judged.join(scores, "host", "left").select(
