@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlytics.llm.common import read
+from churnlytics.llm.common import filter_ids, read
 from churnlytics.llm.decontaminate import contamination
 from churnlytics.llm.embeddings import near_vectors
 from churnlytics.llm.licenses import scan_licenses
@@ -60,10 +60,11 @@ def change_feed(spark: SparkSession, sf_dir: str) -> list[tuple[int, DataFrame]]
         return rows.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), "doc_id", "source", "lang",
                            text.alias("text"))
 
-    toxic, low = (labels.where(w).select("doc_id").distinct() for w in ("toxic = 1", "quality = 0 AND toxic = 0"))
+    toxic, low = (labels.where(w).select(F.col("doc_id").alias("id")).distinct()
+                  for w in ("toxic = 1", "quality = 0 AND toxic = 0"))
     return [(1, feed(docs, 1, "insert", F.col("text"))),
-            (2, feed(docs.join(toxic, "doc_id", "left_semi"), 2, "delete", F.lit(None).cast("string"))),
-            (3, feed(docs.join(low, "doc_id", "left_semi"), 3, "insert",
+            (2, feed(filter_ids(docs, toxic, "doc_id"), 2, "delete", F.lit(None).cast("string"))),
+            (3, feed(filter_ids(docs, low, "doc_id"), 3, "insert",
                      F.trim(F.regexp_replace("text", r"\s+", " "))))]
 
 
