@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SEGMENT = 1 << 21  # bytes hashed at a time
+SEGMENT = 1 << 18  # bytes hashed at a time
 
 
 def lower_table() -> np.ndarray:
@@ -118,7 +118,7 @@ def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batches, text: int = 1, most: int = 4 << 20):
+def slices(batches, text: int = 1, most: int = 1 << 20):
     """Cut record batches into parts of at most ``most`` bytes of the text
     column (one row at least): bounded memory whatever the texts' lengths."""
     for batch in batches:
