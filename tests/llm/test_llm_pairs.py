@@ -82,6 +82,23 @@ def test_near_duplicates_match_all_pairs(spark, block):
     assert 105 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_pairs_of_one_band_are_verified_whatever_their_signatures(spark, monkeypatch):
+    real = M.signatures
+
+    def one_band(docs, k, m):  # all texts agree in the first band and nowhere else
+        sig = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda c: F.when(c < M.ROWS, 7).otherwise(F.hash("id", c)))
+        return real(docs, k, m).withColumn("sig", F.when(F.col("digest").isNotNull(), sig))
+    monkeypatch.setattr(M, "signatures", one_band)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(1, " ".join(f"hub{i}" for i in range(150)))]  # the smallest class is near none of the others
+    rows += [(2, " ".join(base)), (3, edits(rng, base, 3)), (4, edits(rng, base, 3)), (5, edits(rng, base, 60))]
+    for block in (2048, 2):
+        got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+        want = plain_near(rows)
+        assert {r["doc_id"]: r["component_id"] for r in got} == want and want[3] == want[4] == 2
+
+
 def test_near_duplicates_empty(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = spark.createDataFrame([(1, None)], "doc_id long, text string")
