@@ -28,7 +28,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 BLOCK = 2048  # classes of one bucket that one task compares
-BIN_ROWS = 4000  # bucket rows that one call gets
+BIN_ROWS = 4000  # rows of buckets or block pairs that one call gets
 U64 = np.uint64
 
 
@@ -223,14 +223,24 @@ def bucket_forest(left: dict, right: dict, same: bool, no: int, rows: int,
     return links
 
 
-def cross_links(rest: DataFrame, rows: int, similarity: float) -> DataFrame:
-    """Links ``(src, dst)`` between components within buckets: ``rest(no, band,
-    blocks, rep, comp, n, sig, els)``. A bucket beyond one block is compared
-    block against block; a call gets a bin of many buckets."""
+def block_rows(rest: DataFrame, n_rows: int, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """``rest(no, band, blocks, rep, ...)`` with a row for each pair of blocks
+    ``(lo, hi)`` that a class's block ``own`` takes part in; ``n_rows`` is the
+    sum of ``blocks``. A ``bin`` holds about ``bin_rows`` rows in whole pairs of
+    blocks, so a hot bucket's pairs go to many bins."""
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    dealt = (rest.withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")))
+    bins = max(1, -(-n_rows // bin_rows))
+    return (rest.withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+            .withColumn("bin", F.pmod(F.xxhash64("no", "band", "lo", "hi"), F.lit(bins))))
+
+
+def cross_links(rest: DataFrame, n_rows: int, rows: int, similarity: float) -> DataFrame:
+    """Links ``(src, dst)`` between components within buckets: ``rest(no, band,
+    blocks, rep, comp, n, sig, els)``, ``n_rows`` as in ``block_rows``. A bucket
+    beyond one block is compared block against block; a call gets a bin of
+    small buckets or a few pairs of blocks."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         links = []
@@ -242,8 +252,7 @@ def cross_links(rest: DataFrame, rows: int, similarity: float) -> DataFrame:
                 links += bucket_forest(side[lo], side[hi], lo == hi, int(no), rows, similarity)
         return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
 
-    return dealt.groupBy("bin", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(16))) \
-        .applyInPandas(compare, "src long, dst long")
+    return block_rows(rest, n_rows).groupBy("bin").applyInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
@@ -292,16 +301,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                         F.count(F.lit(1)).alias("size")).where("c1 < c2")
              .select("band", F.ceil(F.col("size") / block).alias("blocks")))
     rest = store(placed.join(mixed, "band"))
-    n_rest = rest.count()
-    if n_rest:
+    n_rows = rest.agg(F.sum("blocks")).first()[0] or 0
+    if n_rows:
         ids = store(rest.select(F.col("rep").alias("id")).distinct())
         els = store(elements(filter_ids(d, ids, "id"), shingle))
         # A node's own text: rows that share its id may hold others.
         own = els.join(classes.select(F.col("rep").alias("id"), "n", "sig"), "id").where(F.size("els") == F.col("n"))
-        bins = max(1, -(-n_rest // (16 * BIN_ROWS)))
-        full = (rest.join(own.withColumnRenamed("id", "rep"), "rep")
-                .withColumn("bin", F.pmod(F.hash("band"), F.lit(bins))))
-        more = store(cross_links(full, rows, similarity))
+        full = rest.join(own.withColumnRenamed("id", "rep"), "rep")
+        more = store(cross_links(full, n_rows, rows, similarity))
         if not more.isEmpty():
             comps = store(connected_components(
                 comps.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more)))

@@ -99,6 +99,17 @@ def test_pairs_of_one_band_are_verified_whatever_their_signatures(spark, monkeyp
         assert {r["doc_id"]: r["component_id"] for r in got} == want and want[3] == want[4] == 2
 
 
+def test_a_hot_bucket_is_compared_in_bounded_calls(spark):
+    rest = spark.range(3000).select(F.lit(0).alias("no"), F.lit(5).cast("long").alias("band"),
+                                    F.lit(30).cast("long").alias("blocks"), F.col("id").alias("rep"))
+    rows = M.block_rows(rest, 90000, bin_rows=200).toPandas()
+    assert len(rows) == 90000 and (rows["lo"] <= rows["hi"]).all()
+    pairs = rows.groupby(["lo", "hi"])
+    assert len(pairs) == 30 * 31 // 2 and (pairs["bin"].nunique() == 1).all()
+    # 465 pairs of about 200 rows in 450 bins: 16 calls would get 5,600 rows each
+    assert rows["bin"].nunique() > 200 and rows.groupby("bin").size().max() < 2500
+
+
 def test_near_duplicates_empty(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = spark.createDataFrame([(1, None)], "doc_id long, text string")
