@@ -34,7 +34,8 @@ NOTICES = (
     ("all rights reserved", "proprietary", 0.4),
 )
 TAG_WORDS = "spdx license identifier"
-TAG = re.compile(r"spdx[^0-9a-z]{1,3}license[^0-9a-z]{1,3}identifier\s*:\s*([^\n]{1,400})", re.I)
+_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # what splits words for the automaton
+TAG = re.compile(rf"(?<![^{_GAP}])spdx[{_GAP}]+license[{_GAP}]+identifier\s*:\s*", re.I | re.A)
 BASE_WEIGHT, TAG_WEIGHT = 0.6, 0.98
 # Licences that a training set may usually take; the policy is a parameter.
 PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense",
@@ -50,56 +51,63 @@ def parse_expression(text: str, allowed: frozenset = PERMISSIVE) -> tuple[list[s
     ('*/', prose) does no harm. WITH binds closest, then AND, then OR. An
     identifier is allowed if it is in ``allowed`` (a trailing '+' is ignored);
     AND needs both sides, OR one, an exception changes nothing."""
-    out: list[tuple[list[str], bool]] = []
-    ops: list[str] = []
-
-    def apply(op: str) -> None:
-        (lb, ok_b), (la, ok_a) = out.pop(), out.pop()
-        if op == "with":
-            out.append(([f"{la[-1]} with {lb[0]}"] if len(la) == 1 else la + lb, ok_a))
-        else:
-            out.append((la + lb, ok_a and ok_b if op == "and" else ok_a or ok_b))
-
-    want, depth, best = True, 0, None  # want: an identifier or '(' comes next
-
-    def value() -> tuple[list[str], bool]:
-        saved, left = out[:], ops[:]
-        while ops:
-            apply(ops.pop())
-        found = out[-1]
-        out[:], ops[:] = saved, left
-        return found
-
-    for token in _TOKEN.findall(text.lower()):
+    tokens: list[str] = []
+    want, depth, good = True, 0, 0  # want: an identifier or '(' comes next; good: tokens of a valid beginning
+    for m in _TOKEN.finditer(text.lower()):
+        token = m[0]
         if want:
             if token == "(":
-                ops.append(token)
                 depth += 1
             elif token == ")" or token in _RANK:
                 break
             else:
-                name = token.rstrip(".:")
-                out.append(([name], name.rstrip("+") in allowed))
                 want = False
-                if depth == 0:
-                    best = value()
         elif token == ")":
             if not depth:
                 break
+            depth -= 1
+        elif token in _RANK:
+            want = True
+        else:
+            break
+        tokens.append(token)
+        if not want and not depth:
+            good = len(tokens)
+    if not good:
+        return None
+
+    out: list[tuple[list[str], bool]] = []
+    ops: list[str] = []
+
+    def apply(op: str) -> None:
+        (lb, ok_b), (la, ok_a) = out.pop(), out.pop()
+        if op == "with":
+            if len(la) == 1:
+                la = [f"{la[-1]} with {lb[0]}"]
+            else:
+                la.extend(lb)
+            out.append((la, ok_a))
+        else:
+            la.extend(lb)  # in place: an expression may be long
+            out.append((la, ok_a and ok_b if op == "and" else ok_a or ok_b))
+
+    for token in tokens[:good]:
+        if token == "(":
+            ops.append(token)
+        elif token == ")":
             while ops[-1] != "(":
                 apply(ops.pop())
             ops.pop()
-            depth -= 1
-            if depth == 0:
-                best = value()
         elif token in _RANK:
             while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[token]:
                 apply(ops.pop())
             ops.append(token)
-            want = True
         else:
-            break
-    return best
+            name = token.rstrip(".:")
+            out.append(([name], name.rstrip("+") in allowed))
+    while ops:
+        apply(ops.pop())
+    return out[0]
 
 
 def _automaton(base, notices):
@@ -140,10 +148,14 @@ def scan_text(raw: bytes, automaton, table: bytes, allowed: frozenset = PERMISSI
                 base.add(label)
     expressions, verdicts = [], []
     if tagged:
-        for m in TAG.finditer(raw.decode("utf-8", "replace")):
-            if (got := parse_expression(m[1], allowed)) is not None:
+        text = raw.decode("utf-8", "replace")
+        tags = [m.span() for m in TAG.finditer(text)]
+        for (_, at), (end, _) in zip(tags, [*tags[1:], (len(text), 0)], strict=True):
+            # To the end of the line, or to the next tag.
+            line = text[at:end].split("\n", 1)[0]
+            if (got := parse_expression(line, allowed)) is not None:
                 names, ok = got
-                expressions.append(m[1].strip())
+                expressions.append(line.strip())
                 verdicts.append(ok)
                 for name in names:
                     name = name.replace(",", " ")

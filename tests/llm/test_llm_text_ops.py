@@ -53,6 +53,23 @@ def test_license_expressions(text, labels, ok):
     assert got == (None if labels is None else (labels, ok))
 
 
+def test_license_tags_of_any_length(spark):
+    names = [f"LicenseRef-vendor-component-{k}" for k in range(20)]
+    long = f"({' AND '.join(names)})"
+    wide = "SPDX -- License -- Identifier: MIT"
+    two = f"SPDX-License-Identifier: MIT {'x ' * 300} SPDX-License-Identifier: GPL-2.0"
+    texts = [f"SPDX-License-Identifier: {long} */", f"SPDX-License-Identifier: {'MIT OR ' * 90}GPL-2.0", wide, two,
+             f"SPDX-License-Identifier: {'MIT AND ' * 90}GPL-2.0\nMIT", "SPDX-License-Identifier: " + "a or " * 50000 + "mit"]
+    rows = {r["doc_id"]: r for r in L.scan_licenses(frame(spark, list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0]["labels"] == ",".join(sorted(n.lower() for n in names)) and rows[0]["permitted"] is False
+    assert rows[0]["expressions"] == [long + " */"]
+    assert rows[1]["labels"] == "gpl-2.0,mit" and rows[1]["permitted"] is True
+    assert rows[2]["expressions"] == ["MIT"] and rows[2]["permitted"] is True
+    assert len(rows[3]["expressions"]) == 2 and rows[3]["permitted"] is False
+    assert rows[4]["labels"] == "gpl-2.0,mit" and rows[4]["permitted"] is False
+    assert rows[5]["labels"] == "a,mit" and rows[5]["permitted"] is True
+
+
 def test_license_tags_and_clashing_columns(spark):
     df = frame(spark, [(1, "# SPDX-License-Identifier: MIT OR GPL-2.0\ncode", 7)], "doc_id long, text string, n_words int")
     r = L.scan_licenses(df).first()
