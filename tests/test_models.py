@@ -81,3 +81,17 @@ def test_importances_and_registry(spark):
     M.save_models({"rf": m}, path)
     back = M.load_models(["rf"], path)["rf"]
     assert back.transform(M.fill_categories(df)).count() == 600
+
+
+def test_models_compared_takes_every_kind(spark, monkeypatch):
+    from churnlytics.plans import q_models as Q
+    default = M.train_all.__defaults__[0]
+    taken = []
+
+    def fits(train, test, kinds=default, variant="classifier"):
+        taken.extend(kinds)
+        return {}, spark.createDataFrame([(k, 0.5) for k in kinds], "model string, auc double")
+    monkeypatch.setattr(Q, "model_split", lambda *a, **k: (None, None))
+    monkeypatch.setattr(Q.M, "train_all", fits)
+    got = Q.q_models_compared(spark, "").collect()
+    assert sorted(taken) == sorted(M.KINDS) and {r["model"] for r in got} == set(M.KINDS)
