@@ -8,14 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlytics.llm.audit import filter_audit
 from churnlytics.llm.common import filter_ids, read
 from churnlytics.llm.decontaminate import contamination
 from churnlytics.llm.embeddings import near_vectors
 from churnlytics.llm.licenses import scan_licenses
 from churnlytics.llm.minhash import near_duplicates
+from churnlytics.llm.neighbors import nearest_neighbors
 from churnlytics.llm.packing import pack_documents
 from churnlytics.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from churnlytics.llm.quality import held_out, score_quality, train_crf
+from churnlytics.llm.resample import resample
 from churnlytics.llm.substrings import cut_repeats
 from churnlytics.llm.tokencounts import commit_batch, totals
 from churnlytics.llm.toxicity import CATEGORIES, THRESHOLD, score_toxicity, train_chain
@@ -106,3 +109,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
         F.array_join("expressions", "\n").alias("expressions"), "permitted")
+
+
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of ``documents``, drawn by likeness to ``benchmark``."""
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of every 50th vector among all ``embeddings``."""
+    return nearest_neighbors(read(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters on ``documents`` in every order, counted by language."""
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
