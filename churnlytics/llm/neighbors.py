@@ -13,6 +13,7 @@ cosines; equal directions are one row of the index with its ids.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlytics.llm.common import store
-from churnlytics.llm.embeddings import directions
+from churnlytics.llm.embeddings import unit_vectors
 
-TREES = 8
+TREES = 4
 LEAF = 128         # rows of a leaf in the mean, as far as the sample reaches
 SAMPLE_BYTES = 32 << 20  # of the rows (as expected) that fit the splits
 SAMPLE_LEAF = 8    # rows of the sample in a leaf, at least
@@ -103,8 +104,31 @@ def row_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((a * b).sum(axis=1), -1.0, 1.0)
 
 
-def unit_rows(col: pa.Array) -> np.ndarray:
-    return np.stack(col.to_numpy(zero_copy_only=False))
+def unit_rows(vectors) -> np.ndarray:
+    """Unit vectors, in double precision, of an Arrow column or pandas series
+    of vectors of one length, none of them zero."""
+    x = np.stack(vectors.to_numpy(zero_copy_only=False) if isinstance(vectors, pa.Array) else vectors.to_numpy())
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def kind_of(rows: DataFrame) -> str:
+    return rows.schema["vec"].dataType.simpleString()
+
+
+def directed(vectors: DataFrame) -> DataFrame:
+    """``(id, vec, digest)`` of the rows of ``vectors(id, vec)`` that take part;
+    rows with one digest have one direction."""
+
+    def run(batches):
+        for batch in batches:
+            units, _ = unit_vectors(batch.column(1))
+            digest = [None if u is None else hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in units]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.binary())], names=["id", "vec", "digest"])
+
+    return (vectors.where("id IS NOT NULL").mapInArrow(run, f"id long, vec {kind_of(vectors)}, digest binary")
+            .where("digest IS NOT NULL"))
 
 
 def share(n: int, wanted: int) -> int:
@@ -117,7 +141,7 @@ def hashed(seed: int):
 
 
 def placed(classes: DataFrame, forest: Forest) -> DataFrame:
-    """``classes(rep, unit, query, least)`` with ``leaves array<int>``, one a tree."""
+    """``classes(rep, vec, query, least)`` with ``leaves array<int>``, one a tree."""
 
     def run(batches):
         for batch in batches:
@@ -125,10 +149,10 @@ def placed(classes: DataFrame, forest: Forest) -> DataFrame:
                 at = forest.place(unit_rows(batch.column(1)))
                 off = pa.array(np.arange(len(at) + 1) * forest.trees, pa.int32())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(off, pa.array(at.ravel()))],
-                                                 names=["rep", "unit", "query", "least", "leaves"])
+                                                 names=["rep", "vec", "query", "least", "leaves"])
 
-    return classes.select("rep", "unit", "query", "least").mapInArrow(
-        run, "rep long, unit array<double>, query boolean, least long, leaves array<int>")
+    return classes.select("rep", "vec", "query", "least").mapInArrow(
+        run, f"rep long, vec {kind_of(classes)}, query boolean, least long, leaves array<int>")
 
 
 def best_rows(unit: np.ndarray, x: np.ndarray, least: np.ndarray, rough: np.ndarray, most: int):
@@ -174,10 +198,10 @@ def measured_budget(forest: Forest, index: DataFrame, n_queries: int, k: int,
                     queries: int = QUERIES, recall: float = RECALL) -> int:
     """Leaves that a query takes, so that ``recall`` of the neighbours of a
     sample of queries are met."""
-    rows = index.where(F.col("query") & (hashed(1) < share(n_queries, queries))).select("rep", "unit").collect()
-    if not rows or forest.levels == 0:
+    rows = index.where(F.col("query") & (hashed(1) < share(n_queries, queries))).select("rep", "vec").toArrow()
+    if not rows.num_rows or forest.levels == 0:
         return forest.trees if forest.levels else 1
-    reps, units = np.array([r["rep"] for r in rows]), np.array([r["unit"] for r in rows])
+    reps, units = rows.column(0).to_numpy(), unit_rows(rows.column(1).combine_chunks())
     near = true_neighbors(index, reps, units, k)
     met = []
     for rep, unit in zip(reps.tolist(), units, strict=True):
@@ -190,7 +214,7 @@ def measured_budget(forest: Forest, index: DataFrame, n_queries: int, k: int,
 
 
 def wanted_leaves(queries: DataFrame, forest: Forest, budget: int) -> DataFrame:
-    """``(tree, bin, mask, rep, unit)``: bit i of ``mask`` stands for leaf
+    """``(tree, bin, mask, rep, vec)``: bit i of ``mask`` stands for leaf
     ``SIBLINGS * bin + i`` of the tree."""
 
     def run(batches):
@@ -210,19 +234,20 @@ def wanted_leaves(queries: DataFrame, forest: Forest, budget: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [*[pa.array(x, pa.int32()) for x in (tree, bin_, mask)],
                          batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))],
-                        names=["tree", "bin", "mask", "rep", "unit"])
+                        names=["tree", "bin", "mask", "rep", "vec"])
                     at, found = [], []
 
-    return queries.select("rep", "unit").mapInArrow(run, "tree int, bin int, mask int, rep long, unit array<double>")
+    return queries.select("rep", "vec").mapInArrow(
+        run, f"tree int, bin int, mask int, rep long, vec {kind_of(queries)}")
 
 
 def reranked(index: DataFrame, wanted: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """``(rep, near, least, score)``: for every query the best ``most`` rows of
     each group of leaves that it takes. Groups of more than ``block``
     rows or queries are compared block by block."""
-    rows = index.select("rep", "least", "unit", F.posexplode("leaves").alias("tree", "leaf")).select(
+    rows = index.select("rep", "least", "vec", F.posexplode("leaves").alias("tree", "leaf")).select(
         "tree", F.expr(f"leaf div {SIBLINGS}").cast("int").alias("bin"),
-        (F.col("leaf") % SIBLINGS).alias("at"), "rep", "least", "unit")
+        (F.col("leaf") % SIBLINGS).alias("at"), "rep", "least", "vec")
     # A row for each group of leaves: bounded by the forest.
     sizes = (index.select(F.posexplode("leaves").alias("tree", "leaf"))
              .groupBy("tree", F.expr(f"leaf div {SIBLINGS}").cast("int").alias("bin"))
@@ -232,14 +257,14 @@ def reranked(index: DataFrame, wanted: DataFrame, most: int, block: int = BLOCK)
     pieces = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("asks", "rows")]
     part = "pmod(xxhash64(rep), {})"
     rows = (rows.join(blocks, ["tree", "bin"]).withColumn("y", F.expr(part.format("rows"))).withColumn("x", pieces[0])
-            .select("tree", "bin", "x", "y", "at", "rep", "least", "unit"))
+            .select("tree", "bin", "x", "y", "at", "rep", "least", "vec"))
     asks = (wanted.join(blocks, ["tree", "bin"]).withColumn("x", F.expr(part.format("asks"))).withColumn("y", pieces[1])
-            .select("tree", "bin", "x", "y", "mask", "rep", "unit"))
+            .select("tree", "bin", "x", "y", "mask", "rep", "vec"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            q, x = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy())
+            q, x = unit_rows(left["vec"]), unit_rows(right["vec"])
             own, mask = left["rep"].to_numpy(), left["mask"].to_numpy()
             reps, least, at = (right[c].to_numpy() for c in ("rep", "least", "at"))
             for a in range(0, len(q), 256):
@@ -291,8 +316,7 @@ def nearest_neighbors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     are not read. Ids must be integers.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    every = store(directions(v).where("id IS NOT NULL AND digest IS NOT NULL")
-                  .withColumn("dim", F.size("unit")))
+    every = store(directed(v).withColumn("dim", F.size("vec")))
     asks = (F.col("id") % every_nth) == 0
     shapes = every.groupBy("dim").agg(F.max(asks).alias("asked")).where("asked").collect()  # a row for each length
     out = None
@@ -306,13 +330,13 @@ def nearest_neighbors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
 
 def _of_one_length(every: DataFrame, k: int, asks, trees: int, leaf: int, sample_bytes: int, recall: float) -> DataFrame:
     ids = every.select("id", "digest").distinct()
-    classes = store(every.groupBy("digest").agg(F.min("id").alias("least"), F.first("unit").alias("unit"),
+    classes = store(every.groupBy("digest").agg(F.min("id").alias("least"), F.first("vec").alias("vec"),
                                                 F.max(asks).alias("query")))
     # Two classes may have the same least id: rows get a number of their own.
     classes = store(classes.withColumn("rep", F.monotonically_increasing_id()))
     about = classes.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("query"), 1)).alias("queries")).first()
-    dim = classes.select(F.size("unit")).first()[0]
-    rows = classes.where(hashed(0) < share(about["n"], max(1, sample_bytes // (8 * dim)))).select("unit").toArrow()
+    dim = classes.select(F.size("vec")).first()[0]
+    rows = classes.where(hashed(0) < share(about["n"], max(1, sample_bytes // (8 * dim)))).select("vec").toArrow()
     fit = unit_rows(rows.column(0).combine_chunks()) if rows.num_rows else np.zeros((0, dim))
     forest = Forest(fit, about["n"], trees, leaf)
     index = store(placed(classes, forest))
@@ -321,7 +345,7 @@ def _of_one_length(every: DataFrame, k: int, asks, trees: int, leaf: int, sample
     near = store(nearest_classes(index, queries, forest, budget, k))
     if about["n"] > k:
         short = (queries.join(near.groupBy("rep").agg(F.count(F.lit(1)).alias("found")), "rep", "left")
-                 .where(F.coalesce("found", F.lit(0)) < k).select("rep", "unit"))
+                 .where(F.coalesce("found", F.lit(0)) < k).select("rep", "vec"))
         short = store(short)
         if short.count():
             rest = nearest_classes(index, short, forest, trees * forest.leaves, k)

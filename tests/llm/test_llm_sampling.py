@@ -179,7 +179,7 @@ def test_forest_queue_takes_leaves_by_cost():
 def test_rerank_in_blocks_is_the_same(spark):
     x = vectors(400, 8, 5)
     df = spark.createDataFrame([(k, int(k), v.tolist(), k % 50 == 0) for k, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])],
-                               "rep long, least long, unit array<double>, query boolean")
+                               "rep long, least long, vec array<double>, query boolean")
     forest = N.Forest(x, 400, trees=2, leaf=16)
     index = N.placed(df, forest)
     wanted = N.wanted_leaves(index.where("query"), forest, 12)
