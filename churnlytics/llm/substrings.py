@@ -82,13 +82,13 @@ def chunks(hasher: TX.WordHasher, table: np.ndarray, col: pa.Array):
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """``(hi, lo, id, place)`` of ``docs(id, text)``; ``place`` holds the
+    """``(hi, lo, id, th, place)`` of ``docs(id, th, text)``; ``place`` holds the
     chunk's number, its words (8 bits) and whether the text had it before (1)."""
 
     def run(batches):
         hasher, table = TX.WordHasher(), gear_table()
-        for part in TX.slices(batches):
-            data, own, a, b, words, first = chunks(hasher, table, part.column(1))
+        for part in TX.slices(batches, 2):
+            data, own, a, b, words, first = chunks(hasher, table, part.column(2))
             raw = data.tobytes()
             again = np.zeros(len(own), np.int64)
             digests = bytearray()
@@ -105,25 +105,27 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             place = ((np.arange(len(own)) - first[own]) << 9) | (words << 1) | again
             yield pa.RecordBatch.from_arrays(
                 [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()),
-                 part.column(0).take(pa.array(own)), pa.array(place)], names=["hi", "lo", "id", "place"])
+                 part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(place)],
+                names=["hi", "lo", "id", "th", "place"])
 
-    return docs.where("id IS NOT NULL").mapInArrow(run, "hi long, lo long, id long, place long")
+    return docs.where("id IS NOT NULL").mapInArrow(run, "hi long, lo long, id long, th long, place long")
 
 
 def repeated_runs(docs: DataFrame, min_run: int) -> DataFrame:
-    """``(id, gone array<int>, words)``: the chunk numbers to cut out of each
-    text of ``docs(id, text)`` that has any, and their words."""
+    """``(id, th, gone array<int>, words)``: the chunk numbers to cut out of each
+    text of ``docs(id, th, text)`` that has any, and their words. A text is
+    known by its id and its hash ``th``: ids may repeat with other texts."""
     rows = chunk_rows(docs)
     # Counted map-side first, so that a chunk of a third of all texts is one row a task.
-    known = rows.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("keeper")).where("c > 1")
-    again = (rows.join(known, ["hi", "lo"]).where("NOT (id = keeper AND place % 2 = 0)")
-             .select("id", F.expr("shiftright(place, 9)").cast("int").alias("no"),
+    known = rows.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th")).alias("keeper")).where("c > 1")
+    again = (rows.join(known, ["hi", "lo"]).where("NOT (id = keeper.id AND th = keeper.th AND place % 2 = 0)")
+             .select("id", "th", F.expr("shiftright(place, 9)").cast("int").alias("no"),
                      F.expr("shiftright(place, 1) & 255").cast("int").alias("n")).distinct())
     # Runs of consecutive chunks; a text's chunks are the largest group.
-    w = Window.partitionBy("id").orderBy("no")
+    w = Window.partitionBy("id", "th").orderBy("no")
     runs = again.withColumn("run", F.col("no") - F.row_number().over(w))
-    runs = runs.withColumn("run_words", F.sum("n").over(Window.partitionBy("id", "run")))
-    return (runs.where(F.col("run_words") >= min_run).groupBy("id")
+    runs = runs.withColumn("run_words", F.sum("n").over(Window.partitionBy("id", "th", "run")))
+    return (runs.where(F.col("run_words") >= min_run).groupBy("id", "th")
             .agg(F.sort_array(F.collect_list("no")).alias("gone"), F.sum("n").alias("words")))
 
 
@@ -141,20 +143,24 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined cases: a null text stays null, an empty or wordless one as it is; a
     row with a null id is left alone and not compared; rows that share an id
-    are compared with other ids, and by place with each other (an exact
-    repetition of a row changes nothing); an empty table gives an empty result;
+    but not a text are texts of their own (the one with the smaller 64-bit hash
+    counts as the earlier), an exact repetition of a row changes nothing; a
+    very long text is read whole, alone; an empty table gives an empty result;
     other columns go through untouched, whatever their names. Ids must be
     integers.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"),
+                    F.col(text_col).alias("text"))
     runs = store(repeated_runs(d, min_run))
-    size = runs.agg(F.sum(F.size("gone") * 4 + 48)).first()[0] or 0
-    runs = runs.select(F.col("id").alias("_cut_id"), F.col("gone").alias("_cut_gone"),
+    size = runs.agg(F.sum(F.size("gone") * 4 + 56)).first()[0] or 0
+    runs = runs.select(F.col("id").alias("_cut_id"), F.col("th").alias("_cut_th"), F.col("gone").alias("_cut_gone"),
                        F.col("words").alias("_cut_words"))
     if size <= broadcast_bytes:  # else both sides are shuffled
         runs = F.broadcast(runs)
     plain, place = neutral(docs), docs.columns.index(text_col)
-    j = plain.join(runs, plain[f"c{docs.columns.index(id_col)}"].cast("long") == runs["_cut_id"], "left").drop("_cut_id")
+    same = ((plain[f"c{docs.columns.index(id_col)}"].cast("long") == runs["_cut_id"])
+            & (F.xxhash64(plain[f"c{place}"]) == runs["_cut_th"]))
+    j = plain.join(runs, same, "left").drop("_cut_id", "_cut_th")
     schema = j.drop("_cut_gone").schema
 
     def run(batches):

@@ -168,3 +168,83 @@ def test_gear_hash_equals_its_recurrence():
             h = ((h << 1) + int(table[c])) & 0xFFFFFFFF
             got = S.gear_at(data, off, table, np.array([off[k] + i]), np.array([k]))
             assert int(got[0]) == h
+
+
+def plain_chunks(text, table):
+    """(first byte, last byte + 1, words) of each chunk, word by word."""
+    raw = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+
+    def gear(stop):
+        h = 0
+        for c in raw[max(0, stop - 32):stop]:
+            h = ((h << 1) + int(table[c])) & 0xFFFFFFFF
+        return h
+    g = [gear(b) for _, b in spans]
+    out, begin = [], 0
+    for i in range(len(spans)):
+        low = all(g[i] < x for x in g[max(0, i - 3):i]) and all(g[i] <= x for x in g[i + 1:i + 4])
+        if low or i == len(spans) - 1:
+            for a in range(begin, i + 1, S.MOST_WORDS):
+                z = min(a + S.MOST_WORDS - 1, i)
+                out.append((spans[a][0], spans[z][1], z - a + 1))
+            begin = i + 1
+    return out
+
+
+def plain_cuts(rows, hashes, min_run):
+    table = S.gear_table()
+    texts = {(i, hashes[t]): t for i, t in rows if i is not None and t is not None}
+    parts = {k: plain_chunks(t, table) for k, t in texts.items()}
+    where = {}
+    for k, t in texts.items():
+        for no, (a, b, _) in enumerate(parts[k]):
+            where.setdefault(t.encode()[a:b], []).append((k, no))
+    out = []
+    for i, t in rows:
+        k = (i, hashes[t]) if i is not None and t is not None else None
+        if k is None:
+            out.append((i, t, 0))
+            continue
+        raw, gone, run = t.encode(), set(), []
+        for no, (a, b, n) in [*enumerate(parts[k]), (None, (0, 0, 0))]:
+            if no is not None and min(where[raw[a:b]]) != (k, no):
+                run.append((no, n))
+                continue
+            if sum(n for _, n in run) >= min_run:
+                gone |= {no for no, _ in run}
+            run = []
+        new, at = b"", 0
+        for no, (_, b, _) in enumerate(parts[k]):
+            new += b"" if no in gone else raw[at:b]
+            at = b
+        out.append((i, (new + raw[at:]).decode(), sum(parts[k][no][2] for no in gone)))
+    return sorted(out, key=repr)
+
+
+def test_substrings_match_plain_chunks(spark):
+    import random
+    rng = random.Random(11)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    shared = [prose(rng.randint(10, 90)) for _ in range(6)]
+    rows = [(rng.randint(0, 25), "\n".join(rng.choice([prose(rng.randint(0, 60)), rng.choice(shared)]) for _ in range(rng.randint(1, 5))))
+            for _ in range(60)]
+    rows += rows[:3] + [(None, shared[0]), (3, None), (4, ""), (5, " .. "), (7, "same " * 700), (8, prose(6000) + shared[1])]
+    docs = frame(spark, rows)
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    for bound in (0, S.BROADCAST_BYTES):
+        got = sorted((tuple(r) for r in S.cut_repeats(docs.repartition(4), broadcast_bytes=bound).collect()), key=repr)
+        assert got == plain_cuts(rows, hashes, S.MIN_RUN)
+
+
+def test_substrings_keep_unrepeated_text_of_a_shared_id(spark):
+    import random
+    rng = random.Random(5)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    p, own = prose(80), prose(200)
+    got = {r["text"]: r["_cut_words"] for r in S.cut_repeats(frame(spark, [(1, p), (2, p + " " + prose(20)), (2, own)])).collect()}
+    assert got[own] == 0 and len(own.split()) == 200 and sum(got.values()) >= 60
