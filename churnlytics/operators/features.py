@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlytics.operators.quantiles import quantiles
+from churnlytics.operators.quantiles import quantiles_of_columns
 from churnlytics.session import cut_lineage
 
 HASH_BITS_BUCKET = 20
@@ -70,12 +70,10 @@ def stratified_split(df: DataFrame, label_col: str = "event", train_fraction: fl
 
 
 def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Exact medians (value-count method) of the given columns - scalars."""
-    out = {}
-    for c in cols:
-        r = quantiles(df, c, [0.5]).first()
-        out[c] = None if r is None else r["value"]
-    return out
+    """Exact medians (value-count method) of the given columns - scalars;
+    one job chain for all columns, None for a column without values."""
+    found = {r["column"]: r["value"] for r in quantiles_of_columns(df, cols, [0.5]).collect()} if cols else {}
+    return {c: found.get(c) for c in cols}
 
 
 def impute(df: DataFrame, values: dict) -> DataFrame:

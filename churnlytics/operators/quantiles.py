@@ -59,6 +59,18 @@ def quantiles(df: DataFrame, value_col: str, qs: Sequence[float], group_cols: Se
     return _bucketed(counts, group_cols, qs, buckets)
 
 
+def quantiles_of_columns(df: DataFrame, cols: Sequence[str], qs: Sequence[float], approx: bool = False) -> DataFrame:
+    """Rows ``(column, q, value)`` for every numeric column of ``cols``, in one
+    job chain: all columns' values are counted in one pass as (column, value),
+    and one ranking serves every column and quantile. A column without a value
+    has no rows."""
+    if len(set(cols)) != len(cols):
+        raise ValueError("cols name a column twice")
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_value")) for c in cols])
+    long = df.select(F.explode(each).alias("_e")).select("_e.column", "_e._value")
+    return quantiles(long, "_value", qs, ["column"], approx)
+
+
 def _same(a: DataFrame, b: DataFrame, cols: Sequence[str], tag: str):
     """``b`` with its ``cols`` renamed by ``tag``, and the null-safe join condition."""
     b = b.select(*[F.col(c).alias(f"{tag}{c}") if c in cols else F.col(c) for c in b.columns])

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnlytics.operators import features as X
+from churnlytics.operators.quantiles import quantiles_of_columns
 from churnlytics.operators.rates import fold_rare
 from churnlytics.plans.catalog import register
-from churnlytics.plans.common import AS_OF, CAMPAIGN_KEYS, rounded
+from churnlytics.plans.common import AS_OF, CAMPAIGN_KEYS, SURV, rounded
 from churnlytics.plans.oracle import oracle
 from churnlytics.plans.q_survival import SPLIT_SQL, survival_base
 from churnlytics.session import cut_lineage
@@ -126,3 +127,18 @@ oracle("correlation_filter", "SELECT feature_a, feature_b, round(corr, 6) AS cor
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({_CF_SQL[a]}, {_CF_SQL[b]}) AS corr FROM tr"
     for i, a in enumerate(CORR_FEATURES) for b in CORR_FEATURES[i:]) + ") WHERE feature_a <> feature_b AND abs(corr) > 0.95",
     extra_ctes=SP)
+
+
+MANY = ["amount", "duration", "product_code", "del_month"]
+
+
+@register("quantiles_of_columns")
+def q_quantiles_of_columns(spark, sf_dir):
+    """Quartiles and deciles of several columns in one job chain."""
+    df = survival_base(spark, sf_dir, due_dates=True)
+    return rounded(quantiles_of_columns(df, MANY, [0.1, 0.25, 0.5, 0.75, 0.9]))
+
+
+oracle("quantiles_of_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {q}::DOUBLE AS q, round(quantile_cont({c}::DOUBLE, {q}), 6) AS value FROM {{src}}"
+    for c in MANY for q in (0.1, 0.25, 0.5, 0.75, 0.9)).replace("{src}", SURV))
