@@ -16,6 +16,7 @@ from churnlytics.operators.quantiles import quantiles_of_columns
 from churnlytics.session import cut_lineage
 
 HASH_BITS_BUCKET = 20
+FOLD_BITS = 14
 
 
 def id_hash(id_col: str = "id") -> Column:
@@ -69,6 +70,30 @@ def stratified_split(df: DataFrame, label_col: str = "event", train_fraction: fl
         *[F.col(f"`{c}`") for c in df.columns if c != "_h"], "split")
 
 
+def stratified_folds(df: DataFrame, folds: int = 5, label_col: str = "event", id_col: str = "id",
+                     seed: int = 0, out: str = "fold") -> DataFrame:
+    """``df`` with a fold 0 .. ``folds`` - 1; within each class the
+    folds' sizes differ by one at most.
+
+    A row's fold is its place among its class, ordered by (hash of the id and
+    the seed, id), modulo ``folds``. The place is the number of rows in lower
+    hash buckets (2^14 a class, counted once) plus the place within the bucket,
+    so no task ranks a whole class. A NULL label is a class of its own; rows
+    that repeat an id are dealt one by one."""
+    h = id_hash(id_col) if seed == 0 else F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))),
+                                                             1, 8), 16, 10).cast("long")
+    rows = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 32 - FOLD_BITS))
+    counts = rows.groupBy(F.col(label_col).alias("_class"), F.col("_b").alias("_cb")).agg(F.count(F.lit(1)).alias("_c"))
+    below = Window.partitionBy("_class").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_class", "_cb", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(label_col, "_b").orderBy("_h", id_col)
+    # at most 2^14 rows a class
+    placed = rows.withColumn("_n", F.row_number().over(inside)).join(
+        F.broadcast(offsets), rows[label_col].eqNullSafe(offsets["_class"]) & rows["_b"].eqNullSafe(offsets["_cb"]))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns],
+                         F.pmod(F.col("_o") + F.col("_n") - 1, F.lit(folds)).cast("int").alias(out))
+
+
 def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict:
     """Exact medians (value-count method) of the given columns - scalars;
     one job chain for all columns, None for a column without values."""

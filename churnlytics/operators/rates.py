@@ -17,15 +17,16 @@ from churnlytics.operators.quantiles import quantiles
 from churnlytics.schema import CANCEL_TIME_EDGES, DURATION_BIN_EDGES
 
 
-def _n_rows(df: DataFrame) -> Column:
-    """Number of rows as a scalar subquery (one row; no window over all values)."""
-    return df.agg(F.count(F.lit(1)).cast("double")).scalar()
+def _total(counts: DataFrame, n: str) -> Column:
+    """Sum of the counts as a scalar subquery over the aggregated table (one
+    row; no window over all values, no second scan: the aggregate is reused)."""
+    return counts.agg(F.sum(n).cast("double")).scalar()
 
 
 def value_counts(df: DataFrame, col: str, digits: int | None = None) -> DataFrame:
     """``(value, n, pct)`` with the percentage of all rows."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    pct = F.col("n") * 100.0 / _n_rows(df)
+    pct = F.col("n") * 100.0 / _total(g, "n")
     return g.withColumn("pct", pct if digits is None else F.bround(pct, digits))
 
 
@@ -85,7 +86,7 @@ def rate_trend(rates: DataFrame, x: str, y: str = "rate") -> DataFrame:
 def share(df: DataFrame, key: str) -> DataFrame:
     """Contracts per key and share (%) of all contracts."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("contracts"))
-    return g.withColumn("share", F.col("contracts") * 100.0 / _n_rows(df))
+    return g.withColumn("share", F.col("contracts") * 100.0 / _total(g, "contracts"))
 
 
 def feature_rate(df: DataFrame, feature: str, event_col: str = "event", by: Sequence[str] = (),

@@ -229,7 +229,12 @@ def settlement_result(df: DataFrame, p: SettlementParams, placeholders: bool = F
     group = (F.when(F.col("measure").endswith("_withdrawal_cpo"), F.lit("cpo"))
              .when(F.col("measure").endswith("_withdrawal_cpo_3783"), F.lit("cpo_3783")))
     allrows = with_gap_markers(long, "month", "measure", "value", group)
-    # the report has these columns only; other measures (markers, second products) just keep their months
+    # The report has fixed columns: money of a call center without any must not vanish. Other measures (gap
+    # markers, a second product of the other call centers) just keep their months.
+    known = {m.split("_")[0] for m in RESULT_MEASURES}
+    told = F.concat(F.lit("settlement_result: no column for the call center of "), F.col("measure"))
+    stray = F.col("measure").rlike("_cpo(_3783)?$") & ~F.substring_index("measure", "_", 1).isin(*known)
+    allrows = allrows.withColumn("measure", F.when(stray, F.raise_error(told)).otherwise(F.col("measure")))
     wide = pivot_wide(allrows, ["month"], "measure", "value", RESULT_MEASURES, fill=0.0, others="drop")
     if placeholders:
         for cc in ("", "_3783", "_jd", "_ufc", "_ts", "_m3"):

@@ -66,12 +66,14 @@ def km_curve(df: DataFrame, time_col: str = "duration", event_col: str = "event"
     Columns: ``*strata, t, at_risk, events, survival`` (+ ``ci_lower, ci_upper``).
     A ``t = 0`` row is always present (S = 1 unless events happen at 0).
     ``min_size`` keeps strata with more rows than it (K5's ``n > 30``). Times
-    are whole days: a fraction fails the query.
+    are whole days: a fraction fails the query, as does a NULL event.
     """
     t = F.col(time_col)
     whole = F.when(t == F.floor(t), F.lit(True)).otherwise(
         F.raise_error(F.lit(f"{time_col} holds fractions of a day")).cast("boolean"))
-    g = (df.where(t.isNotNull()).where(whole)
+    known = F.when(F.col(event_col).isNotNull(), F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"{event_col} is NULL for a contract with a {time_col}")).cast("boolean"))
+    g = (df.where(t.isNotNull()).where(whole).where(known)
          .groupBy(*strata, F.col(time_col).cast("int").alias("t"))
          .agg(F.sum(F.col(event_col).cast("long")).alias("events"), F.count(F.lit(1)).alias("_rows")))
     part = Window.partitionBy(*strata)
@@ -199,6 +201,20 @@ def survival_at(curve: DataFrame, horizons: Sequence[int] = KM_HORIZONS, strata:
         F.max_by("survival", "t").alias("survival"))
 
 
+def conditional_survival(rows: DataFrame, curve: DataFrame, horizon: float, at: str = "duration",
+                         strata: Sequence[str] = (), nearest: bool = False) -> DataFrame:
+    """K3/K4 at each contract's own time: ``rows`` with ``survival_now`` = S(t),
+    ``survival_then`` = S(t + horizon) and ``conditional_survival``, their ratio
+    (NULL where S(t) is 0 or the stratum has no curve). S is the last value
+    before the time, or that of the nearest point."""
+    from churnlytics.operators.asof import as_of_join
+    way = "nearest" if nearest else "backward"
+    now = as_of_join(rows, curve.withColumn("survival_now", F.col("survival")), at, "t", strata, ["survival_now"], way)
+    then = as_of_join(now.withColumn("_then", F.col(at) + F.lit(horizon)),
+                      curve.withColumn("survival_then", F.col("survival")), "_then", "t", strata, ["survival_then"], way)
+    return then.drop("_then").withColumn("conditional_survival", F.try_divide("survival_then", "survival_now"))
+
+
 def check_times(df: DataFrame, times: Sequence[int] = KM_CHECK_TIMES, time_col: str = "duration",
                 event_col: str = "event") -> DataFrame:
     """K9: at each check time h: events with t <= h and rows at risk (t >= h), one scan."""
@@ -270,19 +286,22 @@ ADJUSTED_THRESHOLDS = (0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6)
 
 def km_predict_adjusted(train: DataFrame, test: DataFrame, horizon: int = 180,
                         thresholds: Sequence[float] = ADJUSTED_THRESHOLDS, term_col: str = "term_days",
-                        amount_col: str = "amount", time_col: str = "duration", event_col: str = "event") -> DataFrame:
+                        amount_col: str = "amount", time_col: str = "duration", event_col: str = "event",
+                        tune_on: DataFrame | None = None) -> DataFrame:
     """``1 - S(horizon)`` of the overall training curve, adjusted by the
-    contract's term and amount (against the median amount of ``test``); the
-    label is 1 above the threshold of the best balanced accuracy on ``test``
-    (the first of equals). Adds ``adjusted_probability``, ``threshold`` and
+    contract's term and amount (against the median amount of ``tune_on``); the
+    label is 1 above the threshold of the best balanced accuracy on ``tune_on``
+    (the first of equals), which is ``train`` by default, so that no test row
+    has a say in its own label. Adds ``adjusted_probability``, ``threshold`` and
     ``adjusted_predicted``."""
     from churnlytics.operators.evaluate import threshold_sweep
     at = survival_at(km_curve(train, time_col, event_col), [horizon]).first()
     base = 1.0 - (at["survival"] if at else 1.0)
-    mid = quantiles(test, amount_col, [0.5]).first()
+    tune_on = train if tune_on is None else tune_on
+    mid = quantiles(tune_on, amount_col, [0.5]).first()
     p = adjust_prediction(F.lit(base), F.col(term_col), F.col(amount_col), mid["value"] if mid else None)
     out = test.withColumn("adjusted_probability", p)
-    best = threshold_sweep(out, thresholds, "adjusted_probability", event_col).where("best_balanced").first()
+    best = threshold_sweep(tune_on.withColumn("adjusted_probability", p), thresholds, "adjusted_probability", event_col).where("best_balanced").first()
     return out.withColumn("threshold", F.lit(float(best["threshold"]))) \
               .withColumn("adjusted_predicted", (F.col("adjusted_probability") > F.col("threshold")).cast("int"))
 

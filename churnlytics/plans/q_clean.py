@@ -14,6 +14,7 @@ from churnlytics.operators.rates import top_n
 from churnlytics.plans.catalog import register
 from churnlytics.plans.common import AS_OF, CAMPAIGN_KEYS, PARAMS, SPLIT_KEYS, contracts, rounded
 from churnlytics.plans.oracle import oracle
+from churnlytics.sources.rejects import clean_contracts, rejects
 from churnlytics.sources.testdata import raw_contracts_from_testdata, table
 
 
@@ -24,7 +25,7 @@ def text_contracts(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("id"),
                     F.concat(F.lit(" "), F.regexp_replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
-                                                          r"\\.", ",")).alias("amount_text"),
+                                                          r"\.", ",")).alias("amount_text"),
                     F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("n/a"))
                      .otherwise(F.to_date("o_orderdate").cast("string")).alias("start_text"),
                     F.when(F.col("o_orderstatus") == "O", F.lit("?"))
@@ -49,6 +50,20 @@ FROM (SELECT o_orderkey AS id, o_totalprice::DECIMAL(18,2)::DOUBLE AS amount,
 """)
 
 
+@register("rejected_values")
+def q_rejected(spark, sf_dir):
+    """The values that the cleaning of the text columns could not read."""
+    cleaned = clean_contracts(text_contracts(spark, sf_dir), numbers=["amount_text"], types=["type_text"],
+                              dates=["start_text"], integers=[])
+    return rejects(cleaned)
+
+
+oracle("rejected_values", """
+SELECT o_orderkey AS id, 'start_text' AS "column", 'n/a' AS value, 'not a date' AS reason FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT o_orderkey, 'type_text', '?', 'not a type' FROM orders WHERE o_orderstatus = 'O'
+""")
+
+
 # --- P14-P16 ----------------------------------------------------------------------------
 @register("date_features")
 def q_dates(spark, sf_dir):

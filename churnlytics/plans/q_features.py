@@ -142,3 +142,18 @@ def q_quantiles_of_columns(spark, sf_dir):
 oracle("quantiles_of_columns", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {q}::DOUBLE AS q, round(quantile_cont({c}::DOUBLE, {q}), 6) AS value FROM {{src}}"
     for c in MANY for q in (0.1, 0.25, 0.5, 0.75, 0.9)).replace("{src}", SURV))
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    """Five class-balanced folds of all contracts."""
+    df = X.stratified_folds(survival_base(spark, sf_dir).select("id", "event"), 5)
+    return df.groupBy("event", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+
+
+oracle("stratified_folds", f"""
+SELECT event, fold, count(*) AS n, sum(id)::BIGINT AS id_sum
+FROM (SELECT id, event, ((row_number() OVER (PARTITION BY event ORDER BY ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT, id)
+                          - 1) % 5)::INTEGER AS fold FROM {SURV})
+GROUP BY event, fold
+""")

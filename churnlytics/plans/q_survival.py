@@ -216,10 +216,11 @@ def adjusted_predictions(spark, sf_dir):
 
 @register("km_predict_adjusted")
 def q_km_adjusted(spark, sf_dir):
-    """K11 on the test split."""
+    """K11 on the test split, tuned on the training split."""
     sp = cut_lineage(stratified_split(survival_base(spark, sf_dir)))
     test = sp.where(F.col("split") == "test").withColumn("term_days", F.datediff("end_insurance", "start_insurance"))
-    p = KM.km_predict_adjusted(sp.where(F.col("split") == "train"), test)
+    train = sp.where(F.col("split") == "train").withColumn("term_days", F.datediff("end_insurance", "start_insurance"))
+    p = KM.km_predict_adjusted(train, test)
     return rounded(p.select("id", "event", "adjusted_probability", "threshold", "adjusted_predicted"))
 
 
@@ -227,17 +228,36 @@ _TH = list(KM.ADJUSTED_THRESHOLDS)
 _oc, _on = km_sql("tr", prefix="ko")
 oracle("km_predict_adjusted", """
 SELECT id, event, round(p, 6) AS adjusted_probability, threshold, (p > threshold)::INTEGER AS adjusted_predicted
-FROM adj, (SELECT arg_max(threshold, (ba, -threshold)) AS threshold FROM sweep)
+FROM adj, (SELECT arg_max(threshold, (ba, -threshold)) AS threshold FROM sweep) WHERE split = 'test'
 """, extra_ctes=f"""{SPLIT_SQL},
 tr AS (SELECT * FROM sp WHERE split = 'train'),
-te AS (SELECT * FROM sp WHERE split = 'test'),
 {_oc},
 base AS (SELECT 1.0 - arg_max(survival, t) AS p0 FROM {_on} WHERE t <= 180),
-adj AS (SELECT id, event, least(greatest(p0
+adj AS (SELECT id, event, split, least(greatest(p0
           * CASE WHEN end_insurance - start_insurance < 180 THEN 1.2 WHEN end_insurance - start_insurance > 365 THEN 0.8 ELSE 1.0 END
-          * CASE WHEN amount > (SELECT quantile_cont(amount, 0.5) FROM te) THEN 0.9 ELSE 1.0 END, 0.01), 0.99) AS p
-        FROM te, base),
+          * CASE WHEN amount > (SELECT quantile_cont(amount, 0.5) FROM tr) THEN 0.9 ELSE 1.0 END, 0.01), 0.99) AS p
+        FROM sp, base),
 sweep AS (SELECT threshold,
             (coalesce(count(*) FILTER (event = 1 AND p > threshold) / nullif(count(*) FILTER (event = 1), 0), 0)
              + coalesce(count(*) FILTER (event = 0 AND p <= threshold) / nullif(count(*) FILTER (event = 0), 0), 0)) / 2 AS ba
-          FROM adj, (SELECT unnest({_TH})::DOUBLE AS threshold) GROUP BY threshold)""")
+          FROM adj, (SELECT unnest({_TH})::DOUBLE AS threshold) WHERE split = 'train' GROUP BY threshold)""")
+
+
+# --- K3 / K4 at each contract's own time ----------------------------------------------
+@register("km_conditional")
+def q_km_conditional(spark, sf_dir):
+    """Every contract's chance to last another 180 days, from the curve of its campaign."""
+    df = survival_base(spark, sf_dir)
+    curve = cut_lineage(KM.km_curve(df, strata=["campaign"]))
+    out = KM.conditional_survival(df, curve, 180, strata=["campaign"])
+    return rounded(out.select("id", "campaign", "duration", "survival_now", "survival_then", "conditional_survival"))
+
+
+_cc, _cn = km_sql(SURV, ["campaign"], prefix="kc")
+oracle("km_conditional", f"""
+SELECT s.id, s.campaign, s.duration, round(a.survival, 6) AS survival_now, round(b.survival, 6) AS survival_then,
+       round(b.survival / nullif(a.survival, 0), 6) AS conditional_survival
+FROM (SELECT *, duration + 180 AS later FROM {SURV}) s
+ASOF LEFT JOIN {_cn} a ON s.campaign = a.campaign AND s.duration >= a.t
+ASOF LEFT JOIN {_cn} b ON s.campaign = b.campaign AND s.later >= b.t
+""", extra_ctes=_cc)

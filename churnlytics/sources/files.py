@@ -4,11 +4,14 @@
 * S3/S4  CSV (``;`` separated, decimal comma tolerated) and Parquet scans with
   an explicit schema, column names normalised with ``ALIASES`` (P22).
 * S2/S5  CSV / Parquet sinks written by the executors, never via the driver.
-* S6  a settlement run's named tables written as one Parquet directory each.
+* S6  a settlement run's named tables written as one directory each, under a
+  run of their own that appears with its manifest, or not at all.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,49 @@ def write_tables(tables: dict[str, DataFrame], base_path: str, fmt: str = "parqu
     return paths
 
 
+def publish_tables(tables: dict[str, DataFrame], base_path: str, run: str | None = None, fmt: str = "parquet") -> str:
+    """Write the named tables as one run and return its id.
+
+    Every table goes to ``base_path/runs/<run>/<name>``; the manifest (run, name,
+    path, format, time) is one small file written after all of them, so that
+    ``published_tables`` sees a whole run or the one before it. A run that dies
+    leaves no manifest, and nothing that readers look at is overwritten. A run
+    id can be used once."""
+    run = run or uuid.uuid4().hex
+    base = base_path.rstrip("/")
+    spark = next(iter(tables.values())).sparkSession
+    if any(r["run"] == run for r in _manifests(spark, base).select("run").distinct().collect()):
+        raise ValueError(f"run {run!r} is published")
+    paths = write_tables(tables, f"{base}/runs/{run}", fmt)
+    rows = spark.createDataFrame([(run, n, p, fmt) for n, p in paths.items()], "run string, name string, path string, format string")
+    # One file of one task: its commit is a rename, whole or not there.
+    rows.withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{base}/manifest")
+    return run
+
+
+MANIFEST = "run string, name string, path string, format string, published_at timestamp"
+
+
+def _manifests(spark: SparkSession, base: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/manifest")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{base}/manifest")
+
+
+def published_tables(spark: SparkSession, base_path: str, run: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a published run, the latest without ``run``; raises if
+    there is none."""
+    rows = _manifests(spark, base_path.rstrip("/"))
+    if run is None:
+        last = rows.orderBy(F.desc("published_at"), "run").first()
+        run = last["run"] if last else None
+    found = rows.where(F.col("run") == F.lit(run)).collect()  # a row for each table
+    if not found:
+        raise FileNotFoundError(f"no published run {run or ''} under {base_path}")
+    return {r["name"]: read_csv(spark, r["path"]) if r["format"] == "csv" else spark.read.parquet(r["path"]) for r in found}
+
+
 def lenient_contracts(df: DataFrame) -> DataFrame:
     """Clean a string-typed contract frame with the lenient parsers."""
     from churnlytics.functions import columns as C
