@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from churnlytics.operators import boosting as B
+from churnlytics.operators.features import stratified_folds
 from churnlytics.operators.quantiles import quantiles, quantiles_of_columns
 
 
@@ -118,3 +119,27 @@ def test_quantiles_of_columns_equal_each_column(spark):
     want = {(c, r["q"]): r["value"] for c in df.columns for r in quantiles(df, c, [0.1, 0.5, 0.9]).collect()}
     assert got.keys() == want.keys() and len(got) == 9
     assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_search_scores_unseen_folds_and_refits_the_winner(spark):
+    data = frame(spark, rows(600, 9))
+    trials = [B.Params(trees=12, depth=2, rate=0.3), B.Params(trees=7, depth=4, rate=0.05, min_split=30)]
+    model, table = B.search(data, ["x", "z"], ["c"], trials, folds=3, stage=5, together=2, max_bins=16)
+    assert [(r["trial"], r["trees"]) for r in table] == [(0, 5), (0, 10), (0, 12), (1, 5), (1, 7)]
+    best = max(table, key=lambda r: r["auc"])
+    assert len(model.trees) == best["trees"] and model.params.depth == trials[best["trial"]].depth
+    # The mean AUC of one pair, from fits on the other folds' rows alone.
+    folded = stratified_folds(data, 3).cache()
+    binning, aucs = model.binning, []
+    for k in range(3):
+        blocks, *_ = B.binned_blocks(folded.where(f"fold <> {k}"), binning)
+        one = B.boost(blocks, binning, [B.Params(trees=10, depth=2, rate=0.3)], model.base)[0]
+        held = one.transform(folded.where(f"fold = {k}")).select("event", "score").toPandas()
+        pos, neg = held.score[held.event == 1].to_numpy(), held.score[held.event == 0].to_numpy()
+        aucs.append(((pos[:, None] > neg).mean() + 0.5 * (np.abs(pos[:, None] - neg) < 1e-12).mean()))
+    assert table[1]["auc"] == pytest.approx(np.mean(aucs), abs=0.004)
+
+
+def test_search_needs_both_labels(spark):
+    with pytest.raises(ValueError, match="both labels"):
+        B.search(frame(spark, rows(50)).where("event = 1"), ["x"], [], [B.Params(trees=1)])
