@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from churnlytics.functions import columns as C
 from churnlytics.operators import rates as R
+from churnlytics.operators.density import smoothed_density
 from churnlytics.operators.quantiles import quantiles
 from churnlytics.operators.survival import survival_frame
 from churnlytics.plans.catalog import register
@@ -341,3 +342,22 @@ FROM (SELECT event, lo, width, least(floor((duration - lo) / width), 19)::INTEGE
       FROM {SURV}, (SELECT min(duration)::DOUBLE AS lo, (max(duration) - min(duration)) / 20.0 AS width FROM {SURV})
       WHERE duration IS NOT NULL GROUP BY ALL)
 """)
+
+
+@register("duration_density")
+def q_duration_density(spark, sf_dir):
+    """Smoothed density of the duration by class, bandwidth of 90 days, on 31 grid points."""
+    return rounded(smoothed_density(_base(spark, sf_dir), "duration", ["event"], grid=31, bandwidth=90.0, low=0.0, high=3000.0), 9)
+
+
+oracle("duration_density", f"""
+SELECT event, i * 100.0::DOUBLE AS x,
+       round(sum(w * exp(-power((i - j) * 100.0 / 90.0, 2) / 2) / (90.0 * n * sqrt(2 * pi())))::DOUBLE, 9) AS density
+FROM (SELECT event, j, sum(w) AS w
+      FROM (SELECT event, least(floor(v), 29)::INTEGER + s AS j,
+                   CASE s WHEN 1 THEN v - least(floor(v), 29) ELSE 1 - (v - least(floor(v), 29)) END AS w
+            FROM (SELECT event, least(greatest(duration::DOUBLE / 100, 0), 30) AS v FROM {SURV} WHERE duration IS NOT NULL),
+                 (SELECT unnest([0, 1]) AS s)) GROUP BY event, j)
+JOIN (SELECT event, count(duration) AS n FROM {SURV} GROUP BY event) USING (event), (SELECT unnest(range(31)) AS i)
+GROUP BY event, i
+""")
