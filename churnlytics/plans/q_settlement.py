@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from churnlytics.operators import commission as PC
 from churnlytics.operators import settlement as S
 from churnlytics.plans.catalog import register
 from churnlytics.plans.common import CAMPAIGN_KEYS, PARAMS, SPLIT_KEYS, contracts, rounded
-from churnlytics.plans.oracle import SPLIT_KEY_SQL, oracle, pivot_cols
+from churnlytics.plans import q_cohort  # noqa: F401  (its SQL of the quota is used below)
+from churnlytics.plans.oracle import ORACLE, SPLIT_KEY_SQL, oracle, pivot_cols
 from churnlytics.schema import PRODUCT_MAIN
 
 THR = PARAMS.threshold
@@ -276,3 +279,54 @@ oracle("ufc_new_zero_early", f"""
 SELECT acq_month, {_ufc_cols(f'CASE WHEN acq_month > {THR} THEN t ELSE 0.0 END')}
 FROM {KEYED} WHERE campaign = 'FO-SCL' AND acq_month IS NOT NULL AND t IS NOT NULL GROUP BY acq_month
 """)
+
+
+# --- B13: the money tables of one run ---------------------------------------------------
+MONEY_TABLES = {"withdrawal_quota": "acq_month", "cpo_new": "acq_month", "cpo_withdrawal": "del_month",
+                "cpo_new_3783": "acq_month", "cpo_withdrawal_3783": "del_month", "ufc_new": "acq_month",
+                "ufc_withdrawal": "del_month", "ufc_clawback": "del_month", "result": "month"}
+
+
+@register("settlement_money")
+def q_settlement_money(spark, sf_dir):
+    """Every cell of the nine tables of amounts of one settlement run, from
+    its one base (those of the second product: its non-zero cells)."""
+    tables, out = S.settlement_tables(contracts(spark, sf_dir), PARAMS, keys=SPLIT_KEYS), None
+    for name, month in MONEY_TABLES.items():
+        cells = [c for c in tables[name].columns if c != month]
+        long = tables[name].select(month, *[F.col(f"`{c}`").cast("double").alias(c) for c in cells]).unpivot(
+            [month], cells, "key", "value").select(F.lit(name).alias("table"), F.col(month).alias("month"), "key", "value")
+        long = long.where("value <> 0") if name.endswith("_3783") else long
+        out = long if out is None else out.unionByName(long)
+    return rounded(out)
+
+
+def _cells(name: str, sql: str, where: str = "TRUE") -> str:
+    month = MONEY_TABLES[name]
+    return (f"SELECT '{name}' AS \"table\", {month} AS month, key, value::DOUBLE AS value FROM "
+            f"(UNPIVOT ({sql}) ON COLUMNS(* EXCLUDE ({month})) INTO NAME key VALUE value) WHERE {where}")
+
+
+def _cpo_sql(month: str, where: str) -> str:
+    return f"""SELECT {month},
+  {pivot_cols(SPLIT_KEYS, lambda k: _r(f"count(*) FILTER (WHERE column_key = '{k}') * {FEE_SQL(month)}"))}
+FROM {KEYED} WHERE {month} IS NOT NULL AND {where} GROUP BY {month}"""
+
+
+def _second_withdrawals() -> str:
+    sums = {"FO": "FO-%", "JD": "JD-%"}
+    each = _cpo_sql("del_month", "product_code = 3783 AND deletion_type IN (1, 2, 5)")
+    rolled = ", ".join(_r(f"count(*) FILTER (WHERE column_key LIKE '{p}') * {FEE_SQL('del_month')}") + f' AS "{k}"'
+                       for k, p in sums.items())
+    return (f"SELECT a.*, b.* EXCLUDE (del_month) FROM ({each}) a JOIN (SELECT del_month, {rolled} FROM {KEYED} "
+            "WHERE product_code = 3783 AND deletion_type IN (1, 2, 5) GROUP BY del_month) b USING (del_month)")
+
+
+oracle("settlement_money", " UNION ALL ".join([
+    _cells("withdrawal_quota", ORACLE["withdrawal_quota"]),
+    _cells("cpo_new", _cpo_sql("acq_month", "product_code = 3402")),
+    _cells("cpo_withdrawal", ORACLE["cpo_withdrawal"]),
+    _cells("cpo_new_3783", _cpo_sql("acq_month", "product_code = 3783"), "value <> 0"),
+    _cells("cpo_withdrawal_3783", _second_withdrawals(), "value <> 0"),
+    _cells("ufc_new", ORACLE["ufc_new"]), _cells("ufc_withdrawal", ORACLE["ufc_withdrawal_all"]),
+    _cells("ufc_clawback", ORACLE["ufc_clawback"]), _cells("result", ORACLE["settlement_result"])]))
