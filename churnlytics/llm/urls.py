@@ -58,51 +58,56 @@ def host_links(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4,
-              max_rounds: int = 60) -> DataFrame:
-    """Personalised PageRank of several kinds at once: ``links(kind, src, dst,
-    n)`` and ``seeds(kind, host, weight)`` (weights add up to 1 for each kind)
-    give ``(kind, host, mass)``, adding up to 1 for each kind.
-
-    A host without links gives its mass back to the seeds, which equals
-    dropping it in each round and scaling at the end. Rounds stop when the mass
-    moved falls below ``tolerance`` (at most damping^max_rounds of it is
-    missing otherwise).
+def propagate(links: DataFrame, seeds: DataFrame, sizes: DataFrame | None = None, damping: float = 0.85,
+              tolerance: float = 1e-6, max_rounds: int = 60) -> DataFrame:
+    """Personalised PageRank of several kinds at once, in units of the seeds:
+    ``links(kind, src, dst, n)`` and ``seeds(kind, host, weight)`` give ``(kind,
+    host, mass)`` with mass = weight + damping x (shares of the masses of the
+    hosts that link here).
+
+    That is the usual PageRank with its teleport kept apart (not scaled to a
+    sum of 1), so a host's mass depends on its own seeds and on the hosts from
+    which links lead to it, and on nothing else in the graph. Rounds stop when
+    no host's mass, divided by its ``sizes(host, pages)``, grew by
+    ``tolerance`` or more, whatever the number of hosts; after ``max_rounds``
+    at most damping^max_rounds of the mass is missing.
     """
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("all_n"))
     share = store(links.join(out, ["kind", "src"])
                   .select("kind", "src", "dst", (F.col("n") / F.col("all_n") * damping).alias("share")))
-    seeds = store(seeds)
-    base = seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("mass"))
-    state, before = base, None
+    base = store(seeds.select("kind", "host", F.col("weight").cast("double").alias("mass"), F.lit(0.0).alias("old")))
+    state = base.select("kind", "host", "mass")
     for _ in range(max_rounds):
         moved = (state.withColumnRenamed("host", "src").join(share, ["kind", "src"])
-                 .select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass")))
-        state = store(base.unionByName(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
-        # Mass only grows, towards its fixed point.
-        total = state.agg(F.sum("mass")).first()[0] or 0.0
-        if before is not None and total - before < tolerance:
+                 .select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"), F.lit(0.0).alias("old")))
+        former = state.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("old"))
+        new = store(base.unionByName(moved).unionByName(former).groupBy("kind", "host")
+                    .agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")))
+        grew = new.join(sizes, "host", "left") if sizes is not None else new.withColumn("pages", F.lit(1))
+        most = grew.agg(F.max((F.col("mass") - F.col("old")) / F.coalesce("pages", F.lit(1)))).first()[0]
+        state = new.select("kind", "host", "mass")
+        if most is None or most < tolerance:
             break
-        before = total
-    sums = state.groupBy("kind").agg(F.sum("mass").alias("total"))
-    return state.join(sums, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass"))
+    return state
 
 
 def judge_urls(pages: DataFrame, rules=CONTRACT_RULES, threshold: float = 0.5, id_col: str = "page_id",
-               url_col: str = "url", html_col: str = "html", damping: float = 0.85) -> DataFrame:
+               url_col: str = "url", html_col: str = "html", damping: float = 0.85,
+               tolerance: float = 1e-6) -> DataFrame:
     """One row per page: the id, host, path, rule, verdict, trust, distrust.
 
     A rule fits its host and all subdomains if the path starts with the rule's;
     the longest wins. Without a rule, a page is blocked if its host's distrust
     exceeds its trust by ``threshold`` or more. Trust is the host's mass of the
-    PageRank from allowed pages, counted in allowed pages and divided by the
-    host's pages (so an unlinked host's trust is its share of allowed pages);
-    distrust likewise from blocked pages against the links.
+    PageRank from allowed pages, in units of allowed pages, divided by the
+    host's pages; distrust likewise from blocked pages against the links. A
+    host that no link reaches has the share of its allowed, or blocked, pages,
+    whatever else the table holds; a difference of exactly ``threshold`` blocks.
 
     Defined cases: a null url, or one without '://', has empty host and path,
     no rule, no links, no seeds and the verdict allow; a null html has no
     links; links to the own host count nothing; null ids and repeated rows are
-    kept; an empty table gives an empty result. Columns other than the three
+    kept; very long pages are read whole; an empty table gives an empty result. Columns other than the three
     named are not read.
     """
     spark = pages.sparkSession
@@ -123,18 +128,15 @@ def judge_urls(pages: DataFrame, rules=CONTRACT_RULES, threshold: float = 0.5, i
     both = (links.select(F.lit("trust").alias("kind"), "src", "dst", "n")
             .unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"),
                                       F.col("src").alias("dst"), "n")))
-    total = per_host.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
-    good, bad = float(total["g"] or 0), float(total["b"] or 0)
-    seeds = (per_host.where("good > 0").select(F.lit("trust").alias("kind"), "host",
-                                               (F.col("good") / max(good, 1.0)).alias("weight"))
+    seeds = (per_host.where("good > 0").select(F.lit("trust").alias("kind"), "host", F.col("good").alias("weight"))
              .unionByName(per_host.where("bad > 0").select(F.lit("distrust").alias("kind"), "host",
-                                                           (F.col("bad") / max(bad, 1.0)).alias("weight"))))
-    mass = propagate(both, seeds, damping).groupBy("host").agg(
+                                                           F.col("bad").alias("weight"))))
+    mass = propagate(both, seeds, per_host.select("host", "pages"), damping, tolerance).groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("t"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("mass"))).alias("d"))
     scores = store(per_host.join(mass, "host", "left").select(
-        "host", (F.coalesce("t", F.lit(0.0)) * good / F.col("pages")).alias("trust"),
-        (F.coalesce("d", F.lit(0.0)) * bad / F.col("pages")).alias("distrust")))
+        "host", (F.coalesce("t", F.lit(0.0)) / F.col("pages")).alias("trust"),
+        (F.coalesce("d", F.lit(0.0)) / F.col("pages")).alias("distrust")))
     own = F.when(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) >= threshold, "block") \
            .otherwise("allow")
     return judged.join(scores, "host", "left").select(
@@ -148,7 +150,7 @@ def urls_sql(rounds: int = 60, damping: float = 0.85, threshold: float = 0.5) ->
     rules = ", ".join(f"('{v}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}')" for v, r in CONTRACT_RULES)
     steps = "".join(f"""
 x{k} AS MATERIALIZED (SELECT kind, host, sum(mass) AS mass FROM (
-  SELECT kind, host, weight * {1 - damping!r} AS mass FROM seeds UNION ALL
+  SELECT kind, host, weight AS mass FROM seeds UNION ALL
   SELECT x{k - 1}.kind, dst, mass * share FROM x{k - 1} JOIN share ON share.kind = x{k - 1}.kind AND src = host)
   GROUP BY ALL),""" for k in range(1, rounds + 1))
     return rf"""
@@ -176,13 +178,12 @@ links AS (
 edges AS (SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
 share AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) * {damping!r} AS share FROM edges),
 seeds AS (
-  SELECT 'trust' AS kind, host, good / (SELECT sum(good) FROM per_host) AS weight FROM per_host WHERE good > 0
-  UNION ALL SELECT 'distrust', host, bad / (SELECT sum(bad) FROM per_host) FROM per_host WHERE bad > 0),
-x0 AS (SELECT kind, host, weight * {1 - damping!r} AS mass FROM seeds),{steps}
-mass AS (SELECT kind, host, mass / sum(mass) OVER (PARTITION BY kind) AS mass FROM x{rounds}),
+  SELECT 'trust' AS kind, host, good::DOUBLE AS weight FROM per_host WHERE good > 0
+  UNION ALL SELECT 'distrust', host, bad::DOUBLE FROM per_host WHERE bad > 0),
+x0 AS (SELECT kind, host, weight AS mass FROM seeds),{steps}
+mass AS (SELECT * FROM x{rounds}),
 score AS (
-  SELECT host, coalesce(t.mass, 0) * (SELECT sum(good) FROM per_host) / pages AS trust,
-    coalesce(d.mass, 0) * (SELECT sum(bad) FROM per_host) / pages AS distrust
+  SELECT host, coalesce(t.mass, 0) / pages AS trust, coalesce(d.mass, 0) / pages AS distrust
   FROM per_host LEFT JOIN (SELECT * FROM mass WHERE kind = 'trust') t USING (host)
   LEFT JOIN (SELECT * FROM mass WHERE kind = 'distrust') d USING (host))
 SELECT page_id, j.host, path, rule,
