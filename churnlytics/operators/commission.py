@@ -57,10 +57,11 @@ def premium_clawback(df: DataFrame, campaigns: Sequence[str] | None = None) -> D
     return pivot_wide(long, ["del_month"], "campaign", "value", campaigns, fill=0.0).orderBy("del_month")
 
 
-def call_center_result(df: DataFrame, call_centers: Sequence[str] | None = None) -> DataFrame:
+def call_center_result(df: DataFrame, call_centers: Sequence[str] | None = None, others: str = "drop") -> DataFrame:
     """Per month and call center (P18 prefix) the new, withdrawal and
-    claw-back sums, from one scan (long rows -> one pivot). A call center
-    that is not among ``call_centers`` fails the query."""
+    claw-back sums, from one scan (long rows -> one pivot). ``call_centers``
+    selects some; with ``others='raise'`` they must be all, and a call center
+    that is not among them fails the query."""
     cc = C.call_center_prefix("campaign")
     md = C.month_diff("acq_month", "del_month")
     pv = premium_value()
@@ -84,4 +85,4 @@ def call_center_result(df: DataFrame, call_centers: Sequence[str] | None = None)
         keys = None
     else:
         keys = [f"{c}_{k}" for c in call_centers for k in ("new", "withdrawal", "clawback")]
-    return pivot_wide(long, ["month"], "k", "value", keys, fill=0.0).orderBy("month")
+    return pivot_wide(long, ["month"], "k", "value", keys, fill=0.0, others=others).orderBy("month")

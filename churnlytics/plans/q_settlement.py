@@ -218,7 +218,7 @@ _CC_KEYS = [f"{c}_{k}" for c in CALL_CENTERS for k in ("new", "withdrawal", "cla
 
 @register("call_center_result")
 def q_cc_result(spark, sf_dir):
-    return rounded(PC.call_center_result(contracts(spark, sf_dir), CALL_CENTERS))
+    return rounded(PC.call_center_result(contracts(spark, sf_dir), CALL_CENTERS, others="raise"))
 
 
 oracle("call_center_result", f"""

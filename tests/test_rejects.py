@@ -63,5 +63,5 @@ def test_money_of_an_unlisted_call_center_is_not_lost(spark):
     with pytest.raises(PySparkException, match="no column for the call center"):
         settlement_result(stray, PARAMS).collect()
     with pytest.raises(PySparkException, match="no column for the key"):
-        call_center_result(stray, ["FO", "JD", "TS", "M3"]).collect()
+        call_center_result(stray, ["FO", "JD", "TS", "M3"], others="raise").collect()
     assert any(c.startswith("ZZ") for c in call_center_result(stray).columns)
