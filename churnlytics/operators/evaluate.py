@@ -92,7 +92,11 @@ def score_cumulative(df: DataFrame, score: str = "score", label: str = "event",
         F.sum(F.col(label).cast("long")).alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(label).cast("long"))).alias("neg"))
     # the counts are read four times: cut the lineage once
-    g = cut_lineage(g)
+    return cumulate(cut_lineage(g), buckets)
+
+
+def cumulate(g: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``score_cumulative`` from the table ``(score, pos, neg)`` of distinct scores."""
     if buckets is None:
         buckets = bucket_count(g.count())
     g = with_range_bucket(g, "score", cut_points(g, "score", buckets), "bucket")
@@ -183,10 +187,21 @@ def split_summary(df: DataFrame, split: str = "split", label: str = "event") ->
 
 def evaluate(df: DataFrame, label: str = "event", pred: str = "predicted", score: str | None = None) -> DataFrame:
     """One row of E1 + E3 (+ E5/E6 when a score is given)."""
-    m = metrics_from_confusion(confusion(df, label, pred))
     if score is None:
-        return m
-    c = curve_summary(score_cumulative(df, score, label)).select("roc_auc", "average_precision").first()
+        return metrics_from_confusion(confusion(df, label, pred))
+    # One pass over the rows: matrix and curve both come from the counts.
+    counts = cut_lineage(df.groupBy(F.col(score).cast("double").alias("score"), F.col(pred).alias("pred"),
+                                    F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))
+
+    def cell(y, p):
+        return F.coalesce(F.sum(F.when((F.col("label") == y) & (F.col("pred") == p), F.col("n"))), F.lit(0))
+
+    m = metrics_from_confusion(counts.agg(cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"),
+                                          cell(1, 1).alias("tp")))
+    pos = F.sum(F.col("label").cast("long") * F.col("n"))
+    by_score = cut_lineage(counts.where("score IS NOT NULL").groupBy("score").agg(pos.alias("pos"),
+                                                                                  (F.sum("n") - pos).alias("neg")))
+    c = curve_summary(cumulate(by_score)).select("roc_auc", "average_precision").first()
     return m.withColumn("roc_auc", F.lit(c["roc_auc"])).withColumn("average_precision", F.lit(c["average_precision"]))
 
 

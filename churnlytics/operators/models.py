@@ -3,7 +3,7 @@
 Training is distributed by Spark ML; only fitted models (bounded state) live
 on the driver. The second-order and the leaf-wise trees are in ``boosting``;
 ``gbt_depth4`` and ``gbt_depth5`` are first-order trees of their depths. The
-network preset has no dropout or early stopping.
+``mlp`` presets have no dropout or early stopping; ``fit_network`` has both.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlytics.functions import columns as C
-from churnlytics.operators import boosting
+from churnlytics.operators import boosting, network
 from churnlytics.operators.evaluate import evaluate, model_comparison
 from churnlytics.operators.features import class_weights, stratified_folds, with_class_weight
 from churnlytics.session import cut_lineage
@@ -74,13 +75,18 @@ def columns_of(df: DataFrame, variant: str = "classifier") -> tuple[list[str], l
 
 
 def preprocessor(numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Sequence[str] = CATEGORICAL_FEATURES,
-                 scale: bool = True) -> list:
+                 scale: bool = True, rows: int | None = None) -> list:
     """Median imputation + scaling for numeric columns, constant imputation
-    + one-hot (unknown -> all zero, vocabulary sorted by name) for categories."""
+    + one-hot (unknown -> all zero, vocabulary sorted by name) for categories.
+    With the number of training ``rows`` the scaling is by the population
+    deviation, as X3 has it; Spark's scaler alone takes the sample deviation."""
     stages = [Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"{c}_imp" for c in numeric])]
     stages.append(VectorAssembler(inputCols=[f"{c}_imp" for c in numeric], outputCol="num_vec", handleInvalid="keep"))
     if scale:
-        stages.append(StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True))
+        stages.append(StandardScaler(inputCol="num_vec", outputCol="num_sample", withMean=True, withStd=True))
+        up = math.sqrt(rows / (rows - 1)) if rows and rows > 1 else 1.0
+        stages.append(ElementwiseProduct(scalingVec=Vectors.dense([up] * len(numeric)), inputCol="num_sample",
+                                         outputCol="num_scaled"))
     for c in categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
@@ -136,8 +142,10 @@ def prepare(train: DataFrame, variant: str = "classifier", keep: Sequence[str] =
     ``(event, weight, features, *keep)``, checkpointed for the fits. ``weight``
     balances the classes (X12)."""
     train = fill_categories(train)
-    prep = Pipeline(stages=preprocessor(*columns_of(train, variant))).fit(train)
-    weighted = with_class_weight(train, class_weights(train))
+    weights = class_weights(train)
+    rows = weights.agg(F.sum("n_class")).first()[0]
+    prep = Pipeline(stages=preprocessor(*columns_of(train, variant), rows=rows)).fit(train)
+    weighted = with_class_weight(train, weights)
     return prep, cut_lineage(prep.transform(weighted).select("event", "weight", "features", *keep))
 
 
@@ -154,6 +162,24 @@ def fit_model(train: DataFrame, kind: str, seed: int = 42, variant: str = "class
     return fit_prepared(*prepare(train, variant), kind, seed)
 
 
+# M6 with dropout and a stop.
+NETWORKS = {"network": network.SMALL, "network_large": network.LARGE}
+
+
+def fit_network(train: DataFrame, params: network.Params = network.SMALL,
+                variant: str = "classifier") -> tuple[PipelineModel, network.NetworkModel]:
+    """M6: the fitted preprocessing and a network that stops early on held-out
+    training rows, see ``network``. Score with ``predict_network``."""
+    prep, vectors = prepare(train, variant, keep=[c for c in ("id",) if c in train.columns])
+    return prep, network.fit_network(vectors, params)
+
+
+def predict_network(fitted: tuple[PipelineModel, network.NetworkModel], df: DataFrame) -> DataFrame:
+    """``df`` with ``score`` = P(event = 1) and ``predicted``."""
+    prep, model = fitted
+    return model.transform(prep.transform(fill_categories(df)))
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Scores as plain columns: ``score`` = P(event = 1), ``predicted`` label."""
     out = model.transform(fill_categories(df))

@@ -72,6 +72,19 @@ for _kind in M.KINDS:
     register(_kind)(_model_query(_kind))
 
 
+def _network_query(kind, params):
+    def q(spark, sf_dir):
+        train, test = model_split(spark, sf_dir)
+        scored = M.predict_network(M.fit_network(train, params), test)
+        return rounded(E.evaluate(scored, "event", "predicted", "score").select(F.lit(kind).alias("model"), "*"))
+    q.__doc__ = f"{kind}: dropout and early stop, fit on the training split, evaluate on the test split."
+    return q
+
+
+for _kind, _params in M.NETWORKS.items():
+    register(_kind)(_network_query(_kind, _params))
+
+
 @register("models_compared")
 def q_models_compared(spark, sf_dir):
     """Every kind fitted on vectors prepared once, evaluated and compared."""

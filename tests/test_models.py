@@ -95,3 +95,36 @@ def test_models_compared_takes_every_kind(spark, monkeypatch):
     monkeypatch.setattr(Q.M, "train_all", fits)
     got = Q.q_models_compared(spark, "").collect()
     assert sorted(taken) == sorted(M.KINDS) and {r["model"] for r in got} == set(M.KINDS)
+
+
+def test_network_with_dropout_stops_and_scores(spark):
+    from churnlytics.operators import network as N
+    df = _fixture(spark)
+    train, test = df.where(F.col("id") % 5 != 0), df.where(F.col("id") % 5 == 0)
+    fitted = M.fit_network(train, N.Params(rate=0.01, epochs=25, batch_rows=500, stop_after=5))
+    scored = M.predict_network(fitted, test)
+    r = E.evaluate(scored, "event", "predicted", "score").first()
+    assert r["roc_auc"] > 0.6 and r["tn"] + r["fp"] + r["fn"] + r["tp"] == test.count()
+
+
+def test_preprocessor_scales_by_the_population_deviation(spark):
+    df = _fixture(spark, n=40)
+    _, vectors = M.prepare(df, keep=["amount"])
+    got = {r["amount"]: r["features"][0] for r in vectors.collect()}
+    a = df.toPandas()["amount"]
+    for value, z in got.items():
+        assert abs(z - (value - a.mean()) / a.std(ddof=0)) < 1e-9
+
+
+def test_evaluate_with_scores_equals_its_parts(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"event": rng.integers(0, 2, 400), "predicted": rng.integers(0, 2, 400),
+                        "score": np.round(rng.random(400), 2)})
+    df = spark.createDataFrame(pdf).selectExpr("event", "predicted", "nullif(score, 0.5D) AS score")
+    r = E.evaluate(df, "event", "predicted", "score").first()
+    m = E.metrics_from_confusion(E.confusion(df)).first()
+    c = E.curve_summary(E.score_cumulative(df)).first()
+    assert all(r[k] == m[k] for k in m.asDict()) and r["roc_auc"] == c["roc_auc"]
+    assert abs(r["average_precision"] - c["average_precision"]) < 1e-12
+    none = E.evaluate(df.where("false"), "event", "predicted", "score").first()
+    assert none["tp"] == 0 and none["accuracy"] == 0
