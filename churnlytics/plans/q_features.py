@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnlytics.operators import features as X
+from churnlytics.operators import models as M
 from churnlytics.operators.quantiles import quantiles_of_columns
 from churnlytics.operators.rates import fold_rare
 from churnlytics.plans.catalog import register
-from churnlytics.plans.common import AS_OF, CAMPAIGN_KEYS, SURV, rounded
+from churnlytics.plans.common import AS_OF, CAMPAIGN_KEYS, EV, SURV, contracts, rounded
 from churnlytics.plans.oracle import oracle
 from churnlytics.plans.q_survival import SPLIT_SQL, survival_base
 from churnlytics.session import cut_lineage
@@ -157,3 +158,32 @@ FROM (SELECT id, event, ((row_number() OVER (PARTITION BY event ORDER BY ('0x' |
                           - 1) % 5)::INTEGER AS fold FROM {SURV})
 GROUP BY event, fold
 """)
+
+
+@register("model_features")
+def q_model_features(spark, sf_dir):
+    """The numbers and filled categories of the classifier's and the
+    survival set; every eighth due date is missing as a start or an end."""
+    c = contracts(spark, sf_dir, due_dates=False, region=True).withColumns({
+        "start_insurance": F.when(F.col("id") % 8 != 0, F.col("start_insurance")),
+        "end_insurance": F.when(F.col("id") % 8 != 1, F.col("end_insurance")),
+        "region_code": F.when(F.col("id") % 8 != 2, F.col("region_code"))})
+    out = None
+    for variant in ("classifier", "survival"):
+        part = M.fill_categories(M.build_features(c, AS_OF, variant)).select(
+            F.lit(variant).alias("variant"), "id", "event", "term_days", "days_from_start", "amount", "product_code",
+            "region_code", "campaign")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
+oracle("model_features", f"""
+SELECT v AS variant, id, {EV} AS event,
+  (CASE WHEN s IS NULL OR e IS NULL THEN if(v = 'survival', 365, 0)
+        ELSE greatest(e - s, if(v = 'survival', 1, 0)) END)::DOUBLE AS term_days,
+  (CASE WHEN s IS NULL THEN if(v = 'survival', 180, 0) ELSE greatest(DATE '{AS_OF}' - s, 0) END)::DOUBLE AS days_from_start,
+  amount, product_code::VARCHAR AS product_code, CASE WHEN id % 8 = 2 THEN 'missing' ELSE coalesce(region_code, 'missing') END AS region_code,
+  campaign
+FROM (SELECT *, CASE WHEN id % 8 <> 0 THEN start_insurance END AS s, CASE WHEN id % 8 <> 1 THEN end_insurance END AS e
+      FROM contracts), (VALUES ('classifier'), ('survival')) x(v)
+""")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from churnlytics.functions import columns as C
 from churnlytics.operators import rates as R
+from churnlytics.operators import sketches as SK
 from churnlytics.operators.density import smoothed_density
 from churnlytics.operators.quantiles import quantiles
 from churnlytics.operators.survival import survival_frame
 from churnlytics.plans.catalog import register
 from churnlytics.plans.common import AS_OF, EV, K7, PARAMS, SURV, contracts, rounded
 from churnlytics.plans.oracle import oracle
+from churnlytics.session import checkpoint_dir, cut_lineage
 
 STATUS = "CASE WHEN deletion_type = 0 THEN 'active' WHEN deletion_type IN (1, 2, 5) THEN 'withdrawal' ELSE 'other' END"
 
@@ -243,6 +247,29 @@ SELECT event, q, round(value, 6) AS value FROM (
 """)
 
 
+SKETCH_WINDOWS = {"1995": (199501, 199512), "1996-97": (199601, 199712), "all": (0, 999912)}
+
+
+@register("sketch_windows")
+def q_sketch_windows(spark, sf_dir):
+    """Quartiles of the observation time by campaign for three windows of
+    months, from stored sketches of month and campaign; ``within`` holds where
+    the true rank is within twice the sketches' stated error."""
+    df = _base(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    SK.store_sketches(SK.sketches(df, "duration", ["acq_month", "campaign"]), path, "whole")
+    answers = SK.window_quantiles(SK.stored_sketches(spark, path), "acq_month", SKETCH_WINDOWS, [0.25, 0.5, 0.75], ["campaign"])
+    answers = cut_lineage(answers)  # the sketches draw at random: one answer, then its check
+    errors = SK.rank_errors(SK.in_windows(df, "acq_month", SKETCH_WINDOWS), answers, "duration", ["window", "campaign"])
+    return answers.drop("value").join(errors.select("window", "campaign", "q", (F.col("rank_error") <= 2 * SK.rank_error())
+                                                    .alias("within")), ["window", "campaign", "q"])
+
+
+oracle("sketch_windows", "SELECT w.name AS \"window\", campaign, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS q, count(*)::BIGINT AS n, TRUE AS within "
+       f"FROM {SURV} JOIN (VALUES " + ", ".join(f"('{k}', {a}, {z})" for k, (a, z) in SKETCH_WINDOWS.items())
+       + ") w(name, a, z) ON acq_month BETWEEN w.a AND w.z GROUP BY w.name, campaign")
+
+
 @register("amount_classes")
 def q_amount_classes(spark, sf_dir):
     c = R.tertile_classes(contracts(spark, sf_dir, due_dates=False), "amount")
