@@ -71,9 +71,9 @@ def q_cox_fit_small(spark, sf_dir):
                                          "feature string, coef double"))
 
 
-def _newton_ctes() -> str:
+def _newton_ctes(steps: int = STEPS) -> str:
     parts, b = [ROWS_SQL, "b0 AS (SELECT 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1)"], "b0"
-    for k in range(1, STEPS + 1):
+    for k in range(1, steps + 1):
         parts.append(f"t{k} AS ({_times_sql('v0', 'v1', f'(SELECT * FROM r, {b})')})")
         parts.append(f"""g{k} AS (SELECT sum(e0 - d * r1_0 / r0) AS g0, sum(e1 - d * r1_1 / r0) AS g1,
   sum(d * (r2_00 / r0 - r1_0 * r1_0 / r0 / r0)) AS a, sum(d * (r2_01 / r0 - r1_0 * r1_1 / r0 / r0)) AS c,
@@ -86,3 +86,17 @@ def _newton_ctes() -> str:
 
 oracle("cox_fit_small", f"SELECT 'x0' AS feature, round(v0, 6) AS coef FROM b{STEPS} "
        f"UNION ALL SELECT 'x1', round(v1, 6) FROM b{STEPS}", extra_ctes=_newton_ctes())
+
+
+@register("cox_summary")
+def q_cox_summary(spark, sf_dir):
+    """Coefficients of ``cox_fit_small`` with their standard errors."""
+    m = COX.fit_cox(cox_rows(spark, sf_dir), FEATURES, penalizer=0.0, ties="breslow", max_iter=STEPS, tol=0.0)
+    return rounded(m.summary(spark).select("feature", "coef", "exp_coef", "se", "z"), 5)
+
+
+oracle("cox_summary", f"""
+SELECT feature, round(v, 5) AS coef, round(exp(v), 5) AS exp_coef, round(sqrt(var), 5) AS se, round(v / sqrt(var), 5) AS z
+FROM (SELECT 'x0' AS feature, v0 AS v, b / (a * b - c * c) AS var FROM b{STEPS}, g{STEPS + 1}
+      UNION ALL SELECT 'x1', v1, a / (a * b - c * c) FROM b{STEPS}, g{STEPS + 1})
+""", extra_ctes=_newton_ctes(STEPS + 1))
