@@ -56,7 +56,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> list[tuple[int, DataFrame]]
     batch 2 takes down those that ``labels`` calls toxic, batch 3 brings a
     revision of those that it calls low in quality (runs of white space become
     one space)."""
-    docs = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels")
 
     def feed(rows: DataFrame, seq: int, op: str, text) -> DataFrame:
@@ -73,11 +73,12 @@ def change_feed(spark: SparkSession, sf_dir: str) -> list[tuple[int, DataFrame]]
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals of ``documents`` by source, language and tokenizer version,
-    after three batches of a change feed; the second is delivered twice."""
+    after three batches of a change feed; the second is delivered twice. A
+    document without an id counts as it came; no change reaches it."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
     feed = change_feed(spark, sf_dir)
     for batch, changes in [*feed[:2], feed[1], feed[2]]:
-        commit_batch(root, batch, changes)
+        commit_batch(root, batch, changes, unnamed="count")
     return totals(spark, root)
 
 

@@ -61,7 +61,8 @@ def _committed(spark: SparkSession, root: str, name: str, schema: str) -> DataFr
     return _table(spark, f"{root}/{name}", schema).join(done, "batch", "left_semi")
 
 
-def commit_batch(root: str, batch: int, changes: DataFrame, versions: dict[str, str] = VERSIONS) -> bool:
+def commit_batch(root: str, batch: int, changes: DataFrame, versions: dict[str, str] = VERSIONS,
+                 unnamed: str = "reject") -> bool:
     """Apply ``changes(seq long, op, doc_id, source, lang, text)`` as batch
     number ``batch`` of the store in ``root``; False if it was there already.
 
@@ -72,23 +73,32 @@ def commit_batch(root: str, batch: int, changes: DataFrame, versions: dict[str,
     ``seq`` holds (ties: the greatest of op, source, lang and count).
 
     Defined cases: a null text counts 0 tokens and one document; a null source
-    or language is a group of its own; a row with a null doc_id or an unknown
-    op is rejected (ValueError) before anything is written; deleting what is
-    not there changes nothing; exact repetitions of a row count once; an empty
-    batch is committed with no delta. Batches come in ascending order
-    (ValueError otherwise); one writer at a time.
+    or language is a group of its own; a row with an unknown op, or a delete
+    with a null doc_id, is rejected (ValueError) before anything is written, and
+    so is an insert with a null doc_id unless ``unnamed`` is 'count': each such
+    row then counts as a document of its own, which no later change can reach.
+    Deleting what is not there changes nothing; exact repetitions of a row with
+    an id count once; a very long text is counted whole, alone; an empty batch is
+    committed with no delta. Batches come in ascending order (ValueError
+    otherwise); one writer at a time.
     """
+    if unnamed not in ("reject", "count"):
+        raise ValueError("unnamed is 'reject' or 'count'")
     spark = changes.sparkSession
     done = [r[0] for r in _table(spark, f"{root}/commit", COMMIT).orderBy(F.desc("batch")).limit(1).collect()]
     if done and batch <= done[0]:
         if _table(spark, f"{root}/commit", COMMIT).where(F.col("batch") == batch).isEmpty():
             raise ValueError(f"batch {batch} comes after batch {done[0]}")
         return False
-    bad = changes.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("op").isin(INSERT, DELETE), F.lit(False)))
+    nameless = F.col("doc_id").isNull()
+    if unnamed == "count":
+        nameless &= F.col("op") == DELETE
+    bad = changes.where(nameless | ~F.coalesce(F.col("op").isin(INSERT, DELETE), F.lit(False)))
     if not bad.isEmpty():
         raise ValueError("a change without doc_id, or of an unknown op")
     counted = store(count_tokens(changes, versions))
-    last = counted.groupBy("doc_id", "version").agg(F.max(F.struct("seq", "op", "source", "lang", "tokens")).alias("x")) \
+    loose = counted.where("doc_id IS NULL").select("source", "lang", "version", F.lit(1).alias("docs"), "tokens")
+    last = counted.where("doc_id IS NOT NULL").groupBy("doc_id", "version").agg(F.max(F.struct("seq", "op", "source", "lang", "tokens")).alias("x")) \
         .select("doc_id", "version", (F.col("x.op") == INSERT).alias("live"), "x.source", "x.lang", "x.tokens")
     ids = last.select("doc_id").distinct()
     old = (_committed(spark, root, "state", STATE).join(ids, "doc_id", "left_semi").groupBy("doc_id", "version")
@@ -106,7 +116,7 @@ def commit_batch(root: str, batch: int, changes: DataFrame, versions: dict[str,
     plus = both.where("live").select("source", "lang", "version", F.lit(1).alias("docs"), "tokens")
     minus = both.where("o_tokens IS NOT NULL").select(F.col("o_source").alias("source"), F.col("o_lang").alias("lang"),
                                                       "version", F.lit(-1).alias("docs"), (-F.col("o_tokens")).alias("tokens"))
-    delta = (plus.unionByName(minus).groupBy("source", "lang", "version")
+    delta = (plus.unionByName(minus).unionByName(loose).groupBy("source", "lang", "version")
              .agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
              .where("docs <> 0 OR tokens <> 0"))
     delta.select(F.lit(batch).cast("long").alias("batch"), "source", "lang", "version", "docs", "tokens") \

@@ -165,6 +165,29 @@ def test_token_counts_follow_the_changes(spark):
         C.commit_batch(root, 8, spark.createDataFrame([], schema), versions)
 
 
+def test_token_counts_of_documents_without_an_id_and_long_texts(spark):
+    root = tempfile.mkdtemp(prefix="churnlytics-counts-")
+    versions = {"byte_bpe_50k": "byte_bpe_50k.tiktoken"}
+    e = Encoder(vocabulary_path())
+    schema = "seq long, op string, doc_id long, source string, lang string, text string"
+    long = "some words " * 40_000
+    rows = [(1, "insert", None, "a", "en", "one two"), (1, "insert", None, "a", "en", "one two"),
+            (1, "insert", None, None, None, None), (1, "insert", 4, "a", "en", long)]
+    first = spark.createDataFrame(rows, schema)
+    for _ in range(2):  # delivered again
+        C.commit_batch(root, 1, first, versions, unnamed="count")
+    C.commit_batch(root, 2, spark.createDataFrame([(2, "delete", 4, None, None, None)], schema), versions, unnamed="count")
+    got = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in C.totals(spark, root).collect()}
+    assert got == {("a", "en"): (2, 2 * len(e.encode("one two"))), (None, None): (1, 0)}
+    assert C.document_counts(spark, root).count() == 0
+    with pytest.raises(ValueError, match="without doc_id"):
+        C.commit_batch(root, 3, spark.createDataFrame([(3, "delete", None, "a", "en", None)], schema), versions, unnamed="count")
+    other = tempfile.mkdtemp(prefix="churnlytics-counts-")
+    C.commit_batch(other, 1, first, versions, unnamed="count")
+    assert {(r["docs"], r["tokens"]) for r in C.totals(spark, other).where("source = 'a'").collect()} == \
+        {(3, 2 * len(e.encode("one two")) + len(e.encode(long)))}
+
+
 def test_trust_spreads_along_links(spark):
     links = [("good.org", "near.com", 2), ("good.org", "mid.com", 1), ("near.com", "far.com", 1), ("far.com", "bad.net", 1),
              ("loop.com", "far.com", 3), ("bad.net", "loop.com", 1)]
