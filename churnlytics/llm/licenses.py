@@ -29,7 +29,26 @@ NOTICES = (
     ("licensed under cc by 4 0", "cc-by-4.0", 0.9),
     ("licensed under cc by sa 4 0", "cc-by-sa-4.0", 0.9),
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0", 0.9),
+    ("creative commons attribution 4 0 international", "cc-by-4.0", 0.9),
+    ("creative commons attribution sharealike 4 0 international", "cc-by-sa-4.0", 0.9),
+    ("creative commons attribution noncommercial 4 0 international", "cc-by-nc-4.0", 0.9),
+    ("cc0 1 0 universal", "cc0-1.0", 0.9),
     ("mozilla public license", "mpl", 0.8),
+    ("mozilla public license v 2 0", "mpl-2.0", 0.9),
+    ("mozilla public license version 2 0", "mpl-2.0", 0.9),
+    ("eclipse public license", "epl", 0.8),
+    ("european union public licence", "eupl", 0.8),
+    ("boost software license version 1 0", "bsl-1.0", 0.9),
+    ("sil open font license", "ofl", 0.8),
+    ("server side public license", "sspl", 0.8),
+    ("business source license", "busl", 0.8),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 0.95),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+     "isc", 0.9),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable",
+     "zlib", 0.9),
+    ("may be used to endorse or promote products derived from this software without specific prior written permission",
+     "bsd-3-clause", 0.9),
     ("redistribution and use in source and binary forms", "bsd", 0.8),
     ("all rights reserved", "proprietary", 0.4),
 )

@@ -53,6 +53,26 @@ def test_license_expressions(text, labels, ok):
     assert got == (None if labels is None else (labels, ok))
 
 
+def test_license_notices_as_they_are_written(spark):
+    cases = [
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0.", "mpl,mpl-2.0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby "
+         "granted, provided that", "isc"),
+        ("This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held "
+         "liable for", "zlib"),
+        ("# This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("Redistribution and use in source and binary forms, with or without ... may be used to endorse or promote products\n"
+         " derived from this software without specific prior written permission.", "bsd,bsd-3-clause"),
+        ("Boost Software License - Version 1.0", "bsl-1.0"), ("CC0 1.0 Universal", "cc0-1.0"),
+        ("Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa-4.0"),
+        ("the eclipse opened; a public licence", "")]
+    got = {r["doc_id"]: r["labels"] for r in L.scan_licenses(frame(spark, [(k, t) for k, (t, _) in enumerate(cases)])).collect()}
+    assert [got[k] for k in range(len(cases))] == [labels for _, labels in cases]
+    for k, (phrase, label, _) in enumerate(L.NOTICES):
+        r = L.scan_licenses(frame(spark, [(k, phrase.upper())])).first() if k % 6 == 0 else None
+        assert r is None or label in r["labels"].split(",")
+
+
 def test_license_tags_of_any_length(spark):
     names = [f"LicenseRef-vendor-component-{k}" for k in range(20)]
     long = f"({' AND '.join(names)})"
