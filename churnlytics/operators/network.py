@@ -4,12 +4,17 @@ Hidden layers with ReLU, optional normalisation and dropout, one sigmoid output,
 cross-entropy with class weights, Adam, a rate that falls on a plateau, and a
 held-out share of the training rows that stops the fit and picks its weights.
 
-The rows are dealt by the hash of their content into numbered blocks, one block
-a Spark partition; a mini-batch is a fixed set of blocks and a step is one job
-over those blocks alone. A step brings one gradient a block to the driver, so
-its size depends on ``batch_rows``, never on the number of rows; an epoch takes
-more steps as the rows grow. Dropout masks are a hash of (seed, epoch, layer,
-row, unit): a block that Spark computes again gives the same gradient. With
+The rows are dealt by the hash of their content into numbered blocks; a
+mini-batch is a fixed set of blocks, and a shard, one Spark partition, holds the
+blocks of up to max(16, the square root of their number) mini-batches. An epoch is
+one job: every shard starts from the common weights, steps through its
+mini-batches in the epoch's order, and the weights, moments and running means of
+the shards, weighted by their rows, are averaged on the driver. So an epoch takes
+one step a mini-batch as ever, but no job a step; 16 mini-batches or fewer are one
+shard, whose steps are plain mini-batch descent. The driver gets one set of weights
+a shard, whose number grows with the square root of the rows. Dropout masks are a
+hash of (seed, epoch, layer, row, unit) and the shards depend on the rows alone: a
+partition that Spark computes again gives the same weights. With
 ``normalise`` each block uses its own mean and variance, as data-parallel
 trainers do, and the running means serve for scoring.
 """
@@ -17,6 +22,7 @@ trainers do, and the running means serve for scoring.
 from __future__ import annotations
 
 import json
+import math
 import pickle
 from dataclasses import asdict, dataclass, field
 from typing import Iterator
@@ -30,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1_024
+SHARD_BATCHES, HELD_BLOCKS = 16, 64           # the least mini-batches of a shard; blocks of a partition of held rows
 MOMENTUM, EPSILON = 0.9, 1e-3                 # of the running means (steps are large); of the normalisation
 ADAM_MEAN, ADAM_SQUARE, ADAM_LEAST = 0.9, 0.999, 1e-7
 _GOLDEN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -79,9 +86,13 @@ class Block:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Well spread 64-bit hashes of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
+    shifted = x >> np.uint64(30)
+    x = x ^ shifted
+    x *= _MIX1
+    x ^= np.right_shift(x, np.uint64(27), out=shifted)
+    x *= _MIX2
+    x ^= np.right_shift(x, np.uint64(31), out=shifted)
+    return x
 
 
 def dropout_mask(rows: np.ndarray, units: int, share: float, key: tuple[int, int, int]) -> np.ndarray:
@@ -92,7 +103,8 @@ def dropout_mask(rows: np.ndarray, units: int, share: float, key: tuple[int, int
         for k in key:
             salt = mixed(salt * _GOLDEN + np.uint64(k + 1))
         cells = mixed(mixed(rows ^ salt)[:, None] + np.arange(1, units + 1, dtype=np.uint64)[None, :] * _GOLDEN)
-    return ((cells >> np.uint64(11)) * 2.0 ** -53 >= share) / (1.0 - share)
+    cells >>= np.uint64(11)
+    return (cells >= np.uint64(math.ceil(share * 2.0 ** 53))) / (1.0 - share)
 
 
 class Shape:
@@ -248,9 +260,10 @@ class NetworkModel:
                             [tuple(h) for h in m["history"]], m["best"])
 
 
-def dealt_blocks(vectors: DataFrame, params: Params, label: str, features: str, weight: str | None):
-    """An RDD with one block a partition, the partitions of every mini-batch,
-    and those of the held rows. Equal rows lie in the same block."""
+def _dealt(vectors: DataFrame, params: Params, label: str, features: str, weight: str | None):
+    """The rows with the ``slot`` of their block, the number of mini-batches, the
+    blocks of each, and the number of held blocks (the last slots). Equal rows lie
+    in the same block."""
     n = vectors.count()
     if n == 0:
         raise ValueError("no rows to train on")
@@ -265,25 +278,54 @@ def dealt_blocks(vectors: DataFrame, params: Params, label: str, features: str,
     slot = F.when(F.pmod(dice, F.lit(1_000_000)) < int(params.held * 1_000_000),
                   batches * of_batch + F.pmod(F.xxhash64("row", F.lit(2)), F.lit(held))) \
         .otherwise(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(batches * of_batch)))
+    return rows.withColumn("slot", slot.cast("int")), batches, of_batch, held
 
+
+def _packed(rows: DataFrame, partitions: int, partition):
+    """A persisted RDD of (slot, block); ``partition`` is the column that deals the slots."""
     def pack(arrived):
         arrived = [b for b in arrived if b.num_rows]
         if arrived:
             table = pa.Table.from_batches(arrived).combine_chunks()
             row = table["row"].to_numpy().astype(np.int64).view(np.uint64)
             values = table["x"].combine_chunks().flatten().to_numpy().reshape(len(row), -1)
-            y, w = table["y"].to_numpy(), table["weight"].to_numpy()
-            order = np.lexsort((w, y, row))
-            block = Block(np.ascontiguousarray(values[order]), y[order], w[order], row[order])
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+            y, w, slot = table["y"].to_numpy(), table["weight"].to_numpy(), table["slot"].to_numpy()
+            order = np.lexsort((w, y, row, slot))
+            for own in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
+                block = Block(np.ascontiguousarray(values[own]), y[own], w[own], row[own])
+                yield pa.RecordBatch.from_arrays([pa.array([slot[own[0]]], pa.int32()), pa.array([pickle.dumps(block)], pa.binary())],
+                                                 names=["slot", "block"])
+
+    dealt = rows.withColumn("part", partition.cast("int")).repartitionById(partitions, "part").drop("part")
+    return dealt.mapInArrow(pack, "slot int, block binary").rdd.map(lambda r: (r[0], pickle.loads(r[1]))) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
+
+def dealt_blocks(vectors: DataFrame, params: Params, label: str, features: str, weight: str | None):
+    """An RDD with one block a partition, the partitions of every mini-batch,
+    and those of the held rows: the blocks that ``dealt_shards`` puts together."""
+    rows, batches, of_batch, held = _dealt(vectors, params, label, features, weight)
     total = batches * of_batch + held
-    packed = rows.withColumn("slot", slot.cast("int")).repartitionById(total, "slot").drop("slot").mapInArrow(pack, "block binary")
-    blocks = packed.rdd.map(lambda r: pickle.loads(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = _packed(rows, total, F.col("slot")).map(lambda b: b[1])
     return (blocks, [list(range(k * of_batch, (k + 1) * of_batch)) for k in range(batches)],
             list(range(batches * of_batch, total)))
 
 
+def dealt_shards(vectors: DataFrame, params: Params, label: str, features: str, weight: str | None):
+    """RDDs of (slot, block) of the training and of the held rows, and the blocks of
+    a mini-batch. A partition of the first holds whole mini-batches, see ``shards_of``."""
+    rows, batches, of_batch, held = _dealt(vectors, params, label, features, weight)
+    first, shards, parts = batches * of_batch, shards_of(batches), -(-held // HELD_BLOCKS)
+    batch = F.floor(F.col("slot") / of_batch)
+    return (_packed(rows.where(F.col("slot") < first), shards, F.floor(batch * shards / batches)),
+            _packed(rows.where(F.col("slot") >= first), parts, F.floor((F.col("slot") - first) * parts / held)), of_batch)
+
+
+def shards_of(batches: int) -> int:
+    """How many shards hold so many mini-batches."""
+    return -(-batches // max(SHARD_BATCHES, math.isqrt(batches)))
+
+
 def fit_network(vectors: DataFrame, params: Params = SMALL, label: str = "event", features: str = "features",
                 weight: str | None = "weight") -> NetworkModel:
     """Fit on rows ``(label, features[, weight, id])``; cut their lineage before
@@ -294,48 +336,71 @@ def fit_network(vectors: DataFrame, params: Params = SMALL, label: str = "event"
     no rows, or none left to train on or to hold, raise ValueError. Vectors have
     one length."""
     vectors = vectors.where(F.col(label).isNotNull())
-    blocks, batches, held = dealt_blocks(vectors, params, label, features, weight if params.weighted else None)
-    sc = vectors.sparkSession.sparkContext
+    train, held, of_batch = dealt_shards(vectors, params, label, features, weight if params.weighted else None)
     try:
         # One pass fills the blocks and gives their sizes.
-        sizes = sc.runJob(blocks, lambda part: [[(len(b.y), b.x.shape[1]) for b in part]])
-        rows_of = [sum(n for n, _ in s) for s in sizes]
-        batches = [b for b in batches if sum(rows_of[i] for i in b)]
-        if not batches or not sum(rows_of[i] for i in held):
+        sizes = train.map(lambda b: (b[0] // of_batch, b[1].x.shape[1])).distinct().collect()
+        if not sizes or held.isEmpty():
             raise ValueError("too few rows to train on and to hold some out")
-        shape = Shape(next(w for s in sizes for _, w in s), params)
-        return _descend(sc, blocks, batches, held, shape)
+        return _descend(train, held, sorted(k for k, _ in sizes), of_batch, Shape(sizes[0][1], params))
     finally:
-        blocks.unpersist()
-
-
-def _descend(sc, blocks, batches, held, shape: Shape) -> NetworkModel:
+        train.unpersist()
+        held.unpersist()
+
+
+def step(shape: Shape, blocks: list[Block], flat: np.ndarray, means, adam: Adam, rate: float, epoch: int):
+    """The weights and running means after one mini-batch, its loss and rows."""
+    got = [gradient(shape, flat, b, epoch) for b in blocks]
+    n = sum(g[2] for g in got)
+    grad = sum(g[0] for g in got) / n
+    for layer, l2 in enumerate(shape.p.l2):
+        if l2:
+            place, _ = shape.slices[layer]["w"]
+            grad[place] += 2 * l2 * flat[place]
+    flat = adam.move(flat, grad, rate)
+    old = MOMENTUM if adam.step > 1 else 0.0
+    means = [tuple(old * means[layer][j] + (1 - old) * (sum(g[3][layer][j] * g[2] for g in got) / n) for j in (0, 1))
+             for layer in range(len(means))]
+    return flat, means, sum(g[1] for g in got), n
+
+
+def averaged(shards: list, adam: Adam):
+    """Weights and running means of all shards, each counted by its rows; the
+    moments move into ``adam``, whose steps are those of the longest shard."""
+    rows = sum(s[-1] for s in shards)
+
+    def mean(take):
+        return sum(take(s) * (s[-1] / rows) for s in shards)
+    adam.mean, adam.square, adam.step = mean(lambda s: s[2].mean), mean(lambda s: s[2].square), max(s[2].step for s in shards)
+    means = [tuple(mean(lambda s, k=k, j=j: s[1][k][j]) for j in (0, 1)) for k in range(len(shards[0][1]))]
+    return mean(lambda s: s[0]), means
+
+
+def _descend(train, held, batches: list[int], of_batch: int, shape: Shape) -> NetworkModel:
     p = shape.p
     flat, means, adam, rate = shape.start(), shape.fresh_means(), Adam(shape.total), p.rate
     model = NetworkModel(shape.width, p, flat, means)
     least, plateau = np.inf, 0
     for epoch in range(p.epochs):
-        total = rows = 0.0
-        for k in np.random.default_rng([p.seed, epoch]).permutation(len(batches)):
-            got = sc.runJob(blocks, lambda part, flat=flat, epoch=epoch: [gradient(shape, flat, b, epoch) for b in part],
-                            batches[k])
-            n = sum(g[2] for g in got)
-            grad = sum(g[0] for g in got) / n
-            for layer, l2 in enumerate(p.l2):
-                if l2:
-                    place, _ = shape.slices[layer]["w"]
-                    grad[place] += 2 * l2 * flat[place]
-            flat = adam.move(flat, grad, rate)
-            for layer in range(len(means)):
-                mean, var = (sum(g[3][layer][j] * g[2] for g in got) / n for j in (0, 1))
-                old = MOMENTUM if adam.step > 1 else 0.0
-                means = [*means[:layer], (old * means[layer][0] + (1 - old) * mean, old * means[layer][1] + (1 - old) * var),
-                         *means[layer + 1:]]
-            total, rows = total + sum(g[1] for g in got), rows + n
-        found = sc.runJob(blocks, lambda part, flat=flat, means=means: [
-            (float(losses(scores(shape, flat, means, b.x), b.y).sum()), len(b.y)) for b in part], held)
+        order = [batches[k] for k in np.random.default_rng([p.seed, epoch]).permutation(len(batches))]
+
+        def walk(part, flat=flat, means=means, adam=adam, rate=rate, epoch=epoch, order=order):
+            blocks, loss, rows = {}, 0.0, 0
+            for slot, block in sorted(part, key=lambda b: b[0]):
+                blocks.setdefault(slot // of_batch, []).append(block)
+            for k in order:
+                if k in blocks:
+                    flat, means, more, n = step(shape, blocks[k], flat, means, adam, rate, epoch)
+                    loss, rows = loss + more, rows + n
+            return [(flat, means, adam, loss, rows)] if rows else []
+
+        shards = train.mapPartitions(walk).collect()
+        flat, means = averaged(shards, adam)
+        found = held.mapPartitions(lambda part, flat=flat, means=means: [tuple(map(sum, zip(*(
+            (float(losses(scores(shape, flat, means, b.x), b.y).sum()), len(b.y)) for _, b in part))))]).collect()
+        found = [f for f in found if f]
         loss = sum(f[0] for f in found) / sum(f[1] for f in found)
-        model.history.append((epoch, total / rows, loss, rate))
+        model.history.append((epoch, sum(s[3] for s in shards) / sum(s[4] for s in shards), loss, rate))
         if loss < least:
             least, plateau = loss, 0
             model.flat, model.means, model.best = flat, means, epoch

@@ -123,3 +123,43 @@ def test_refuses_what_cannot_be_fitted(spark):
         N.Params(hidden=(3,), dropout=(0.1, 0.1), l2=(0.0,))
     with pytest.raises(ValueError):
         N.Params(held=0.0)
+
+
+def test_an_epoch_is_a_few_jobs_however_many_batches(spark):
+    df, _, _ = frame(spark, 2400)
+    df = df.cache()
+    jobs, epochs = [], 4
+    for rows in (2400, 60):  # 1 and 32 mini-batches, the latter in two shards
+        p = N.Params(hidden=(6,), dropout=(0.1,), l2=(0.0,), normalise=True, rate=0.01, epochs=epochs, batch_rows=rows)
+        group = f"epochs of {rows}"
+        spark.sparkContext.setJobGroup(group, group)
+        model = N.fit_network(df, p, weight=None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        assert len(model.history) == epochs and model.history[-1][1] < model.history[0][1]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert N.shards_of(32) == 2 and jobs[1] <= jobs[0] + epochs
+
+
+def test_shards_step_from_the_common_weights_and_are_averaged_by_rows(spark):
+    df, _, _ = frame(spark, 2400)
+    p = N.Params(hidden=(6,), dropout=(0.1,), l2=(0.01,), rate=0.01, epochs=1, batch_rows=60)
+    got = N.fit_network(df, p, weight=None)
+    train, held, of_batch = N.dealt_shards(df, p, "event", "features", None)
+    shards, shape = train.glom().collect(), N.Shape(4, p)
+    order = np.random.default_rng([42, 0]).permutation(len({b[0] for s in shards for b in s}))
+    flats, rows = [], []
+    assert len(shards) == 2 and of_batch == 1
+    for s in shards:
+        blocks, flat, adam = dict(s), shape.start(), N.Adam(shape.total)
+        for k in order:
+            if k in blocks:
+                grad, _, n, _ = N.gradient(shape, flat, blocks[k], 0)
+                grad = grad / n
+                grad[:24] += 0.02 * flat[:24]
+                flat = adam.move(flat, grad, 0.01)
+        flats.append(flat)
+        rows.append(sum(len(b.y) for b in blocks.values()))
+    assert np.allclose(got.flat, np.average(flats, axis=0, weights=rows), atol=1e-12)
+    assert sum(rows) + sum(len(b.y) for _, b in held.collect()) == 2400
+    train.unpersist()
+    held.unpersist()
