@@ -111,8 +111,10 @@ KINDS = (*GBT_DEPTHS, "random_forest", "logistic_regression", *MLP_LAYERS)
 
 
 def gbt(seed: int, **params) -> GBTClassifier:
-    """Boosted trees: every level is one pass over rows that know their node."""
-    return GBTClassifier(labelCol="event", seed=seed, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512,
+    """Boosted trees: every level is one pass over the binned rows. A row finds
+    its node by the few splits above it; a cached table of node ids, written
+    again at every level, costs more than that and gives the same trees."""
+    return GBTClassifier(labelCol="event", seed=seed, cacheNodeIds=False, checkpointInterval=10, maxMemoryInMB=512,
                          **params)
 
 
