@@ -139,16 +139,29 @@ def make_estimator(kind: str, n_features: int | None = None, seed: int = 42, wei
     raise ValueError(f"unknown model {kind!r}")
 
 
+PART_ROWS, MOST_PART_ROWS = 16_384, 1_048_576
+
+
+def partitions_of(rows: int, cores: int) -> int:
+    """How many even partitions the fits pass over: one for 16,384 rows until
+    there is one a core, then as many a core as keep them below 1,048,576 rows."""
+    return max(1, min(-(-rows // PART_ROWS), cores * max(1, -(-rows // (cores * MOST_PART_ROWS)))))
+
+
 def prepare(train: DataFrame, variant: str = "classifier", keep: Sequence[str] = ()) -> tuple[PipelineModel, DataFrame]:
     """Fit the preprocessing once; the fitted pipeline and the training vectors
     ``(event, weight, features, *keep)``, checkpointed for the fits. ``weight``
-    balances the classes (X12)."""
+    balances the classes (X12). The vectors are dealt evenly: every pass of a fit
+    lasts as long as its largest partition, and those of the input's files are few
+    or uneven. Rows for one partition stay where they are."""
     train = fill_categories(train)
     weights = class_weights(train)
     rows = weights.agg(F.sum("n_class")).first()[0]
     prep = Pipeline(stages=preprocessor(*columns_of(train, variant), rows=rows)).fit(train)
     weighted = with_class_weight(train, weights)
-    return prep, cut_lineage(prep.transform(weighted).select("event", "weight", "features", *keep))
+    vectors = prep.transform(weighted).select("event", "weight", "features", *keep)
+    parts = partitions_of(rows or 0, train.sparkSession.sparkContext.defaultParallelism)
+    return prep, cut_lineage(vectors.repartition(parts) if parts > 1 else vectors)
 
 
 def fit_prepared(prep: PipelineModel, vectors: DataFrame, kind: str, seed: int = 42) -> PipelineModel:
