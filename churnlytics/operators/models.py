@@ -301,10 +301,18 @@ def tune_boosting(train: DataFrame, n_trials: int = 50, folds: int = 5, seed: in
 
 
 def train_all(train: DataFrame, test: DataFrame, kinds: Sequence[str] = KINDS,
-              variant: str = "classifier") -> tuple[dict, DataFrame]:
+              variant: str = "classifier", parallelism: int = 3) -> tuple[dict, DataFrame]:
     """M9: fit every kind on vectors prepared once, evaluate each on ``test``
-    (E13) and compare (E10): the fitted pipelines by name, and one row a model."""
+    (E13) and compare (E10): the fitted pipelines by name, and one row a model.
+    ``parallelism`` kinds are fitted at a time: a fit is hundreds of short jobs
+    in sequence, between which the cores wait."""
+    from concurrent.futures import ThreadPoolExecutor
     prep, vectors = prepare(train, variant)
-    models = {k: fit_prepared(prep, vectors, k) for k in kinds}
-    results = {k: evaluate(predict(m, test), "event", "predicted", "score") for k, m in models.items()}
-    return models, model_comparison(results)
+
+    def fitted(kind):
+        model = fit_prepared(prep, vectors, kind)
+        return model, evaluate(predict(model, test), "event", "predicted", "score")
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        done = dict(zip(kinds, pool.map(fitted, kinds)))
+    return {k: m for k, (m, _) in done.items()}, model_comparison({k: r for k, (_, r) in done.items()})

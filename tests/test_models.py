@@ -128,3 +128,39 @@ def test_evaluate_with_scores_equals_its_parts(spark):
     assert abs(r["average_precision"] - c["average_precision"]) < 1e-12
     none = E.evaluate(df.where("false"), "event", "predicted", "score").first()
     assert none["tp"] == 0 and none["accuracy"] == 0
+
+
+def test_training_vectors_are_dealt_evenly(spark, monkeypatch):
+    df = _fixture(spark, n=4000).coalesce(1)
+    assert M.prepare(df)[1].rdd.getNumPartitions() == 1  # few rows stay where they are
+    monkeypatch.setattr(M, "PART_ROWS", 1000)
+    _, vectors = M.prepare(df, keep=["id"])
+    sizes = [n for n in vectors.rdd.glom().map(len).collect() if n]
+    assert sum(sizes) == 4000 and len(sizes) == min(4, spark.sparkContext.defaultParallelism)
+    assert max(sizes) <= 1.1 * min(sizes) and vectors.select("id").distinct().count() == 4000
+    monkeypatch.undo()
+    assert [M.partitions_of(n, 12) for n in (0, 16_384, 40_000, 720_000, 7_200_000, 43_200_000)] == [1, 1, 3, 12, 12, 48]
+
+
+def test_boosted_trees_keep_no_node_ids(spark):
+    df = _fixture(spark, n=400)
+    assert not M.gbt(42, maxIter=5).getCacheNodeIds() and not M.make_estimator("gbt_depth5").getCacheNodeIds()
+    _, vectors = M.prepare(df)
+    with_ids, without = (M.gbt(42, maxIter=5, maxDepth=4).setCacheNodeIds(c).fit(vectors) for c in (True, False))
+    assert with_ids.toDebugString.splitlines()[1:] == without.toDebugString.splitlines()[1:]
+
+
+def test_kinds_are_fitted_side_by_side_and_come_in_their_order(spark, monkeypatch):
+    import threading
+    met = threading.Barrier(2)
+
+    def fits(prep, vectors, kind):
+        met.wait(30)  # two fits have to be under way at once
+        return kind
+    monkeypatch.setattr(M, "prepare", lambda train, variant: (None, None))
+    monkeypatch.setattr(M, "fit_prepared", fits)
+    monkeypatch.setattr(M, "predict", lambda model, test: model)
+    monkeypatch.setattr(M, "evaluate", lambda scored, *a: f"of {scored}")
+    monkeypatch.setattr(M, "model_comparison", lambda results: results)
+    kinds = ("mlp", "gbt")
+    assert M.train_all(None, None, kinds, parallelism=2) == ({"mlp": "mlp", "gbt": "gbt"}, {"mlp": "of mlp", "gbt": "of gbt"})
