@@ -39,6 +39,7 @@ BLOCK_ROWS = 1_024
 SHARD_BATCHES, HELD_BLOCKS = 16, 64           # the least mini-batches of a shard; blocks of a partition of held rows
 MOMENTUM, EPSILON = 0.9, 1e-3                 # of the running means (steps are large); of the normalisation
 ADAM_MEAN, ADAM_SQUARE, ADAM_LEAST = 0.9, 0.999, 1e-7
+MASK_CELLS = 8_192                            # hashed at a time: they stay in a core's cache
 _GOLDEN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -84,10 +85,29 @@ class Block:
     row: np.ndarray  # uint64 hashes
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Well spread 64-bit hashes of 64-bit numbers."""
-    shifted = x >> np.uint64(30)
-    x = x ^ shifted
+class Room:
+    """Arrays that are filled again for every block of a task. Fresh ones of a
+    block's size are pages that the system clears first, which took as long as
+    the arithmetic."""
+
+    def __init__(self):
+        self.kept: dict = {}
+
+    def __call__(self, name, *shape: int, dtype=np.float64) -> np.ndarray:
+        """The array of that name, with what was last written there."""
+        n = math.prod(shape)
+        own = self.kept.get(name)
+        if own is None or own.size < n:
+            own = self.kept[name] = np.empty(n + n // 8, dtype)
+        return own[:n].reshape(shape)
+
+
+def mixed(x: np.ndarray, shifted: np.ndarray | None = None) -> np.ndarray:
+    """Well spread 64-bit hashes of 64-bit numbers; with ``shifted``, an array of
+    that shape to work in, they replace the numbers."""
+    if shifted is None:
+        x, shifted = x.copy(), np.empty_like(x)
+    x ^= np.right_shift(x, np.uint64(30), out=shifted)
     x *= _MIX1
     x ^= np.right_shift(x, np.uint64(27), out=shifted)
     x *= _MIX2
@@ -95,16 +115,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def dropout_mask(rows: np.ndarray, units: int, share: float, key: tuple[int, int, int]) -> np.ndarray:
-    """(rows x units) of 0 where dropped, else 1 / (1 - share), so that sums keep
-    their size; ``key`` is (seed, epoch, layer)."""
+def undropped(rows: np.ndarray, units: int, share: float, key: tuple[int, int, int], out: np.ndarray) -> np.ndarray:
+    """``out`` (rows x units), true where a unit is not dropped; ``key`` is (seed,
+    epoch, layer)."""
     with np.errstate(over="ignore"):
         salt = np.zeros(1, np.uint64)
         for k in key:
             salt = mixed(salt * _GOLDEN + np.uint64(k + 1))
-        cells = mixed(mixed(rows ^ salt)[:, None] + np.arange(1, units + 1, dtype=np.uint64)[None, :] * _GOLDEN)
-    cells >>= np.uint64(11)
-    return (cells >= np.uint64(math.ceil(share * 2.0 ** 53))) / (1.0 - share)
+        of_row, of_unit = mixed(rows ^ salt)[:, None], np.arange(1, units + 1, dtype=np.uint64) * _GOLDEN
+    least = np.uint64(math.ceil(share * 2.0 ** 53) << 11)
+    size = max(1, MASK_CELLS // units)
+    cells, shifted = np.empty((2, size, units), np.uint64)
+    for i in range(0, len(rows), size):
+        part = out[i:i + size]
+        own = np.add(of_row[i:i + size], of_unit, out=cells[:len(part)])
+        np.greater_equal(mixed(own, shifted[:len(part)]), least, out=part)
+    return out
+
+
+def dropout_mask(rows: np.ndarray, units: int, share: float, key: tuple[int, int, int]) -> np.ndarray:
+    """(rows x units) of 0 where dropped, else 1 / (1 - share), so that sums keep
+    their size; ``key`` is (seed, epoch, layer)."""
+    return undropped(rows, units, share, key, np.empty((len(rows), units), bool)) / (1.0 - share)
 
 
 class Shape:
@@ -145,15 +177,19 @@ class Shape:
         return [(np.zeros(b), np.ones(b)) for b in self.p.hidden] if self.p.normalise else []
 
 
-def scores(shape: Shape, flat: np.ndarray, means, x: np.ndarray) -> np.ndarray:
+def scores(shape: Shape, flat: np.ndarray, means, x: np.ndarray, room: Room | None = None) -> np.ndarray:
     """Margins of rows, without dropout, normalised by the running means."""
-    a = x
-    for k in range(len(shape.p.hidden)):
+    a, room = x, room or Room()
+    for k, units in enumerate(shape.p.hidden):
         own = shape.view(flat, k)
-        z = a @ own["w"] + own["b"]
+        z = np.matmul(a, own["w"], out=room(("z", k), len(x), units))
+        z += own["b"]
         if shape.p.normalise:
-            z = own["gamma"] * (z - means[k][0]) / np.sqrt(means[k][1] + EPSILON) + own["beta"]
-        a = np.maximum(z, 0.0)
+            z -= means[k][0]
+            z *= own["gamma"]
+            z /= np.sqrt(means[k][1] + EPSILON)
+            z += own["beta"]
+        a = np.maximum(z, 0.0, out=z)
     own = shape.view(flat, len(shape.p.hidden))
     return (a @ own["w"] + own["b"])[:, 0]
 
@@ -162,28 +198,34 @@ def losses(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, margin) - y * margin
 
 
-def gradient(shape: Shape, flat: np.ndarray, block: Block, epoch: int):
+def gradient(shape: Shape, flat: np.ndarray, block: Block, epoch: int, room: Room | None = None):
     """Sums over a block's rows: (gradient of the weighted loss, loss, rows, and
-    the block's means and variances of the normalised layers)."""
+    the block's means and variances of the normalised layers). What is as long as
+    the block lies in ``room``."""
     p, a, kept, stats = shape.p, block.x, [], []
-    n = len(block.y)
+    n, room = len(block.y), room or Room()
     for k, units in enumerate(p.hidden):
         own = shape.view(flat, k)
-        z = a @ own["w"] + own["b"]
+        z = np.matmul(a, own["w"], out=room(("z", k), n, units))
+        z += own["b"]
         norm = None
         if p.normalise:
-            mean, var = z.mean(axis=0), z.var(axis=0)
+            mean = z.mean(axis=0)
+            z -= mean
+            var = np.multiply(z, z, out=room("work", n, units)).mean(axis=0)
             stats.append((mean, var))
             scale = 1.0 / np.sqrt(var + EPSILON)
-            norm = ((z - mean) * scale, scale)
-            z = own["gamma"] * norm[0] + own["beta"]
-        on = z > 0
-        out = np.where(on, z, 0.0)
+            z *= scale
+            norm = (z, scale)
+            z = np.multiply(z, own["gamma"], out=room(("out", k), n, units))
+            z += own["beta"]
+        on = np.greater(z, 0.0, out=room("on", n, units, dtype=bool))
         if p.dropout[k]:
-            mask = dropout_mask(block.row, units, p.dropout[k], (p.seed, epoch, k))
-            out, on = out * mask, on * mask
-        kept.append((a, norm, on))
-        a = out
+            on &= undropped(block.row, units, p.dropout[k], (p.seed, epoch, k), room("undropped", n, units, dtype=bool))
+        live = np.multiply(on, 1.0 / (1.0 - p.dropout[k]), out=room(("live", k), n, units))
+        z *= live
+        kept.append((a, norm, live))
+        a = z
     last = len(p.hidden)
     own, grad = shape.view(flat, last), np.zeros(shape.total)
     margin = (a @ own["w"] + own["b"])[:, 0]
@@ -191,18 +233,21 @@ def gradient(shape: Shape, flat: np.ndarray, block: Block, epoch: int):
     d = (block.weight * (1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))) - block.y))[:, None]
     g = shape.view(grad, last)
     g["w"][:], g["b"][:] = a.T @ d, d.sum(axis=0)
-    d = d @ own["w"].T
     for k in reversed(range(last)):
-        before, norm, on = kept[k]
+        d = np.matmul(d, own["w"].T, out=room(("d", k), n, p.hidden[k]))
+        before, norm, live = kept[k]
         own, g = shape.view(flat, k), shape.view(grad, k)
-        d = d * on
+        d *= live
         if norm is not None:
-            g["gamma"][:], g["beta"][:] = (d * norm[0]).sum(axis=0), d.sum(axis=0)
-            d = d * own["gamma"]
-            d = norm[1] * (d - d.mean(axis=0) - norm[0] * (d * norm[0]).mean(axis=0))
-        g["w"][:], g["b"][:] = before.T @ d, d.sum(axis=0)
-        if k:
-            d = d @ own["w"].T
+            work = room("work", *d.shape)
+            g["gamma"][:], g["beta"][:] = np.multiply(d, norm[0], out=work).sum(axis=0), d.sum(axis=0)
+            d *= own["gamma"]
+            along = np.multiply(d, norm[0], out=work).mean(axis=0)
+            d -= d.mean(axis=0)
+            d -= np.multiply(norm[0], along, out=work)
+            d *= norm[1]
+        np.matmul(before.T, d, out=g["w"])
+        g["b"][:] = d.sum(axis=0)
     return grad, loss, n, stats
 
 
@@ -235,8 +280,9 @@ class NetworkModel:
         shape, flat, means = Shape(self.width, self.params), self.flat, self.means
 
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            room = Room()
             for x in batches:
-                m = scores(shape, flat, means, np.stack(x.to_numpy())) if len(x) else np.zeros(0)
+                m = scores(shape, flat, means, np.stack(x.to_numpy()), room) if len(x) else np.zeros(0)
                 yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(m, -500, 500))))
 
         out = vectors.withColumn("score", F.pandas_udf(score, "double")(vector_to_array(features)))
@@ -348,9 +394,10 @@ def fit_network(vectors: DataFrame, params: Params = SMALL, label: str = "event"
         held.unpersist()
 
 
-def step(shape: Shape, blocks: list[Block], flat: np.ndarray, means, adam: Adam, rate: float, epoch: int):
+def step(shape: Shape, blocks: list[Block], flat: np.ndarray, means, adam: Adam, rate: float, epoch: int,
+         room: Room | None = None):
     """The weights and running means after one mini-batch, its loss and rows."""
-    got = [gradient(shape, flat, b, epoch) for b in blocks]
+    got = [gradient(shape, flat, b, epoch, room) for b in blocks]
     n = sum(g[2] for g in got)
     grad = sum(g[0] for g in got) / n
     for layer, l2 in enumerate(shape.p.l2):
@@ -385,19 +432,24 @@ def _descend(train, held, batches: list[int], of_batch: int, shape: Shape) -> Ne
         order = [batches[k] for k in np.random.default_rng([p.seed, epoch]).permutation(len(batches))]
 
         def walk(part, flat=flat, means=means, adam=adam, rate=rate, epoch=epoch, order=order):
-            blocks, loss, rows = {}, 0.0, 0
+            blocks, loss, rows, room = {}, 0.0, 0, Room()
             for slot, block in sorted(part, key=lambda b: b[0]):
                 blocks.setdefault(slot // of_batch, []).append(block)
             for k in order:
                 if k in blocks:
-                    flat, means, more, n = step(shape, blocks[k], flat, means, adam, rate, epoch)
+                    flat, means, more, n = step(shape, blocks[k], flat, means, adam, rate, epoch, room)
                     loss, rows = loss + more, rows + n
             return [(flat, means, adam, loss, rows)] if rows else []
 
         shards = train.mapPartitions(walk).collect()
         flat, means = averaged(shards, adam)
-        found = held.mapPartitions(lambda part, flat=flat, means=means: [tuple(map(sum, zip(*(
-            (float(losses(scores(shape, flat, means, b.x), b.y).sum()), len(b.y)) for _, b in part))))]).collect()
+
+        def lost(part, flat=flat, means=means):
+            room = Room()
+            return [tuple(map(sum, zip(*((float(losses(scores(shape, flat, means, b.x, room), b.y).sum()), len(b.y))
+                                         for _, b in part))))]
+
+        found = held.mapPartitions(lost).collect()
         found = [f for f in found if f]
         loss = sum(f[0] for f in found) / sum(f[1] for f in found)
         model.history.append((epoch, sum(s[3] for s in shards) / sum(s[4] for s in shards), loss, rate))

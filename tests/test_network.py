@@ -1,6 +1,8 @@
 """The feed-forward network: gradients against finite differences, a step
 against plain numpy, stopping, and fits that do not depend on partitions."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -163,3 +165,20 @@ def test_shards_step_from_the_common_weights_and_are_averaged_by_rows(spark):
     assert sum(rows) + sum(len(b.y) for _, b in held.collect()) == 2400
     train.unpersist()
     held.unpersist()
+
+
+@pytest.mark.parametrize("params", [N.SMALL, N.LARGE])
+def test_blocks_of_a_task_share_their_arrays(params):
+    shape, room, big = N.Shape(5, params), N.Room(), block(4000, seed=1)
+    flat, means = shape.start(), shape.fresh_means()
+    for b in (big, block(700, seed=2), block(3900, seed=3)):  # what a larger block left there changes nothing
+        fresh, again = N.gradient(shape, flat, b, 2), N.gradient(shape, flat, b, 2, room)
+        assert (fresh[0] == again[0]).all() and fresh[1:3] == again[1:3]
+        assert all((x == y).all() for s, t in zip(fresh[3], again[3]) for x, y in zip(s, t))
+        assert (N.scores(shape, flat, means, b.x) == N.scores(shape, flat, means, b.x, room)).all()
+    tracemalloc.start()
+    N.gradient(shape, flat, big, 3, room)
+    N.scores(shape, flat, means, big.x, room)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4000 * min(params.hidden) * 8  # no array of rows x units is made anew
