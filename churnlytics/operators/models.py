@@ -16,7 +16,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (Bucketizer, ElementwiseProduct, Imputer, ImputerModel, OneHotEncoder, OneHotEncoderModel,
+                                StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ from churnlytics.functions import columns as C
 from churnlytics.operators import boosting, network
 from churnlytics.operators.evaluate import evaluate, model_comparison
 from churnlytics.operators.features import class_weights, stratified_folds, with_class_weight
+from churnlytics.operators.quantiles import quantiles_of_columns
 from churnlytics.session import cut_lineage
 
 # X11: the three feature sets (numeric columns, categories). The tuned set's
@@ -140,6 +142,7 @@ def make_estimator(kind: str, n_features: int | None = None, seed: int = 42, wei
 
 
 PART_ROWS, MOST_PART_ROWS = 16_384, 1_048_576
+COUNTED_ROWS = 1_048_576  # more training rows are counted before trees are fitted
 
 
 def partitions_of(rows: int, cores: int) -> int:
@@ -150,25 +153,90 @@ def partitions_of(rows: int, cores: int) -> int:
 
 def prepare(train: DataFrame, variant: str = "classifier", keep: Sequence[str] = ()) -> tuple[PipelineModel, DataFrame]:
     """Fit the preprocessing once; the fitted pipeline and the training vectors
-    ``(event, weight, features, *keep)``, checkpointed for the fits. ``weight``
-    balances the classes (X12). The vectors are dealt evenly: every pass of a fit
-    lasts as long as its largest partition, and those of the input's files are few
-    or uneven. Rows for one partition stay where they are."""
+    ``(event, weight, features, *values_of(pipeline), *keep)``, checkpointed for the
+    fits. ``weight`` balances the classes (X12). The vectors are dealt evenly: every
+    pass of a fit lasts as long as its largest partition, and those of the input's
+    files are few or uneven. Rows for one partition stay where they are."""
     train = fill_categories(train)
     weights = class_weights(train)
     rows = weights.agg(F.sum("n_class")).first()[0]
     prep = Pipeline(stages=preprocessor(*columns_of(train, variant), rows=rows)).fit(train)
     weighted = with_class_weight(train, weights)
-    vectors = prep.transform(weighted).select("event", "weight", "features", *keep)
+    vectors = prep.transform(weighted).select("event", "weight", "features", *values_of(prep), *keep)
     parts = partitions_of(rows or 0, train.sparkSession.sparkContext.defaultParallelism)
     return prep, cut_lineage(vectors.repartition(parts) if parts > 1 else vectors)
 
 
+def values_of(prep: PipelineModel) -> list[str]:
+    """The columns behind the vectors: imputed numbers, then indices of categories."""
+    return [c for kind, take in ((ImputerModel, "getOutputCols"), (OneHotEncoderModel, "getInputCols"))
+            for s in prep.stages if isinstance(s, kind) for c in getattr(s, take)()]
+
+
+def counted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equal training rows as one with their number ``n``, checkpointed: a sum over
+    rows is the sum over these, each times ``n``."""
+    return cut_lineage(df.groupBy("event", *keys).agg(F.count(F.lit(1)).alias("n")))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in even partitions, see ``partitions_of``."""
+    return cut_lineage(df.repartition(partitions_of(df.count(), df.sparkSession.sparkContext.defaultParallelism)))
+
+
+def tree_cuts(vectors: DataFrame, columns: Sequence[str], bins: int) -> list[list[float]]:
+    """Thresholds of every column: between all neighbours of up to ``bins`` values,
+    at the exact quantiles k / ``bins`` of more. Spark ML takes its own by the same
+    rule from a sample of some 10,000 rows."""
+    long = vectors.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
+                          .alias("e")).select("e.*").distinct()
+    long = cut_lineage(long.where(F.col("value").isNotNull() & ~F.isnan("value")))
+    sizes = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few, many = ([c for c in columns if (sizes.get(c, 0) <= bins) == small] for small in (True, False))
+    values, cuts = {c: set() for c in columns}, {}
+    for r in long.where(F.col("column").isin(few)).collect():
+        values[r["column"]].add(r["value"])
+    for c in few:
+        own = sorted(values[c]) or [0.0]
+        cuts[c] = [(a + b) / 2 for a, b in zip(own, own[1:])] or own
+    if many:
+        quantiles = quantiles_of_columns(vectors.where(~F.greatest(*[F.isnan(c) for c in many], F.lit(False))), many,
+                                         [k / bins for k in range(1, bins)])
+        for r in quantiles.collect():
+            values[r["column"]].add(r["value"])
+        cuts |= {c: [math.nextafter(v, math.inf) for v in sorted(values[c])] for c in many}  # a bucket begins at its cut
+    return [cuts[c] for c in columns]
+
+
+def fit_binned_trees(prep: PipelineModel, vectors: DataFrame, est: GBTClassifier) -> PipelineModel:
+    """Boosted trees on binned numbers: trees see no more of a number than its
+    place among the thresholds, so rows of equal bins and categories are one with
+    their number as weight. Their number is bounded by bins and categories however
+    many rows there are, and the trees are those of all rows."""
+    encoder = next((s for s in prep.stages if isinstance(s, OneHotEncoderModel)), None)
+    indices = list(encoder.getInputCols()) if encoder else []
+    numbers = [c for c in values_of(prep) if c not in indices]
+    binner = Bucketizer(splitsArray=[[-math.inf, *cuts, math.inf] for cuts in tree_cuts(vectors, numbers, est.getMaxBins())],
+                        inputCols=numbers, outputCols=[f"{c}_bin" for c in numbers], handleInvalid="keep")
+    binned = VectorAssembler(inputCols=[f"{c}_bin" for c in numbers] + (list(encoder.getOutputCols()) if encoder else []),
+                             outputCol="binned")
+    rows = counted(binner.transform(vectors), [f"{c}_bin" for c in numbers] + indices)
+    # a bucket is a place in an order here, not the category that the binner calls it
+    rows = rows.withColumns({f"{c}_bin": F.col(f"{c}_bin").alias(f"{c}_bin", metadata={}) for c in numbers})
+    rows = binned.transform(encoder.transform(rows) if encoder else rows)
+    est = est.copy().setFeaturesCol("binned").setWeightCol("n")
+    return PipelineModel(stages=[*prep.stages, binner, binned, est.fit(dealt(rows.select("event", "n", "binned")))])
+
+
 def fit_prepared(prep: PipelineModel, vectors: DataFrame, kind: str, seed: int = 42) -> PipelineModel:
-    """One estimator on prepared vectors, as a pipeline with its preprocessing."""
+    """One estimator on prepared vectors, as a pipeline with its preprocessing.
+    Boosted trees of more than ``COUNTED_ROWS`` rows are fitted on counted rows;
+    of fewer, the estimators read the rows in less time."""
     total = float(vectors.agg(F.sum("weight")).first()[0] or 0.0) if kind == "logistic_regression" else None
     width = len(vectors.first()["features"]) if kind in MLP_LAYERS else None
     est = make_estimator(kind, width, seed, "weight" if total else None, 1.0, total)
+    if kind in GBT_DEPTHS and vectors.count() > COUNTED_ROWS:
+        return fit_binned_trees(prep, vectors, est)
     return PipelineModel(stages=[*prep.stages, est.fit(vectors)])
 
 

@@ -164,3 +164,46 @@ def test_kinds_are_fitted_side_by_side_and_come_in_their_order(spark, monkeypatc
     monkeypatch.setattr(M, "model_comparison", lambda results: results)
     kinds = ("mlp", "gbt")
     assert M.train_all(None, None, kinds, parallelism=2) == ({"mlp": "mlp", "gbt": "gbt"}, {"mlp": "of mlp", "gbt": "of gbt"})
+
+
+def _prepared(spark, monkeypatch, n=3000):
+    """A fixture of equal and unequal rows, more than are fitted uncounted."""
+    monkeypatch.setattr(M, "COUNTED_ROWS", 500)
+    df = _fixture(spark, n=n).withColumn("days_from_start", F.floor(F.col("days_from_start") / 125).cast("double"))
+    return (df, *M.prepare(df))
+
+
+def test_trees_of_counted_bins_are_those_of_all_rows(spark, monkeypatch):
+    df, prep, vectors = _prepared(spark, monkeypatch)
+    read = []
+    counted = M.counted
+    monkeypatch.setattr(M, "counted", lambda *a: read.append(counted(*a)) or read[-1])
+    for kind in M.GBT_DEPTHS:
+        est = M.gbt(42, maxIter=6, maxDepth=M.GBT_DEPTHS[kind])
+        monkeypatch.setattr(M, "make_estimator", lambda *a, est=est: est)
+        model = M.fit_prepared(prep, vectors, kind)
+        n, total = read.pop().agg(F.count("n"), F.sum("n")).first()
+        assert n < 3000 and total == 3000  # fewer rows are read, none is lost
+        plain = {r["id"]: r["score"] for r in M.predict(M.PipelineModel(stages=[*prep.stages, est.fit(vectors)]), df).collect()}
+        own = {r["id"]: r["score"] for r in M.predict(model, df).collect()}
+        assert own.keys() == plain.keys() and max(abs(own[k] - plain[k]) for k in own) < 1e-9
+        names = M.feature_importances(model, df, 3)
+        assert [x for x, _ in names] == [x for x, _ in M.feature_importances(M.PipelineModel(stages=[*prep.stages, est.fit(vectors)]), df, 3)]
+
+
+def test_tree_cuts_of_few_and_of_many_values(spark):
+    rows = [(float(i % 3), float(i), 7.0, float("nan") if i % 2 else 1.0) for i in range(640)]
+    df = spark.createDataFrame(rows, "few double, many double, one double, odd double")
+    few, many, one, odd = M.tree_cuts(df, df.columns, 32)
+    assert few == [0.5, 1.5] and one == [7.0] and odd == [1.0]
+    sizes = np.bincount(np.searchsorted(many, np.arange(640.0), side="right"))
+    assert len(many) == 31 and set(sizes) == {20}
+
+
+def test_few_rows_are_fitted_by_the_estimator_itself(spark, monkeypatch):
+    df = _fixture(spark, n=300)
+    prep, vectors = M.prepare(df)
+    monkeypatch.setattr(M, "counted", None)
+    est = M.gbt(42, maxIter=2)
+    monkeypatch.setattr(M, "make_estimator", lambda *a: est)
+    assert len(M.fit_prepared(prep, vectors, "gbt").stages) == len(prep.stages) + 1
