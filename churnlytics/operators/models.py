@@ -17,14 +17,14 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (Bucketizer, ElementwiseProduct, Imputer, ImputerModel, OneHotEncoder, OneHotEncoderModel,
-                                StandardScaler, StringIndexer, VectorAssembler)
+                                StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlytics.functions import columns as C
-from churnlytics.operators import boosting, network
+from churnlytics.operators import boosting, network, perceptron
 from churnlytics.operators.evaluate import evaluate, model_comparison
 from churnlytics.operators.features import class_weights, stratified_folds, with_class_weight
 from churnlytics.operators.quantiles import quantiles_of_columns
@@ -142,7 +142,7 @@ def make_estimator(kind: str, n_features: int | None = None, seed: int = 42, wei
 
 
 PART_ROWS, MOST_PART_ROWS = 16_384, 1_048_576
-COUNTED_ROWS = 1_048_576  # more training rows are counted before trees are fitted
+COUNTED_ROWS = 1_048_576  # more training rows are counted before trees and perceptrons are fitted
 
 
 def partitions_of(rows: int, cores: int) -> int:
@@ -228,15 +228,33 @@ def fit_binned_trees(prep: PipelineModel, vectors: DataFrame, est: GBTClassifier
     return PipelineModel(stages=[*prep.stages, binner, binned, est.fit(dealt(rows.select("event", "n", "binned")))])
 
 
+def fit_counted_mlp(prep: PipelineModel, vectors: DataFrame, est: MultilayerPerceptronClassifier) -> PipelineModel:
+    """Spark ML's perceptron with weights found by ``perceptron``: from the weights
+    that the estimator starts with, by its iterations and stop, over equal rows
+    counted once. The estimator then takes the weights as its own."""
+    rows = counted(vectors, values_of(prep))
+    parts = partitions_of(rows.count(), rows.sparkSession.sparkContext.defaultParallelism)
+    later = [s for s in prep.stages if not isinstance(s, (ImputerModel, StringIndexerModel))]
+    some = vectors.limit(1).select("event", "features")
+    start = est.copy({est.maxIter: 0}).fit(some).weights.toArray()
+    flat, _ = perceptron.fit_perceptron(PipelineModel(stages=later).transform(rows), est.getLayers(), start, est.getMaxIter(),
+                                        est.getTol(), parts)
+    model = est.copy({est.maxIter: 0, est.initialWeights: Vectors.dense(flat)}).fit(some)
+    model.clear(model.initialWeights)
+    model.set(model.maxIter, est.getMaxIter())
+    return PipelineModel(stages=[*prep.stages, model])
+
+
 def fit_prepared(prep: PipelineModel, vectors: DataFrame, kind: str, seed: int = 42) -> PipelineModel:
     """One estimator on prepared vectors, as a pipeline with its preprocessing.
-    Boosted trees of more than ``COUNTED_ROWS`` rows are fitted on counted rows;
-    of fewer, the estimators read the rows in less time."""
+    Boosted trees and perceptrons of more than ``COUNTED_ROWS`` rows are fitted on
+    counted rows; of fewer, the estimators read the rows in less time."""
     total = float(vectors.agg(F.sum("weight")).first()[0] or 0.0) if kind == "logistic_regression" else None
     width = len(vectors.first()["features"]) if kind in MLP_LAYERS else None
     est = make_estimator(kind, width, seed, "weight" if total else None, 1.0, total)
-    if kind in GBT_DEPTHS and vectors.count() > COUNTED_ROWS:
-        return fit_binned_trees(prep, vectors, est)
+    fit_counted = fit_binned_trees if kind in GBT_DEPTHS else fit_counted_mlp if kind in MLP_LAYERS else None
+    if fit_counted and vectors.count() > COUNTED_ROWS:
+        return fit_counted(prep, vectors, est)
     return PipelineModel(stages=[*prep.stages, est.fit(vectors)])
 
 

@@ -200,6 +200,19 @@ def test_tree_cuts_of_few_and_of_many_values(spark):
     assert len(many) == 31 and set(sizes) == {20}
 
 
+def test_perceptron_on_counted_rows_takes_the_steps_of_spark(spark, monkeypatch):
+    df, prep, vectors = _prepared(spark, monkeypatch)
+    est = M.MultilayerPerceptronClassifier(labelCol="event", layers=[len(vectors.first()["features"]), 8, 4, 2], seed=42,
+                                           maxIter=12, blockSize=4000)
+    monkeypatch.setattr(M, "make_estimator", lambda *a: est)
+    want = est.fit(vectors.coalesce(1))  # one block: its mean loss is that of all rows
+    model = M.fit_prepared(prep, vectors, "mlp")
+    got = model.stages[-1]
+    assert np.abs(got.weights.toArray() - want.weights.toArray()).max() < 1e-8
+    assert got.getMaxIter() == 12 and M.predict(model, df).where("score BETWEEN 0 AND 1").count() == 3000
+    assert M.counted(vectors, M.values_of(prep)).agg(F.sum("n")).first()[0] == 3000
+
+
 def test_few_rows_are_fitted_by_the_estimator_itself(spark, monkeypatch):
     df = _fixture(spark, n=300)
     prep, vectors = M.prepare(df)
